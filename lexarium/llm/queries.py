@@ -8,20 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm import bpe_piece, curriculum, exact_cqf, simhash_grid, toxicity_subword
+from lexarium.llm import bpe_piece, curriculum, exact_cqf, html_lstm, license_join, packing, pii_feistel, quality_forest, simhash_grid, toxicity_subword
 from lexarium.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The key of the pseudonyms in the query; a real run names its own.
+PII_KEY = b"lexarium demonstration key"
+
+
+def encode_many():
+    """What turns texts into ids, made in the worker that needs it."""
+    return bpe_piece.coder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).encode_many
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), encode_many)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_forest.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_cqf.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_piece.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_grid.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_exact_duplicates, op5_byte_bpe, op8_simhash, op9_mix, op10_toxicity]
+    found = [op1_packing, op2_quality_rules, op3_exact_duplicates, op4_html_text, op5_byte_bpe, op6_pseudonyms, op7_licenses, op8_simhash, op9_mix, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
@@ -75,5 +102,31 @@ FROM run
 """
 
 
+def _op7_sql() -> str:
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_join.PHRASES)
+    sets = [(sorted(set(n.split())), label) for n, label in license_join.NOTICES]
+    notices = ", ".join(f"({w!r}, '{label}', {license_join.need(len(w))}, {len(w)})" for w, label in sets)
+    return rf"""
+WITH phrases(parts, label) AS (VALUES {phrases}), notices(parts, label, need, n) AS (VALUES {notices}),
+low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS place FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '{license_join.WORDS}') AS words FROM low),
+starts AS (
+  SELECT place, label, unnest(list_filter(range(0, len(words)), lambda i: words[i + 1 : i + len(parts)] = parts)) AS pos FROM split, phrases
+), base AS (
+  SELECT place, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM starts GROUP BY place
+), lines AS (SELECT place, unnest(string_split(text, chr(10))) AS line FROM split),
+held AS (
+  SELECT place, label, len(list_intersect(parts, own)) / n::DOUBLE AS containment
+  FROM (SELECT place, list_distinct(regexp_extract_all(line, '{license_join.WORDS}')) AS own FROM lines), notices
+  WHERE len(list_intersect(parts, own)) >= need
+), found AS (SELECT place, list_distinct(list(label)) AS labels, max(containment) AS best FROM held GROUP BY place)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM split s LEFT JOIN base b ON b.place = s.place LEFT JOIN found f ON f.place = s.place
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_duplicates": OP3_SQL, "op9_mix": OP9_SQL}
+    return {"op7_licenses": _op7_sql(), "op3_exact_duplicates": OP3_SQL, "op9_mix": OP9_SQL}
