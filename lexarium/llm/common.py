@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words: space and the five ASCII control blanks.
 BLANKS = r"\x20\x09-\x0D"
@@ -52,3 +53,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id isn't in gone(doc_id); rows without one stay."""
+    key = free_name(df, "gone_id")
+    return df.join(gone.select(gone["doc_id"].alias(key)).distinct(), F.col("doc_id") == F.col(key), "left_anti")

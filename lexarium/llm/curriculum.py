@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexarium.llm.common import WORD, spread, written
+from lexarium.llm.common import WORD, free_name, spread, written
 
 #: Weights of the sources in code point order, repeating; words mixed over words there are; most passes over a source.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -113,6 +113,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     A row without a doc_id can't be named by the schedule and isn't taken; rows
     that share a doc_id are all taken as often as the first of them.
     """
-    plan = schedule(docs, **how).select(F.col("doc_id").alias("__id"), "copy", "position").withColumnsRenamed({"copy": "__copy", "position": "__position"})
-    met = docs.join(plan.dropDuplicates(["__id", "__copy"]), F.col("doc_id") == F.col("__id"))
-    return met.repartitionByRange("__position", "doc_id", "__copy").sortWithinPartitions("__position", "doc_id", "__copy").select(*docs.columns)
+    key, copy, place = (free_name(docs, n) for n in ("scheduled_id", "scheduled_copy", "scheduled_position"))
+    plan = schedule(docs, **how).select(F.col("doc_id").alias(key), F.col("copy").alias(copy), F.col("position").alias(place))
+    met = docs.join(plan.dropDuplicates([key, copy]), F.col("doc_id") == F.col(key))
+    return met.repartitionByRange(place, "doc_id", copy).sortWithinPartitions(place, "doc_id", copy).drop(key, copy, place)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import BLANKS, spread, written
+from lexarium.llm.common import BLANKS, free_name, spread, without_ids, written
 
 BLOCK_BITS = 10
 QUOTIENT_BITS = 16
@@ -191,12 +191,13 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     A row without a doc_id can't be named by the decision and stays.
     """
     decided = written(exact_duplicates(docs), "decided")
-    gone = decided.filter(F.col("doc_id") != F.col("keep_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = decided.filter("doc_id = keep_id and not kept").select(F.col("doc_id").alias("__twice")).distinct()
+    left = without_ids(docs, decided.filter(F.col("doc_id") != F.col("keep_id")))
+    twice = decided.filter("doc_id = keep_id and not kept").select("doc_id").distinct()
     if twice.isEmpty():  # the usual case: no document is in the table twice
         return left
     names = left.columns
-    marked = left.join(twice, F.col("doc_id") == F.col("__twice"), "left")
-    once = marked.filter("__twice is not null").groupBy("__twice").agg(F.first(F.struct(*[F.col(c) for c in names])).alias("__row")).select("__row.*")
-    return marked.filter("__twice is null").select(*names).unionByName(once)
+    key = free_name(left, "twice_id")
+    marked = left.join(twice.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left")
+    whole = free_name(marked, "whole")
+    once = marked.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias(whole)).select(f"{whole}.*")
+    return marked.filter(F.col(key).isNull()).drop(key).unionByName(once)

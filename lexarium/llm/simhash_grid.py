@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import spread, written
+from lexarium.llm.common import spread, without_ids, written
 
 SEED = 42
 SHINGLE = 3
@@ -247,5 +247,4 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     A row without a doc_id can't be named by the decision and stays.
     """
     decided = near_duplicates(docs, distance)
-    gone = decided.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without_ids(docs, decided.filter(F.col("doc_id") != F.col("component_id")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import spread
+from lexarium.llm.common import free_name, spread
 
 #: Labelled rows that training sees at most, by label, chosen by the hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
@@ -268,7 +268,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """The columns and rows of docs whose score is below the threshold. The texts are read once and not shuffled."""
-    name = "toxic_score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "toxic_score")
     return _scored(docs, fit(docs, labels, **how), name, keep_text=True).filter(F.col(name) < threshold).drop(name)
