@@ -28,6 +28,7 @@ SHORTEST, LONGEST = 3, 6
 TABLE_BITS = 18
 WIDTH = 8
 STEPS = 60
+FLOOR = 0.05
 _CHUNK = 1 << 18
 
 
@@ -141,7 +142,9 @@ def train(docs: list[str], labels: list[int], seed: int = 5, steps: int = STEPS)
         for param, grad, (m1, m2), rate in zip((e_seen, w, c), grads, state, (0.1, 0.05, 0.05)):
             m1 += 0.1 * (grad - m1)
             m2 += 0.01 * (grad * grad - m2)
-            param -= rate * (m1 / (1 - 0.9 ** (step + 1))) / (np.sqrt(m2 / (1 - 0.99 ** (step + 1))) + 1e-8)
+            size = np.sqrt(m2 / (1 - 0.99 ** (step + 1)))
+            # a floor under the sizes: n-grams with a trace of gradient, met once or twice, hardly move
+            param -= rate * (m1 / (1 - 0.9 ** (step + 1))) / (size + FLOOR * float(size.max()) + 1e-8)
     e[:] = 0  # an n-gram that training never met says nothing
     e[seen] = e_seen
     return SubwordModel(e, w, c, min(0.49, float(np.mean(labels))))
