@@ -45,8 +45,11 @@ def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores.
 
     Only an input with fewer splits than cores is dealt out anew, such as one
-    small file; a large table keeps its splits and isn't shuffled.
+    small file; a large table keeps its splits and isn't shuffled. What comes
+    out of a shuffle stays as it is: counting its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
