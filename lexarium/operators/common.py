@@ -13,7 +13,12 @@ def documents(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text") ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores; only an input with fewer splits than that is dealt out anew."""
+    """df in at least as many partitions as there are cores; only an input with fewer splits than that is dealt out anew.
+
+    What comes out of a shuffle stays as it is: counting its partitions would run it.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
