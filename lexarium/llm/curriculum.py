@@ -82,7 +82,8 @@ def taken(docs: DataFrame, buckets: int = BUCKETS, **how) -> DataFrame:
     within = W.partitionBy("name", "bucket").orderBy("order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
     run = keyed.withColumn("name", name).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     per = per.select(name.alias("name"), "source_size", "target", "slope")
-    whole = run.join(offsets, ["name", "bucket"]).join(per, "name").withColumn("start", F.col("offset") + F.col("inside"))
+    # the sources' figures ride on the buckets' rows, so the documents meet one table, by (source, bucket), and no join has a source for its key
+    whole = run.join(offsets.join(per, "name"), ["name", "bucket"]).withColumn("start", F.col("offset") + F.col("inside"))
     times = F.ceil((F.col("target") - F.col("start") - F.col("size") / 2.0) / F.col("source_size"))
     times = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.least(F.greatest(times, F.lit(0)), F.lit(how.get("passes", PASSES))))
     return whole.select("doc_id", "source", "size", "source_size", "target", "slope", "start", times.cast("int").alias("copies"))
