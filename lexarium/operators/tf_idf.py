@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexarium.functions import text as X
-from lexarium.operators.common import by_document, documents, ranked, spread
+from lexarium.operators.common import as_map, by_document, documents, looked_up, ranked, spread
 from lexarium.operators.tokenizer import Tokenizer
 from lexarium.params import TextSplit, TfIdfInput, TfIdfParams
 
@@ -72,3 +72,13 @@ def ranked_words(df: DataFrame, n: int, params: TfIdfParams | None = None) -> Da
     params = params or TfIdfParams()
     scores = tf_idf(df, params).withColumn("score", F.round("score", 6))
     return ranked(scores, n, "word", by=["corpus"] if params.kind is TfIdfInput.TEXT_BLOCK else None)
+
+
+def word_score(df: DataFrame, wanted: DataFrame, params: TfIdfParams | None = None) -> DataFrame:
+    """The score of each (corpus, word) wanted, 0 where there is none."""
+    return looked_up(tf_idf(df, params), wanted, ["corpus", "word"])
+
+
+def word_scores_map(df: DataFrame, params: TfIdfParams | None = None) -> DataFrame:
+    """One map of word to score for each corpus; a vocabulary is one row here, so it has to fit into one."""
+    return as_map(tf_idf(df, params), "word", by=["corpus"])

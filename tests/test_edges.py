@@ -10,7 +10,7 @@ from lexarium.operators.co_occurrence import CoOccurrence
 from lexarium.operators.common import ranked
 from lexarium.operators.rake import Rake
 from lexarium.operators.text_rank import TextRank, word_rank
-from lexarium.operators.tf_idf import ranked_words, tf_idf
+from lexarium.operators.tf_idf import ranked_words, tf_idf, word_score, word_scores_map
 from lexarium.operators.tokenizer import Tokenizer
 from lexarium.operators.yake import Yake
 from lexarium.params import RakeParams, TextRankParams, TextSplit, TfIdfInput, TfIdfParams, TokenizerParams, YakeParams
@@ -65,10 +65,13 @@ def test_paragraphs_keep_empty_ones(docs):
     assert {r["word"]: round(r["score"], 6) for r in scores.collect()} == {"foo": 0.57735, "bar": 0.57735, "baz": 0.57735}
 
 
-def test_processed_documents(docs):
+def test_processed_documents(docs, spark):
     params = TfIdfParams(kind=TfIdfInput.PROCESSED)
     scores = {r["word"]: round(r["score"], 6) for r in tf_idf(docs("a b a", "b c"), params).collect()}
     assert scores == {"a": 0.754584, "b": 0.536893, "c": 0.377292}
+    wanted = spark.createDataFrame([(0, "a"), (0, "nowhere")], "corpus int, word string")
+    assert {r["word"]: round(r["score"], 6) for r in word_score(docs("a b a", "b c"), wanted, params).collect()} == {"a": 0.754584, "nowhere": 0.0}
+    assert {k: round(v, 6) for k, v in word_scores_map(docs("a b a", "b c"), params).first()["scores"].items()} == scores
     assert ranked_words(docs("a b a", "b c"), 0, params).count() == 0
     assert [r["word"] for r in ranked_words(docs("a b a", "b c"), 99, params).orderBy("rank").collect()] == ["a", "b", "c"]
 
