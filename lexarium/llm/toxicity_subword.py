@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexarium.llm.common import free_name, spread
 
 #: Labelled rows that training sees at most, by label, chosen by the hash of doc_id.
-TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
+TOXIC_ROWS, CLEAN_ROWS = 2500, 5000
 SHORTEST, LONGEST = 3, 6
 TABLE_BITS = 18
 WIDTH = 8
@@ -87,8 +87,8 @@ def _word_bags(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     members, starts = [], [0]
     for text in docs:
         own = {ids.setdefault(w, len(ids)) for w in text.split(" ") if w}
-        members.extend(sorted(own))
-        starts.append(len(members))
+        members.append(np.array(sorted(own), np.int32))
+        starts.append(starts[-1] + len(own))
     words, buckets, sizes = list(ids), [], []
     for at in range(0, len(words), 20_000):
         part = words[at : at + 20_000]
@@ -97,7 +97,7 @@ def _word_bags(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         buckets.append(b[order])
         sizes.append(np.bincount(w, minlength=len(part)))
     sizes = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-    return np.concatenate(buckets) if buckets else np.empty(0, np.int32), sizes, np.array(members, np.int64), np.array(starts, np.int64)
+    return np.concatenate(buckets) if buckets else np.empty(0, np.int32), sizes, np.concatenate([np.empty(0, np.int32), *members]), np.array(starts, np.int64)
 
 
 def train(docs: list[str], labels: list[int], seed: int = 5, steps: int = STEPS) -> SubwordModel | None:
@@ -119,14 +119,23 @@ def train(docs: list[str], labels: list[int], seed: int = 5, steps: int = STEPS)
     w = random.normal(0, 0.5, (2, WIDTH)).astype(np.float32)
     c = np.zeros(2, np.float32)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    seen = np.unique(buckets)
-    local = np.searchsorted(seen, buckets)
+    met = np.zeros(1 << TABLE_BITS, bool)
+    met[buckets] = True
+    seen = np.flatnonzero(met)
+    local = (np.cumsum(met, dtype=np.int32) - 1)[buckets]
+    del buckets
     e_seen = e[seen]
+    # words in blocks of bounded size: no array over all n-grams is made in a step
+    cuts = [0]
+    while cuts[-1] < len(sizes):
+        cuts.append(min(len(sizes), int(np.searchsorted(bag_start, bag_start[cuts[-1]] + _CHUNK, "right"))))
+    spans = [(a, b, bag_start[a], bag_start[b] if b < len(sizes) else len(local)) for a, b in zip(cuts, cuts[1:])]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e_seen, w, c)]
     for step in range(steps):
         sharp = 1.0 + 5.0 * step / steps  # the soft maximum grows harder
         v = w[1] - w[0]
-        z = np.add.reduceat((e_seen @ v)[local], bag_start).astype(np.float64) * share + float(c[1] - c[0])
+        each = e_seen @ v
+        z = np.concatenate([np.add.reduceat(each[local[i:j]], bag_start[a:b] - i) for a, b, i, j in spans]).astype(np.float64) * share + float(c[1] - c[0])
         zd = z[members] * sharp
         top = np.maximum.reduceat(zd, first)
         mass = np.exp(zd - top[doc_of])
@@ -136,7 +145,11 @@ def train(docs: list[str], labels: list[int], seed: int = 5, steps: int = STEPS)
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         g_doc = (p - y) * weight / len(y)
         g_word = np.bincount(members, attention * g_doc[doc_of], minlength=len(sizes))
-        g_bucket = np.bincount(local, np.repeat(g_word * share, sizes), minlength=len(seen)).astype(np.float32)
+        g_word *= share
+        g_bucket = np.zeros(len(seen))
+        for a, b, i, j in spans:
+            g_bucket += np.bincount(local[i:j], np.repeat(g_word[a:b], sizes[a:b]), minlength=len(seen))
+        g_bucket = g_bucket.astype(np.float32)
         g_v = e_seen.T @ g_bucket
         grads = (np.outer(g_bucket, v), np.stack((-g_v, g_v)), np.array([-g_doc.sum(), g_doc.sum()], np.float32))
         for param, grad, (m1, m2), rate in zip((e_seen, w, c), grads, state, (0.1, 0.05, 0.05)):
