@@ -246,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
     sample = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = texts.mapInArrow(_distinct_words, "doc_id long, words string, toxic int").toPandas().sort_values(["doc_id", "words"])
+    found = texts.mapInArrow(_distinct_words, "doc_id long, words string, toxic int")
+    once = found.groupBy("doc_id").agg(F.min(F.struct("words", "toxic")).alias("row")).select("doc_id", "row.*")  # repeated rows don't lift the bound
+    rows = once.toPandas().sort_values("doc_id")
     return train_calibrated(rows["words"].tolist(), rows["toxic"].tolist())
 
 
