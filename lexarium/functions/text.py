@@ -21,15 +21,20 @@ _LETTERS = r"[\p{L}\p{Nl}][\p{L}\p{Nl}\p{M}\p{Cf}]*"
 _JAVA_LETTERS = r"[\p{L}\p{Nl}&&[^\p{IsHan}\p{IsHiragana}]][\p{L}\p{Nl}\p{M}\p{Cf}&&[^\p{IsHan}\p{IsHiragana}]]*+"
 
 
-def _token_pattern(letters: str, first: str = "") -> str:
-    """Words by the rules of word boundaries: letters joined by a mark inside, numbers likewise, connectors; else one character."""
+def _token_pattern(letters: str, first: str = "", hold: str = "") -> str:
+    """Words by the rules of word boundaries: letters joined by a mark inside, numbers likewise, connectors; else one character.
+
+    hold: what makes a repetition possessive, where the engine knows that.
+    """
     mid_letter, mid_number = "[.:'\u2018\u2019\u2024\u00B7]", "[.,;'\u2018\u2019\u2024]"
-    return rf"{first}(?:{letters}(?:{mid_letter}{letters})*|\p{{Nd}}+(?:{mid_number}\p{{Nd}}+)*|\p{{Pc}}+)+|\S"
+    words, numbers = rf"{letters}(?:{mid_letter}{letters})*{hold}", rf"\p{{Nd}}+{hold}(?:{mid_number}\p{{Nd}}+{hold})*{hold}"
+    return rf"{first}(?:{words}|{numbers}|\p{{Pc}}+{hold})+{hold}|\S"
 
 
-#: Tokens that aren't blank. The Java form takes ideographs and Hiragana one by one.
+#: Tokens that aren't blank.
 TOKEN = _token_pattern(_LETTERS)
-JAVA_TOKEN = _token_pattern(_JAVA_LETTERS, r"[\p{IsHan}\p{IsHiragana}]\p{M}*|")
+#: The Java form takes ideographs and Hiragana one by one. Its repetitions are possessive: others recurse, and a token of some 10,000 parts would end the JVM's stack.
+JAVA_TOKEN = _token_pattern(_JAVA_LETTERS, r"[\p{IsHan}\p{IsHiragana}]\p{M}*+|", "+")
 
 _CLOSE = r"[\"'\p{Ps}\p{Pe}\p{Pi}\p{Pf}]"
 _BLANK = r"[ \t\x0B\f\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"

@@ -35,8 +35,14 @@ def test_words(docs, text, expected):
     assert words_of(docs, text) == expected.split(" ")
 
 
-def test_long_word(docs):
-    assert words_of(docs, "x" * 200_000) == ["x" * 200_000]
+@pytest.mark.parametrize("part", ["x", "a1", "a.", "1,", "_a", "'", '".'])
+def test_long_tokens(docs, part):
+    """Tokens of any length and of any number of parts; the engine mustn't recurse over them."""
+    text = part * 100_000 + "z"
+    found = Tokenizer().words_column(F.col("text"))
+    words, sentences = docs(text).select(found, X.sentences(F.col("text"))).first()
+    assert len("".join(sentences)) == len(text)
+    assert words[-1].endswith("z") and len(words) <= 2
 
 
 def test_punctuation_list(docs):
