@@ -174,6 +174,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.join(repeated.select("fp"), "fp").groupBy("fp", "sha").agg(F.count("*").alias("n"), first.alias("first"))
     odd = F.raise_error(F.lit("texts with equal SHA-256 differ in their bytes"))
     classes = classes.join(verified, ["fp", "sha"]).select("fp", "sha", F.when(F.col("n") == F.col("n_equal"), F.col("n")).otherwise(odd.cast("long")).alias("n"), F.col("first.id").alias("id"), F.col("first.row").alias("first_row"))
+    classes = written(classes, "classes")  # so that both sides of the last join are plain exchanges, and a hot class can be split
     found = rows.join(classes, ["fp", "sha"], "left")
     alone = F.col("n").isNull()
     return found.select(
