@@ -24,8 +24,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def by_document(df: DataFrame) -> DataFrame:
-    """df hashed by doc_id. All groupings and windows over doc_id and more keep this partitioning, so the text is the one thing that is shuffled."""
-    return df.repartition("doc_id")
+    """df hashed by doc_id. All groupings and windows over doc_id and more keep this partitioning, so the text is the one thing that is shuffled.
+
+    The number is named, because the work on a text far outweighs its bytes:
+    partitions that are merged by size would leave cores idle.
+    """
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), "doc_id")
 
 
 def ranked(scores: DataFrame, n: int, key: str, score: str = "score", by: list[str] | None = None) -> DataFrame:
