@@ -59,6 +59,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_grid.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_quality_rules, op3_exact_duplicates, op4_html_text, op5_byte_bpe, op6_pseudonyms, op7_licenses, op8_simhash, op9_mix, op10_toxicity]
+    found = [op1_packing, op2_quality_rules, op3_exact_duplicates, op4_html_text, op5_byte_bpe, op6_pseudonyms, op7_licenses, op7_license_passages, op8_simhash, op9_mix, op10_toxicity]
     return {f.__name__: f for f in found}
 
 

@@ -190,3 +190,44 @@ def test_licenses_equal_brute_force(spark, awkward, empty):
 def test_licenses_run_no_python(numbered):
     plan = license_join.licenses(numbered)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+    "apache-2": "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+}
+
+
+def brute_passages(text):
+    import re
+
+    words = re.findall(license_join.WORDS, re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    found = []
+    for notice, label in license_join.NOTICES:
+        own, length = set(notice.split()), -(-5 * len(notice.split()) // 4)
+        n, less = max(((len(own & set(words[k : k + length])), -k) for k, w in enumerate(words) if w in own), default=(0, 0))
+        if n >= license_join.need(len(own)):
+            found.append((-less, label, n / len(own)))
+    return found
+
+
+def test_wrapped_notices(spark, awkward, empty):
+    r = random.Random(8)
+    texts = list(WRAPPED.values())
+    for _ in range(60):
+        own = r.choice(license_join.NOTICES)[0].split()
+        kept = [x for w in own if r.random() < r.choice((0.8, 1.0)) for x in ([w] if r.random() < 0.9 else [w, r.choice(("other", "\n", "the"))])]
+        texts.append(" ".join([r.choice(("alpha", "the", "license", "\n")) for _ in range(r.randint(0, 60))] + kept + ["end", "of", "it"] * r.randint(0, 9)))
+    apart = " ".join(w + " filler" * 9 for w in license_join.NOTICES[7][0].split())
+    texts += [apart, None, ""]
+    rows = {row["doc_id"]: row for row in license_join.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, label in enumerate(WRAPPED):
+        assert label in rows[k]["labels"].split(",")
+    for k, text in enumerate(texts):
+        assert [tuple(p) for p in rows[k]["passages"]] == brute_passages(text), text
+    assert rows[len(texts) - 3]["labels"] == ""
+    assert license_join.passages(awkward).count() == awkward.count() and license_join.passages(empty).count() == 0
+    plan = license_join.passages(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
