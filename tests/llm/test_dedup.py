@@ -6,7 +6,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexarium.llm import exact_cqf as cqf
+from lexarium.llm import near_copies
 from lexarium.llm import simhash_grid as grid
 
 
@@ -153,3 +155,65 @@ def test_near_awkward(awkward, empty):
     assert grid.near_duplicates(empty).count() == 0
     left = grid.drop_near_duplicates(awkward)
     assert left.columns == awkward.columns and {1, 3, 7, 8} <= {r["doc_id"] for r in left.collect()}
+
+
+def brute_shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_near(texts):
+    """The component of each text under Jaccard similarity 0.8 of five-word shingles."""
+    sets = [brute_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def edited(n=60, seed=6):
+    """Texts and copies with some words changed, near and beyond similarity 0.8."""
+    r = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(500)]
+    out = []
+    for k in range(n):
+        own = [words[i] for i in r.integers(0, 500, int(r.integers(60, 200)))]
+        out.append(" ".join(own))
+        for _ in range(k % 4):
+            copy = list(own)
+            for at in r.integers(0, len(copy), int(r.integers(1, 6))):
+                copy[at] = "changed"
+            out.append(" ".join(copy))
+    return [*out, "one", "ONE", "one two", "", None, " "]
+
+
+def test_pipeline_drops_near_copies_at_four_fifths(spark):
+    texts = edited()
+    label = brute_near(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()}
+    assert [found[k] for k in range(len(texts))] == label
+    left = corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(label)) and len(set(label)) < len(texts) - 20
+
+
+def test_near_copies_in_blocks(spark):
+    """A cell limit of a few rows sends large cells through the pairs of blocks."""
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(5, 145, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in near_copies.near_copies(df, cell_rows=4).collect()} == {0}
+
+
+def test_near_copies_awkward(spark, awkward, empty):
+    found = near_copies.near_copies(awkward).collect()
+    assert len(found) == awkward.count()
+    assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] in (1, 2, 3, 4, 5)} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+    left = near_copies.drop_near_copies(awkward)
+    assert left.columns == awkward.columns and {1, 3, 7, 8, None} == {r["doc_id"] for r in left.collect()}
+    assert near_copies.drop_near_copies(empty).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (2, "something else that stands here once")], "doc_id long, text string")
+    assert sorted(r["text"] for r in near_copies.drop_near_copies(twice).collect()) == ["a b c d e f g", "something else that stands here once"]
