@@ -39,6 +39,19 @@ _NUMBER = re.compile(
     )(?![0-9A-Za-z])(?!\.[0-9])""",
     re.VERBOSE,
 )
+_KINDS = ("iban", "iso", "day", "ip", "ssn", "card", "phone")
+#: Each format by itself, for other readings of a place whose first reading isn't valid; a time may follow an ISO date.
+_ENDS = r"(?![0-9A-Za-z])(?!\.[0-9])"
+_ONE = {
+    "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?" + _ENDS),
+    "iso": re.compile(r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?:(?=T[0-9]{2})|" + _ENDS + ")"),
+    "day": re.compile(r"[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}" + _ENDS),
+    "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _ENDS),
+    "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _ENDS),
+    "card": re.compile(r"[0-9](?:[ -]?[0-9]){12,18}" + _ENDS),
+    "phone": re.compile(r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{8,15})" + _ENDS),
+}
+_ISO_TIME = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?=T[0-9]{2})")
 
 
 class Permutation:
@@ -204,16 +217,34 @@ class Pseudonyms:
                 yield local.start(), host.end(), "email", self.email(local.group(), host.group())
             at = text.find("@", at + 1)
 
+    def _reading(self, text: str, at: int) -> tuple[int, str, str] | None:
+        """(end, kind, pseudonym) of the first format that matches at this place and validates, the longest end first."""
+        for kind in _KINDS:
+            m = _ONE[kind].match(text, at)
+            while m:
+                if new := getattr(self, kind)(m.group()):
+                    return m.end(), kind, new
+                cut = max(m.group().rfind(" "), m.group().rfind("-")) if kind in ("iban", "card", "phone") else -1
+                m = _ONE[kind].match(text, at, at + cut) if cut > 0 else None  # ends at a group's border
+        return None
+
     def _numbers(self, text: str) -> Iterator[tuple[int, int, str, str]]:
         at = 0
-        while m := _NUMBER.search(text, at):
-            kind = m.lastgroup
-            new = getattr(self, kind)(m.group(kind))
-            if new is None:
-                at = _after_number(text, m.start() + 1)
+        timed = _ISO_TIME.search(text)
+        while (m := _NUMBER.search(text, at)) or timed:
+            if timed and (not m or timed.start() <= m.start()):
+                m = timed
+            start = m.start()
+            if timed and timed.start() <= start:
+                timed = _ISO_TIME.search(text, timed.end())
+            found = self._reading(text, start)
+            if found is None:
+                at = _after_number(text, start + 1)
             else:
-                yield m.start(), m.end(), {"iso": "date", "day": "date"}.get(kind, kind), new
-                at = m.end()
+                at, kind, new = found
+                yield start, at, {"iso": "date", "day": "date"}.get(kind, kind), new
+            while timed and timed.start() < at:
+                timed = _ISO_TIME.search(text, timed.end())
 
     def rewrite(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and (start, end, kind) of each in the new text."""

@@ -133,6 +133,23 @@ def test_what_does_not_validate_stays(text):
     assert pii_feistel.Pseudonyms(b"k").rewrite(text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    "text, kinds, left",
+    [
+        ("Card 4111 1111 1111 1111 12/27", ["card"], " 12/27"),
+        ("Card 4111111111111111 123", ["card"], " 123"),
+        ("call 555-123-4567 555-987-6543", ["phone", "phone"], ""),
+        ("BE68539007547034 EUR 20", ["iban"], " EUR 20"),
+        ("2024-01-15T10:30:00Z", ["date"], "T10:30:00Z"),
+        ("at 2024-01-15T10:30:00Z from 161.17.88.162 and 2024-01-16T10:30", ["date", "ip", "date"], "T10:30"),
+    ],
+)
+def test_values_next_to_others(text, kinds, left):
+    new, spans = pii_feistel.Pseudonyms(b"k").rewrite(text)
+    assert [k for _, _, k in spans] == kinds and new.endswith(left) and len(spans) == len({new[a:b] for a, b, _ in spans})
+    assert all(new[a:b] not in text for a, b, _ in spans)
+
+
 def test_long_text_without_end():
     text = "a" * 300_000 + "@" + "1-" * 100_000
     assert pii_feistel.Pseudonyms(b"k").rewrite(text)[1] == []
