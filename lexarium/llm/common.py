@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space and the five ASCII control blanks.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
+#: The most rows of a number or two that are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1 << 20
 
 _own_folder: str | None = None
+_paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    A cluster names it in spark.checkpoint.dir. Where the setting is absent
-    (tests, one machine) a temporary folder is made once and used.
+    A cluster names it in spark.checkpoint.dir, and has to: a folder of the
+    driver's own machine would be another one on each executor. On a local
+    master alone a temporary folder is made once, used, and removed at the end.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="lexarium-")
+        atexit.register(shutil.rmtree, _own_folder.removeprefix("file://"), ignore_errors=True)
     return _own_folder
 
 
@@ -38,9 +48,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete all that ``written`` has put into the shared folder; for use once the results are stored. Returns how many tables went."""
+    gone, path_of = 0, spark._jvm.org.apache.hadoop.fs.Path
+    while _paths:
+        path = path_of(_paths.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df, written with a number for each row, and the name of that column.
+
+    The number stands in the table, so it names the same row in every later
+    read, whatever doc_id the row has.
+    """
+    row = free_name(df, "row_number")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), label), row
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores.
 
@@ -66,7 +96,32 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_ids(df: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id isn't in gone(doc_id); rows without one stay."""
-    key = free_name(df, "gone_id")
-    return df.join(gone.select(gone["doc_id"].alias(key)).distinct(), F.col("doc_id") == F.col(key), "left_anti")
+def met(df: DataFrame, small: DataFrame, row: str, how: str) -> DataFrame:
+    """df joined by row number with a written table that has fewer rows.
+
+    The table is counted first: up to BROADCAST_ROWS rows it is broadcast and
+    df, which holds the texts, stays where it is; beyond, both are shuffled by
+    row number, which no key makes uneven.
+    """
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, row, how)
+
+
+def without_rows(df: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of a numbered df that aren't among gone(row), without their numbers."""
+    return met(df, written(gone.select(row), "gone"), row, "left_anti").drop(row)
+
+
+def least_rows(df: DataFrame, n: int, order: Column, *ties: str) -> DataFrame:
+    """The n rows of df with the least order, a hash of 64 bits, then the least ties.
+
+    A bound on the hash, taken from the count, lets through little more than n
+    rows of the whole table, so the sort that follows gathers no n rows from
+    every partition. Where the bound lets through too few, all rows are sorted.
+    """
+    total = df.count()
+    if total > 4 * n:
+        share = 1.5 * n / total + 64 / total
+        bounded = df.filter(order < F.lit(-(1 << 63) + int(share * (1 << 64))).cast("long"))
+        if bounded.count() >= n:
+            df = bounded
+    return df.orderBy(order, *ties).limit(n)

@@ -69,7 +69,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    found = curriculum.mix(table(spark, sf_dir, "documents"))
+    first, last = (F.round(F.try_element_at("positions", F.lit(k)), 9) for k in (1, -1))
+    return found.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"), last.alias("last_position"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,25 +96,31 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha AS text_sha256 FROM r
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS place
+    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS place
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source
 ), weighed AS (
-  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(rank % 3 + 1 AS INT)] AS weight, source_size * 2.0::DOUBLE AS cap FROM per
+  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(rank % 3 + 1 AS INT)] AS weight, [-0.5::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE][CAST(rank % 3 + 1 AS INT)] AS slope,
+    source_size * 2.0::DOUBLE AS cap FROM per
 ), levels AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
 ), filled AS (
-  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= cap / weight THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM levels
+  SELECT source, source_size, slope, least(cap, coalesce(max(CASE WHEN level <= cap / weight THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM levels
 ), run AS (
-  SELECT s.*, f.source_size, f.target,
+  SELECT s.*, f.source_size, f.target, f.slope,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized s JOIN filled f ON s.source IS NOT DISTINCT FROM f.source
+), counted AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(least(greatest(ceil((target - start - size / 2.0::DOUBLE) / source_size), 0), 2) AS BIGINT) END AS copies FROM run
+), progressed AS (
+  SELECT *, least((start + size / 2.0::DOUBLE) / greatest(target, 1e-9), 1.0::DOUBLE) AS p1, least((start + (copies - 1) * source_size + size / 2.0::DOUBLE) / greatest(target, 1e-9), 1.0::DOUBLE) AS p2 FROM counted
 )
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE size * CAST(least(greatest(ceil((target - start - size / 2.0::DOUBLE) / source_size), 0), 2) AS BIGINT) END AS taken
-FROM run
+SELECT doc_id, size, source_size, target, size * copies AS taken,
+  CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN p1 ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * p1) - (1 - slope)) / (2 * slope) END, 9) END AS first_position,
+  CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN p2 ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * p2) - (1 - slope)) / (2 * slope) END, 9) END AS last_position
+FROM progressed
 """
 
 

@@ -7,11 +7,13 @@ above the Hamming distance of the fingerprints. The counts are kept in unary
 (0 -> 00, 1 -> 01, 2 -> 11), so that the whole vector is one 64-bit number
 and the Manhattan distance of two vectors is the bit count of their xor.
 
-The grid: the 32 segments form five groups. Vectors at distance 3 or less
-differ in three groups at most, so they agree on two groups or more and share
-a cell of one of the ten grids that are laid over pairs of groups. A
+The grid: the 32 segments form g groups. Vectors at distance 3 or less differ
+in three groups at most, so they agree on g - 3 groups or more and share a
+cell of one of the grids that are laid over every choice of g - 3 groups. A
 range-join over the cells finds all pairs within the distance; the lower
-bound is tested first and the Hamming distance after it.
+bound is tested first and the Hamming distance after it. g follows from the
+number of distinct fingerprints: with five groups a cell agrees on about 18
+bits, with seven on 26, with ten on 32, at the price of more grids.
 
 A cell never expands into all its pairs: the links of a cell are followed from
 fingerprint to fingerprint against those not yet reached, and only a spanning
@@ -25,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import spread, without_ids, written
+from lexarium.llm.common import numbered, spread, without_rows, written
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-GROUPS = 5
+GROUPS = (5, 6, 7, 8, 9, 10)
+#: What a row of a cell costs against one comparison within it.
+ROW_COST = 1000
 _LOW = 0x5555555555555555
 _CHUNK = 1 << 15
 
@@ -64,13 +69,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(values.view(np.int64))], names=["row", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64 bits as a signed long."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return spread(slim).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+def fingerprints(source: DataFrame) -> DataFrame:
+    """(row, doc_id, fp) of every row of source(row, doc_id, text); fp is the 64 bits as a signed long."""
+    return source.select("row", "doc_id", "text").mapInArrow(_fingerprint_batches, "row long, doc_id long, fp long")
 
 
 def unary_counts(fp: Column) -> Column:
@@ -85,7 +89,16 @@ def unary_counts_of(fp: np.ndarray) -> np.ndarray:
     return ((fp | other) & low) | (((fp & other) & low) << np.uint64(1))
 
 
-def grid_masks(groups: int = GROUPS, distance: int = DISTANCE) -> list[int]:
+def groups_for(rows: int, distance: int = DISTANCE) -> int:
+    """The number of groups with the least work for so many distinct fingerprints: rows of cells and comparisons within them.
+
+    Two random counts of two bits agree with probability 3/8.
+    """
+    work = lambda g: comb(g, distance) * (ROW_COST + rows / 2 * 0.375 ** (32 * (g - distance) / g))
+    return min(GROUPS, key=work)
+
+
+def grid_masks(groups: int = GROUPS[0], distance: int = DISTANCE) -> list[int]:
     """One signed mask for each grid: the groups on which a cell's members agree."""
     edges = [round(32 * g / groups) for g in range(groups + 1)]
     parts = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
@@ -168,11 +181,12 @@ def _cell_links(distance: int):
     return run
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, cell_rows: int = 8192) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None, cell_rows: int = 8192) -> DataFrame:
     """(a, b), a < b: links that connect just what all pairs within the distance connect.
 
-    distinct: one column fp without repeats.
+    distinct: one column fp without repeats; it is counted to choose the groups.
     """
+    groups = groups or groups_for(distinct.count(), distance)
     unary = unary_counts(F.col("fp"))
     cells = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), unary.bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(grid_masks(groups, distance))])).alias("cell"))
     half = cell_rows // 2
@@ -221,6 +235,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _decided(source: DataFrame, distance: int) -> DataFrame:
+    """source(row, doc_id, text) to (row, doc_id, fp, component_id, first_row) of every row."""
+    rows = written(fingerprints(source), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
+    distinct = written(rows.groupBy("fp").agg(first.alias("first")), "distinct")
+    roots = components(links(distinct.select("fp"), distance))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = written(rooted.drop("first").join(lowest, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.row").alias("first_row")), "components")
+    return rows.join(named, "fp").select("row", "doc_id", "fp", "component_id", "first_row")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs(doc_id, text, ...).
 
@@ -232,19 +258,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     other; repeated rows stay repeated; an empty table gives an empty result;
     further columns of docs are ignored, whatever their names.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return _decided(slim.withColumn("row", F.monotonically_increasing_id()), distance).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The columns and rows of docs with one document of each component: the one with the smallest doc_id.
+    """The columns and rows of docs with one row of each component: the one with the smallest doc_id.
 
-    A row without a doc_id can't be named by the decision and stays.
+    Rows are named by a written number, so those without a doc_id, and those
+    that share one, are each decided on by their own text.
     """
-    decided = near_duplicates(docs, distance)
-    return without_ids(docs, decided.filter(F.col("doc_id") != F.col("component_id")))
+    named, row = numbered(docs, "numbered")
+    decided = _decided(named.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), distance)
+    return without_rows(named, row, decided.filter(F.col("row") != F.col("first_row")).select(F.col("row").alias(row)))

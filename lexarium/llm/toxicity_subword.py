@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import free_name, spread
+from lexarium.llm.common import free_name, least_rows, spread, written
 
 #: Labelled rows that training sees at most, by label, chosen by the hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 2500, 5000
@@ -241,9 +241,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> SubwordModel | None:
     """A model from labelled rows that aren't held out: at most toxic_rows and clean_rows of them, by the hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = written(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
     order = F.xxhash64("doc_id")
-    chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
+    chosen = [least_rows(known.filter(F.col("toxic") == k), n, order, "doc_id") for k, n in ((1, toxic_rows), (0, clean_rows))]
     sample = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     found = texts.mapInArrow(_distinct_words, "doc_id long, words string, toxic int")

@@ -63,10 +63,43 @@ def test_exact_awkward(awkward, empty):
     assert cqf.exact_duplicates(empty).count() == 0
     left = cqf.drop_exact_duplicates(awkward)
     assert left.columns == awkward.columns
-    assert sorted((r["doc_id"] for r in left.collect()), key=str) == [2, 5, 7, 8, None, None]
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == [2, 5, 7, 8, None]
     assert cqf.drop_exact_duplicates(empty).count() == 0
 
 
+def test_exact_decides_by_row(spark):
+    """Rows that share a doc_id, or have none, are decided on by their own text."""
+    for rows in ([(1, "aaa"), (5, "aaa"), (5, "unique other text")], [(5, "aaa"), (5, "aaa"), (5, "unique other text")], [(None, "aaa b"), (None, "aaab"), (3, "aaab"), (None, "unique other text")]):
+        df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+        left = cqf.drop_exact_duplicates(df).collect()
+        assert len(left) == 2 and left[0].__fields__ == ["doc_id", "text", "row"]
+        assert "unique other text" in {r["text"] for r in left}
+
+
+def test_near_decides_by_row(spark):
+    near = " ".join(f"w{k}" for k in range(400))
+    rows = [(5, near + " one"), (5, near + " two"), (5, "something else entirely that stands here once"), (None, near), (None, "and one more that is like nothing else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for drop in (grid.drop_near_duplicates, near_copies.drop_near_copies):
+        left = [(r["doc_id"], r["text"]) for r in drop(df).collect()]
+        assert len(left) == 3 and set(rows[2:3] + rows[4:]) <= set(left) and (None, near) not in left
+
+
+def test_sizes_follow_the_rows():
+    assert cqf.sizes(0, 1) == (4, 16) and cqf.sizes(4 * 10**10, 10**5)[0] == 17
+    assert all(4 <= b <= 24 and 16 <= q < 64 for n in (1, 10**3, 10**6, 10**9, 10**12) for b, q in [cqf.sizes(n, 1 + n // 10**6)])
+
+
+def test_groups_follow_the_rows():
+    found = [grid.groups_for(10**k) for k in range(0, 13, 2)]
+    assert found == sorted(found) and found[0] == 5 and found[-1] > 6
+
+
+def test_more_groups_find_the_same_links(spark):
+    for groups in (6, 8):
+        check_links(spark, random_fingerprints(200, 5), groups=groups)
+
+
 def brute_fingerprint(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
     if not words:

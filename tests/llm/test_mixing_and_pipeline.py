@@ -63,7 +63,24 @@ def test_mix_awkward(awkward, empty):
     assert sorted(r["size"] for r in rows if r["doc_id"] in (3, 4, 5)) == [0, 0, 0]
     assert curriculum.mix(empty).count() == 0 and curriculum.schedule(empty).count() == 0
     mixed = curriculum.mixed_documents(awkward)
-    assert mixed.columns == awkward.columns and mixed.filter("doc_id is null").count() == 0
+    assert mixed.columns == awkward.columns
+    text = "a text without a number to it"
+    assert mixed.filter(F.col("text") == text).count() == next(len(r["positions"]) for r in rows if r["doc_id"] is None and r["size"] == 7) > 0
+
+
+def test_mix_takes_each_row_as_often_as_scheduled(spark):
+    """Repeated and null doc_ids: rows are scheduled one by one."""
+    docs = spark.createDataFrame([(k % 3 or None, f"{k} " * (1 + k % 5), "ab"[k % 2], k) for k in range(60)], "doc_id long, text string, source string, row_number long").repartition(4)
+    rows = curriculum.mix(docs).collect()
+    mixed = curriculum.mixed_documents(docs).collect()
+    assert len(mixed) == sum(len(r["positions"]) for r in rows)
+    assert sum(len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in rows)
+    per = {}
+    for r in mixed:
+        per[r["row_number"]] = per.get(r["row_number"], 0) + 1
+    assert len(per) == 60 and max(per.values()) == 2
+    first = [r["positions"][0] for r in rows if r["positions"]]
+    assert first == sorted(first) and all(0 <= p <= 1 for r in rows for p in r["positions"])
 
 
 def test_no_words_at_all(spark):
@@ -123,7 +140,7 @@ def test_queries_have_the_contract_columns(spark, small):
         "op5": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op7": "doc_id n_words n_base first_word last_word base_labels labels score",
         "op8": "doc_id fingerprint component_id",
-        "op9": "doc_id size source_size target taken",
+        "op9": "doc_id size source_size target taken first_position last_position",
         "op10": "doc_id held_out score predicted",
     }
     for name, query in llm.queries().items():
