@@ -1,11 +1,19 @@
-"""What the operators share: inputs, ranking and lookups."""
+"""What the operators share: inputs, work within a row, ranking and lookups."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+#: Values that a batch of results holds before it is handed on, one document's aside.
+_FLUSH = 1 << 16
+
 
 def documents(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of the rows that have a text."""
@@ -23,14 +31,43 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def by_document(df: DataFrame) -> DataFrame:
-    """df hashed by doc_id. All groupings and windows over doc_id and more keep this partitioning, so the text is the one thing that is shuffled.
+def within_rows(df: DataFrame, work: Callable[..., tuple], kinds: dict[str, str], nested: bool = False) -> DataFrame:
+    """(doc_id, *kinds): what ``work`` makes of the other columns of each row, as one list for each of kinds.
 
-    The number is named, because the work on a text far outweighs its bytes:
-    partitions that are merged by size would leave cores idle.
+    A row is a document: rows that share a doc_id, or have none, are scored
+    one by one, nothing is shuffled, and a task holds one document's words at a
+    time. nested: one row with arrays for each document, else a row for each
+    element.
     """
-    session = df.sparkSession
-    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), "doc_id")
+    inputs = [c for c in df.columns if c != "doc_id"]
+    types = [pa.list_(_ARROW[k]) if nested else _ARROW[k] for k in kinds.values()]
+    names = ["doc_id", *kinds]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            columns = [batch.column(c) for c in inputs]
+            rows, sizes, held = [], [], [[] for _ in types]
+
+            def out() -> pa.RecordBatch:
+                places = np.repeat(np.array(rows, np.int64), sizes) if not nested else np.array(rows, np.int64)
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(places)), *(pa.array(h, t) for h, t in zip(held, types))], names=names)
+
+            for k in range(batch.num_rows):
+                found = work(*(c[k].as_py() for c in columns))
+                rows.append(k)
+                sizes.append(len(found[0]))
+                for h, x in zip(held, found):
+                    h.append(x) if nested else h.extend(x)
+                if sum(sizes) >= _FLUSH:
+                    yield out()
+                    rows, sizes, held = [], [], [[] for _ in types]
+            if rows:
+                yield out()
+
+    kind_of_id = df.schema["doc_id"].dataType.simpleString()
+    fields = [f"`{n}` " + (f"array<{k}>" if nested else k) for n, k in kinds.items()]
+    return df.mapInArrow(run, ", ".join([f"doc_id {kind_of_id}", *fields]))
 
 
 def ranked(scores: DataFrame, n: int, key: str, score: str = "score", by: list[str] | None = None) -> DataFrame:
@@ -48,14 +85,13 @@ def ranked(scores: DataFrame, n: int, key: str, score: str = "score", by: list[s
 
 
 def looked_up(scores: DataFrame, wanted: DataFrame, on: list[str], score: str = "score") -> DataFrame:
-    """The score of each wanted row, 0 where it has none."""
+    """The score of each wanted row, 0 where it has none; one row for each document with that id."""
     return wanted.join(scores.select(*on, score), on, "left").withColumn(score, F.coalesce(F.col(score), F.lit(0.0)))
 
 
-def as_map(scores: DataFrame, key: str, score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """One map of key to score for each group."""
-    entry = F.collect_list(F.struct(F.col(key), F.col(score)))
-    return scores.groupBy(*(by or [])).agg(F.map_from_entries(F.array_sort(entry)).alias("scores"))
+def as_map(nested: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """(doc_id, scores): one map of key to score for each document, from its arrays."""
+    return nested.select("doc_id", F.map_from_arrays(key, score).alias("scores"))
 
 
 def rounded(column: str, digits: int = 6) -> Column:

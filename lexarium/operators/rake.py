@@ -2,48 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from lexarium.operators.common import as_map, by_document, documents, looked_up, ranked
-from lexarium.operators.tokenizer import Tokenizer
+from lexarium.functions.strings import best
+from lexarium.operators.common import as_map, documents, looked_up, spread, within_rows
+from lexarium.operators.tokenizer import Tokenizer, runs
 from lexarium.params import RakeParams
 
+_RANKED = {"score": "double", "rank": "int"}
+
+
+def word_counts(phrases: Iterator[list[str]]) -> tuple[dict[str, int], dict[str, int]]:
+    """Frequency and degree of each word."""
+    frequency: dict[str, int] = {}
+    degree: dict[str, int] = {}
+    for words in phrases:
+        others = len(words) - 1
+        for word in words:
+            frequency[word] = frequency.get(word, 0) + 1
+            degree[word] = degree.get(word, 0) + others
+    return frequency, degree
+
 
 class Rake:
-    """Scores of every document.
+    """Scores of every document; a row is a document.
 
     A word's score is degree / frequency, the degree being the sum of (length
     - 1) over the phrases of its occurrences; a phrase's score is the mean of
-    its words' scores, and equal phrases are one. The text is hashed by doc_id
-    once; both results follow without another shuffle.
+    its words' scores, and equal phrases are one. Words come from the JVM's
+    tokenizer and are counted where the row is: no shuffle.
     """
 
     def __init__(self, df: DataFrame, params: RakeParams | None = None):
         self.params = params or RakeParams()
-        phrases = Tokenizer(self.params).phrases_column(F.col("text"), self.params.phrase_length)
-        placed = by_document(documents(df)).select("doc_id", F.posexplode(phrases).alias("phrase_idx", "words"))
-        self.placed = placed.select("doc_id", "phrase_idx", F.size("words").alias("length"), F.array_join("words", " ").alias("phrase"), F.explode("words").alias("word"))
+        self.texts = spread(documents(df)).select("doc_id", Tokenizer(self.params).marked_column(F.col("text")).alias("marked"))
+
+    def _words(self, n: int | None = None, nested: bool = False) -> DataFrame:
+        length = self.params.phrase_length
+
+        def work(marked: str) -> tuple:
+            frequency, degree = word_counts(runs(marked, length))
+            words, counts, degrees = list(frequency), list(frequency.values()), list(degree.values())
+            scores = np.array(degrees, float) / np.array(counts, float)
+            return (words, counts, degrees, scores.tolist()) if n is None else best(words, scores, n)
+
+        kinds = {"word": "string", "frequency": "long", "degree": "long", "score": "double"} if n is None else {"word": "string", **_RANKED}
+        return within_rows(self.texts, work, kinds, nested)
+
+    def _phrases(self, n: int | None = None, nested: bool = False) -> DataFrame:
+        length = self.params.phrase_length
+
+        def work(marked: str) -> tuple:
+            found = list(runs(marked, length))
+            frequency, degree = word_counts(found)
+            score = {w: degree[w] / f for w, f in frequency.items()}
+            once = {" ".join(words): words for words in found}
+            values = [sum(map(score.__getitem__, words)) / len(words) for words in once.values()]
+            return (list(once), values) if n is None else best(list(once), np.array(values, float), n)
+
+        return within_rows(self.texts, work, {"phrase": "string", "score": "double"} if n is None else {"phrase": "string", **_RANKED}, nested)
 
     def word_scores(self) -> DataFrame:
         """(doc_id, word, frequency, degree, score)."""
-        counts = self.placed.groupBy("doc_id", "word").agg(F.count("*").alias("frequency"), F.sum(F.col("length") - 1).alias("degree"))
-        return counts.withColumn("score", F.col("degree") / F.col("frequency"))
+        return self._words()
 
     def phrase_scores(self) -> DataFrame:
         """(doc_id, phrase, score)."""
-        own = W.partitionBy("doc_id", "word")
-        scored = self.placed.select("doc_id", "phrase", "phrase_idx", "length", (F.sum(F.col("length") - 1).over(own) / F.count("*").over(own)).alias("score"))
-        once = scored.groupBy("doc_id", "phrase", "phrase_idx").agg((F.sum("score") / F.max("length")).alias("score"))
-        return once.groupBy("doc_id", "phrase").agg(F.max_by("score", -F.col("phrase_idx")).alias("score"))
+        return self._phrases()
 
     def ranked_keywords(self, n: int) -> DataFrame:
-        """The n best words of each document, by score to six places, then by the word."""
-        return ranked(self.word_scores().withColumn("score", F.round("score", 6)), n, "word", by=["doc_id"])
+        """(doc_id, word, score, rank): the n best words of each document, by score to six places, then by the word."""
+        return self._words(n)
 
     def ranked_phrases(self, n: int) -> DataFrame:
-        return ranked(self.phrase_scores().withColumn("score", F.round("score", 6)), n, "phrase", by=["doc_id"])
+        return self._phrases(n)
 
     def keyword_score(self, wanted: DataFrame) -> DataFrame:
         """The score of each (doc_id, word) wanted, 0 where there is none."""
@@ -53,7 +89,7 @@ class Rake:
         return looked_up(self.phrase_scores(), wanted, ["doc_id", "phrase"])
 
     def word_scores_map(self) -> DataFrame:
-        return as_map(self.word_scores(), "word", by=["doc_id"])
+        return as_map(self._words(nested=True), "word")
 
     def phrase_scores_map(self) -> DataFrame:
-        return as_map(self.phrase_scores(), "phrase", by=["doc_id"])
+        return as_map(self._phrases(nested=True), "phrase")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.operators.common import as_map, by_document, documents, looked_up, ranked, spread
-from lexarium.operators.tokenizer import Tokenizer
+from lexarium.functions.strings import best
+from lexarium.operators.common import as_map, documents, looked_up, spread, within_rows
+from lexarium.operators.tokenizer import Tokenizer, runs
 from lexarium.params import TextRankParams
 
+_RANKED = {"score": "double", "rank": "int"}
+
+
+def _numbered(words: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    index: dict[str, int] = {}
+    return index, np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+
 
 def _edges(ids: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directed edges of a stream of word ids, and their weights."""
@@ -31,14 +36,14 @@ def word_rank(words: list[str], p: TextRankParams, fixed: int | None = None) ->
 
     fixed: make just so many steps, whatever the change.
     """
-    index: dict[str, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    index, ids = _numbered(words)
     n = len(index)
     src, dst, weight = _edges(ids, p.window_size, max(n, 1))
     out = np.bincount(src, weight, n)
     share = weight / out[dst] if len(weight) else weight
     scores, steps, settled = np.ones(n), 0, False
-    while steps < (p.max_iterations if fixed is None else fixed):
+    most = p.max_iterations if fixed is None else fixed
+    while most is None or steps < most:
         new = (1 - p.damping) + p.damping * np.bincount(src, share * scores[dst], n)
         steps += 1
         settled = bool((np.abs(new - scores)[out > 0] < p.tolerance).all())
@@ -49,72 +54,87 @@ def word_rank(words: list[str], p: TextRankParams, fixed: int | None = None) ->
     return names[out > 0].tolist(), scores[out > 0], steps, settled
 
 
+def _stream(marked: str) -> list[str]:
+    return [w for run in runs(marked) for w in run]
+
+
 class TextRank:
-    """Ranks of every document.
+    """Ranks of every document; a row is a document.
 
     Words come from the JVM's tokenizer; the walk to the fixpoint runs in
-    numpy where the document is, one document at a time, so nothing is
-    shuffled for it.
+    numpy where the row is, one document at a time: no shuffle. With a damping
+    below 1 each step shrinks the change, so the walk ends without a bound on
+    its steps; ``max_iterations`` sets one on request, and ``converged`` tells
+    whether a document had settled.
     """
 
     def __init__(self, df: DataFrame, params: TextRankParams | None = None, fixed_steps: int | None = None):
         self.params, self.fixed = params or TextRankParams(), fixed_steps
-        self.tokenizer = Tokenizer(self.params)
-        self.docs = documents(df)
+        self.texts = spread(documents(df)).select("doc_id", Tokenizer(self.params).marked_column(F.col("text")).alias("marked"))
 
     def graph(self) -> DataFrame:
         """(doc_id, src, dst, weight): both directions of every edge."""
-        words = self.tokenizer.words_column(F.col("text"))
-        w = self.params.window_size
-        near = F.flatten(F.transform("words", lambda a, k: F.transform(F.filter(F.slice("words", k + 2, F.lit(max(w, 1))), lambda b: b != a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-        pairs = by_document(self.docs).select("doc_id", words.alias("words")).select("doc_id", F.explode(near).alias("e"))
-        both = pairs.select("doc_id", F.explode(F.array(F.struct(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")), F.struct(F.col("e.dst").alias("src"), F.col("e.src").alias("dst")))).alias("e"))
-        return both.groupBy("doc_id", "e.src", "e.dst").agg(F.count("*").alias("weight"))
+        window = self.params.window_size
+
+        def work(marked: str) -> tuple:
+            index, ids = _numbered(_stream(marked))
+            src, dst, weight = _edges(ids, window, max(len(index), 1))
+            names = list(index)
+            return [names[k] for k in src], [names[k] for k in dst], weight.astype(np.int64).tolist()
+
+        return within_rows(self.texts, work, {"src": "string", "dst": "string", "weight": "long"})
 
     def out_weights(self) -> DataFrame:
         """(doc_id, word, out_weight)."""
-        return self.graph().groupBy("doc_id", F.col("src").alias("word")).agg(F.sum("weight").alias("out_weight"))
+        window = self.params.window_size
+
+        def work(marked: str) -> tuple:
+            index, ids = _numbered(_stream(marked))
+            src, _, weight = _edges(ids, window, max(len(index), 1))
+            out = np.bincount(src, weight, len(index)).astype(np.int64).tolist()
+            return [w for w, x in zip(index, out) if x], [x for x in out if x]
+
+        return within_rows(self.texts, work, {"word": "string", "out_weight": "long"})
 
-    def _ranks(self, texts: DataFrame, of_phrases: bool) -> DataFrame:
-        """texts(doc_id, words, phrases) to doc_id, scores (array of key and score) and converged."""
+    def _words(self, n: int | None = None, nested: bool = False) -> DataFrame:
         params, fixed = self.params, self.fixed
-        kind = pa.list_(pa.struct([("key", pa.string()), ("score", pa.float64())]))
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    part = batch.slice(at, 64)
-                    found, settled = [], []
-                    for words, phrases in zip(part.column("words"), part.column("phrases")):
-                        names, values, _, done = word_rank(words.as_py() or [], params, fixed)
-                        scores = dict(zip(names, values.tolist()))
-                        if of_phrases:  # unknown words add nothing and count in the divisor
-                            parts = {" ".join(p): p for p in phrases.as_py()}
-                            scores = {key: sum(scores.get(w, 0.0) for w in p) / len(p) for key, p in parts.items()}
-                        found.append([{"key": k, "score": v} for k, v in scores.items()])
-                        settled.append(done)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind), pa.array(settled)], names=["doc_id", "scores", "converged"])
-
-        kind_of_id = texts.schema["doc_id"].dataType.simpleString()
-        return texts.mapInArrow(run, f"doc_id {kind_of_id}, scores array<struct<key:string,score:double>>, converged boolean")
+
+        def work(marked: str) -> tuple:
+            words, scores, _, settled = word_rank(_stream(marked), params, fixed)
+            found = (words, scores.tolist()) if n is None else best(words, scores, n)
+            return (*found, [settled] * len(found[0]))
+
+        kinds = {"score": "double"} if n is None else _RANKED
+        return within_rows(self.texts, work, {"word": "string", **kinds, "converged": "boolean"}, nested)
+
+    def _phrases(self, n: int | None = None, nested: bool = False) -> DataFrame:
+        params, fixed = self.params, self.fixed
+
+        def work(marked: str) -> tuple:
+            words, scores, _, settled = word_rank(_stream(marked), params, fixed)
+            score = dict(zip(words, scores.tolist()))
+            once = {" ".join(p): p for p in runs(marked, params.phrase_length)}
+            values = [sum(score.get(w, 0.0) for w in p) / len(p) for p in once.values()]  # unknown words add nothing and count in the divisor
+            found = (list(once), values) if n is None else best(list(once), np.array(values, float), n)
+            return (*found, [settled] * len(found[0]))
+
+        kinds = {"score": "double"} if n is None else _RANKED
+        return within_rows(self.texts, work, {"phrase": "string", **kinds, "converged": "boolean"}, nested)
 
     def word_scores(self) -> DataFrame:
         """(doc_id, word, score, converged); words without an edge are absent."""
-        texts = spread(self.docs).select("doc_id", self.tokenizer.words_column(F.col("text")).alias("words"), F.array().cast("array<array<string>>").alias("phrases"))
-        found = self._ranks(texts, False).select("doc_id", "converged", F.explode("scores").alias("s"))
-        return found.select("doc_id", F.col("s.key").alias("word"), "s.score", "converged")
+        return self._words()
 
     def phrase_scores(self) -> DataFrame:
-        """(doc_id, phrase, score): the sum of the words' scores over the number of words."""
-        phrases = self.tokenizer.phrases_column(F.col("text"), self.params.phrase_length)
-        texts = spread(self.docs).select("doc_id", self.tokenizer.words_column(F.col("text")).alias("words"), phrases.alias("phrases"))
-        return self._ranks(texts, True).select("doc_id", F.explode("scores").alias("s")).select("doc_id", F.col("s.key").alias("phrase"), "s.score")
+        """(doc_id, phrase, score, converged): the sum of the words' scores over the number of words."""
+        return self._phrases()
 
     def ranked_words(self, n: int) -> DataFrame:
-        return ranked(self.word_scores().withColumn("score", F.round("score", 6)), n, "word", by=["doc_id"])
+        """(doc_id, word, score, rank, converged): the n best of each document, by score to six places, then by the word."""
+        return self._words(n)
 
     def ranked_phrases(self, n: int) -> DataFrame:
-        return ranked(self.phrase_scores().withColumn("score", F.round("score", 6)), n, "phrase", by=["doc_id"])
+        return self._phrases(n)
 
     def word_score(self, wanted: DataFrame) -> DataFrame:
         """The score of each (doc_id, word) wanted, 0 where there is none."""
@@ -124,7 +144,7 @@ class TextRank:
         return looked_up(self.phrase_scores(), wanted, ["doc_id", "phrase"])
 
     def word_scores_map(self) -> DataFrame:
-        return as_map(self.word_scores(), "word", by=["doc_id"])
+        return as_map(self._words(nested=True), "word")
 
     def phrase_scores_map(self) -> DataFrame:
-        return as_map(self.phrase_scores(), "phrase", by=["doc_id"])
+        return as_map(self._phrases(nested=True), "phrase")

@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+from math import log, sqrt
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lexarium.functions import text as X
-from lexarium.operators.common import as_map, by_document, documents, looked_up, ranked, spread
-from lexarium.operators.tokenizer import Tokenizer
+from lexarium.functions.strings import best
+from lexarium.operators.common import documents, looked_up, ranked, spread, within_rows
+from lexarium.operators.tokenizer import Tokenizer, runs
 from lexarium.params import TextSplit, TfIdfInput, TfIdfParams
 
 
 def segments(df: DataFrame, params: TfIdfParams) -> DataFrame:
-    """(corpus, parts): the documents of each row, as their words. Empty ones stay, for they count.
-
-    A text block is a corpus of its own, named by doc_id; otherwise every row
-    is one document of corpus 0.
-    """
-    tokenizer, text = Tokenizer(params), F.col("text")
-    docs = documents(df)
-    if params.kind is TfIdfInput.TEXT_BLOCK:
-        if params.split is TextSplit.PHRASES:
-            parts = tokenizer.phrases_column(text)
-        else:
-            joined = tokenizer.sentences_column(text) if params.split is TextSplit.SENTENCES else tokenizer.paragraphs_column(text)
-            parts = F.transform(joined, X.split_blank)
-        return by_document(docs).select(F.col("doc_id").alias("corpus"), parts.alias("parts"))
-    whole = tokenizer.document_column(text) if params.kind is TfIdfInput.UNPROCESSED else text
-    return spread(docs).select(F.lit(0).alias("corpus"), F.array(X.split_blank(whole)).alias("parts"))
+    """(corpus, parts): the documents of corpus 0, a row each, as their words. Empty ones stay, for they count."""
+    whole = Tokenizer(params).document_column(F.col("text")) if params.kind is TfIdfInput.UNPROCESSED else F.col("text")
+    return spread(documents(df)).select(F.lit(0).alias("corpus"), F.array(X.split_blank(whole)).alias("parts"))
+
+
+def block_scores(parts: list[list[str]]) -> tuple[list[str], np.ndarray]:
+    """Words and scores of one text block, whose parts are its documents."""
+    count: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for part in parts:
+        for word in part:
+            count[word] = count.get(word, 0) + 1
+        for word in set(part):
+            held[word] = held.get(word, 0) + 1
+    raw = [c * (log((len(parts) + 1) / (held[w] + 1)) + 1) for w, c in count.items()]
+    length = sqrt(sum(v * v for v in raw))
+    return list(count), np.array(raw, float) / length if raw else np.empty(0)
+
+
+def _blocks(df: DataFrame, params: TfIdfParams, n: int | None = None, nested: bool = False) -> DataFrame:
+    """(doc_id, word, score) of every text block, or its n best words with their rank. A row is a block: no shuffle."""
+    tokenizer, text, by_phrase = Tokenizer(params), F.col("text"), params.split is TextSplit.PHRASES
+    if by_phrase:
+        joined, size = tokenizer.marked_column(text), F.lit(0)
+    else:
+        cut = tokenizer.sentences_column(text) if params.split is TextSplit.SENTENCES else tokenizer.paragraphs_column(text)
+        joined, size = F.array_join("cut", "\n"), F.size("cut")
+    placed = spread(documents(df)).select("doc_id", (text if by_phrase else cut).alias("text" if by_phrase else "cut"))
+    placed = placed.select("doc_id", joined.alias("joined"), size.alias("size"))
+
+    def work(joined: str, size: int) -> tuple:
+        parts = list(runs(joined)) if by_phrase else [part.split(" ") for part in joined.split("\n")] if size else []
+        words, scores = block_scores([[w for w in part if w] for part in parts])
+        return (words, scores.tolist()) if n is None else best(words, scores, n)
+
+    kinds = {"score": "double"} if n is None else {"score": "double", "rank": "int"}
+    return within_rows(placed, work, {"word": "string", **kinds}, nested).withColumnRenamed("doc_id", "corpus")
 
 
 def word_counts(cut: DataFrame) -> DataFrame:
@@ -55,23 +79,22 @@ def tf_idf(df: DataFrame, params: TfIdfParams | None = None) -> DataFrame:
     counts empty segments too.
     """
     params = params or TfIdfParams()
+    if params.kind is TfIdfInput.TEXT_BLOCK:
+        return _blocks(df, params)
     counts = word_counts(segments(df, params))
     raw = (F.col("count") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("raw")
-    squares = F.sum(F.col("raw") * F.col("raw"))
-    if params.kind is TfIdfInput.TEXT_BLOCK:
-        weighed = counts.select("corpus", "word", raw)
-        return weighed.select("corpus", "word", (F.col("raw") / F.sqrt(squares.over(W.partitionBy("corpus")))).alias("score"))
     size = documents(df).agg(F.count("*").alias("n"))  # one row, as is the length: the vocabulary isn't gathered in one task
     weighed = counts.drop("n").join(F.broadcast(size)).select("corpus", "word", raw)
-    norm = weighed.agg(F.sqrt(squares).alias("length"))
+    norm = weighed.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return weighed.join(F.broadcast(norm)).select("corpus", "word", (F.col("raw") / F.col("length")).alias("score"))
 
 
 def ranked_words(df: DataFrame, n: int, params: TfIdfParams | None = None) -> DataFrame:
-    """The n best words of each corpus, with score (to six places) and rank."""
+    """(corpus, word, score, rank): the n best words of each corpus, by score to six places, then by the word."""
     params = params or TfIdfParams()
-    scores = tf_idf(df, params).withColumn("score", F.round("score", 6))
-    return ranked(scores, n, "word", by=["corpus"] if params.kind is TfIdfInput.TEXT_BLOCK else None)
+    if params.kind is TfIdfInput.TEXT_BLOCK:
+        return _blocks(df, params, n)
+    return ranked(tf_idf(df, params).withColumn("score", F.round("score", 6)), n, "word")
 
 
 def word_score(df: DataFrame, wanted: DataFrame, params: TfIdfParams | None = None) -> DataFrame:
@@ -80,5 +103,9 @@ def word_score(df: DataFrame, wanted: DataFrame, params: TfIdfParams | None = No
 
 
 def word_scores_map(df: DataFrame, params: TfIdfParams | None = None) -> DataFrame:
-    """One map of word to score for each corpus; a vocabulary is one row here, so it has to fit into one."""
-    return as_map(tf_idf(df, params), "word", by=["corpus"])
+    """(corpus, scores): one map of word to score for each corpus; a vocabulary is one row here, so it has to fit into one."""
+    params = params or TfIdfParams()
+    if params.kind is TfIdfInput.TEXT_BLOCK:
+        return _blocks(df, params, nested=True).select("corpus", F.map_from_arrays("word", "score").alias("scores"))
+    entry = F.collect_list(F.struct("word", "score"))
+    return tf_idf(df, params).groupBy("corpus").agg(F.map_from_entries(F.array_sort(entry)).alias("scores"))

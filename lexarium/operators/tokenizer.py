@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,16 @@ from lexarium.functions import text as X
 from lexarium.operators.common import documents, spread
 from lexarium.params import TokenizerParams, _at_least_one
 
-_STOP = "\x1e"
+#: Stands for a stop word; words have no blanks, so it can't be one.
+_STOP = "\t"
+
+
+def runs(marked: str, length: int | None = None) -> Iterator[list[str]]:
+    """The phrases of a marked text, as lists of words; cut after ``length`` words where that is given."""
+    for run in marked.split(_STOP):
+        words = [w for w in run.split(" ") if w]
+        for at in range(0, len(words), length or max(1, len(words))):
+            yield words[at : at + length] if length else words
 
 
 class Tokenizer:
@@ -40,15 +51,19 @@ class Tokenizer:
         join and one split find all runs in a single pass.
         """
         _at_least_one(length, "length")
+        found = F.transform(F.split(self.marked_column(text), _STOP), lambda run: F.filter(F.split(run, " "), lambda w: w != ""))
+        found = F.filter(found, lambda run: F.size(run) > 0)
+        if length is None:
+            return found
+        cut = lambda run: F.transform(F.sequence(F.lit(0), F.floor((F.size(run) - 1) / length).cast("int")), lambda k: F.slice(run, k * length + 1, F.lit(length)))
+        return F.flatten(F.transform(found, cut))
+
+    def marked_column(self, text: Column) -> Column:
+        """The words of a text, joined, with a mark for each stop word: all that phrases follow from."""
         p = self.params
         some = X.kept_words(X.tokens(text), (), p.punctuation)
         marked = F.transform(some, lambda w: F.when(w.isin(list(p.stop_words)), F.lit(_STOP)).otherwise(w)) if p.stop_words else some
-        runs = F.transform(F.split(F.array_join(marked, " "), _STOP), lambda run: F.filter(F.split(run, " "), lambda w: w != ""))
-        runs = F.filter(runs, lambda run: F.size(run) > 0)
-        if length is None:
-            return runs
-        cut = lambda run: F.transform(F.sequence(F.lit(0), F.floor((F.size(run) - 1) / length).cast("int")), lambda k: F.slice(run, k * length + 1, F.lit(length)))
-        return F.flatten(F.transform(runs, cut))
+        return F.array_join(marked, " ")
 
     def document_column(self, text: Column) -> Column:
         """A document as TF-IDF takes it: the words of its sentences, all joined."""

@@ -2,153 +2,227 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import log, prod, sqrt
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from lexarium.functions import strings as S
 from lexarium.functions import text as X
-from lexarium.operators.common import as_map, by_document, documents, looked_up, ranked
+from lexarium.operators.common import as_map, documents, looked_up, spread, within_rows
 from lexarium.params import YakeParams
 
 #: The smallest step above 1 of 32-bit floats; it keeps divisors off 0.
 EPSILON = 2.0**-23
+_RANKED = {"score": "double", "rank": "int"}
+
+
+class _Term:
+    """What is counted of a valid term."""
+
+    __slots__ = ("tf", "upper", "capital", "places", "left", "right", "left_count", "right_count")
+
+    def __init__(self):
+        self.tf = self.upper = self.capital = self.left_count = self.right_count = 0
+        self.places: list[int] = []
+        self.left: set[str] = set()
+        self.right: set[str] = set()
+
+
+class Document:
+    """The sentences of one text, read once: its terms and its candidates."""
+
+    def __init__(self, surfaces: str, lowered: str, n_sentences: int, p: YakeParams, invalid: frozenset[str]):
+        self.params, self.n_sentences = p, n_sentences
+        self.terms: dict[str, _Term] = {}
+        self.candidates: dict[tuple[str, ...], int] = {}
+        cases: dict[str, tuple[bool, bool]] = {}
+        known: dict[str, bool] = {}
+        for place, (line, low) in enumerate(zip(surfaces.split("\n"), lowered.split("\n"))) if n_sentences else ():
+            tokens, terms = line.split(" ") if line else [], low.split(" ") if low else []
+            for t in terms:
+                if t not in known:
+                    known[t] = not (t in invalid or S.is_number(t))
+            valid = [known[t] for t in terms]
+            self._count(place, tokens, terms, valid, cases)
+            run = 0
+            for k in range(len(terms) - 1, -1, -1):
+                run = run + 1 if valid[k] else 0
+                for n in range(1, min(run, p.ngram) + 1):
+                    gram = tuple(terms[k : k + n])
+                    self.candidates[gram] = self.candidates.get(gram, 0) + 1
+
+    def _count(self, place: int, tokens: list[str], terms: list[str], valid: list[bool], cases: dict) -> None:
+        w = self.params.window_size
+        for k, (surface, term) in enumerate(zip(tokens, terms)):
+            if not valid[k]:
+                continue
+            t = self.terms.get(term)
+            if t is None:
+                t = self.terms[term] = _Term()
+            case = cases.get(surface)
+            if case is None:
+                case = cases[surface] = (S.is_upper(surface), S.is_capitalised(surface))
+            left, right = tokens[max(0, k - w) : k], tokens[k + 1 : k + 1 + w]
+            t.tf += 1
+            t.upper += case[0]
+            t.capital += case[1]
+            t.places.append(place)
+            t.left.update(left)
+            t.right.update(right)
+            t.left_count += len(left)
+            t.right_count += len(right)
+
+    def weights(self) -> dict[str, float]:
+        """A low weight marks a telling term."""
+        terms = self.terms
+        if not terms:
+            return {}
+        counts = [t.tf for t in terms.values()]
+        mean, most = sum(counts) / (len(counts) + EPSILON), max(counts)
+        std = sqrt(sum((c - mean) * (c - mean) for c in counts))
+        return {term: self._weight(t, mean, std, most) for term, t in terms.items()}
+
+    def _weight(self, t: _Term, mean: float, std: float, most: int) -> float:
+        casing = max(t.upper, t.capital) / (1 + log(t.tf))
+        frequency = t.tf / (mean + std + EPSILON)
+        related = 1 + (len(t.left) / (t.left_count + EPSILON) + len(t.right) / (t.right_count + EPSILON)) * t.tf / most
+        spread_ = len(set(t.places)) / (self.n_sentences + EPSILON)
+        return related * log(log(3 + middle(t.places))) / (casing + frequency / related + spread_ / related)
+
+    def keyword_scores(self) -> tuple[list[str], np.ndarray]:
+        """Candidates and scores, the best of the text 1.
+
+        A single term is weighed down by the number of places that it takes in
+        distinct longer candidates.
+        """
+        weights = self.weights()
+        inside: dict[str, int] = {}
+        for gram in self.candidates:
+            if len(gram) > 1:
+                for term in gram:
+                    inside[term] = inside.get(term, 0) + 1
+        raw = np.empty(len(self.candidates))
+        for k, (gram, tf) in enumerate(self.candidates.items()):
+            own = [weights[t] for t in gram]
+            factor = inside.get(gram[0], 1) if len(gram) == 1 else 1
+            raw[k] = tf * (1 + sum(own)) / (factor * prod(own))
+        return [" ".join(g) for g in self.candidates], scaled(raw)
+
+    def term_scores(self) -> tuple[list[str], np.ndarray]:
+        weights = self.weights()
+        return list(weights), scaled(1 / np.fromiter(weights.values(), float, len(weights)))
+
+
+def scaled(raw: np.ndarray) -> np.ndarray:
+    return raw / max(EPSILON, float(raw.max())) if len(raw) else raw
+
+
+def middle(places: list[int]) -> float:
+    """An even number of places takes the upper middle one, an odd number the mean of the middle one and the one before."""
+    n = len(places)
+    if n == 1 or n % 2 == 0:
+        return float(places[n // 2])
+    return (places[n // 2] + places[n // 2 - 1]) / 2
 
 
 class Yake:
-    """Scores of every document; higher is better, and the best of a document has 1.
+    """Scores of every document; higher is better, and the best of a document has 1. A row is a document.
 
-    Contexts and n-grams are slices of the sentence's arrays, so tokens need
-    no window sort. The text is hashed by doc_id once, and groupings over
-    doc_id and more stay in place.
+    Sentences and tokens come from the JVM, once; terms and n-grams are
+    counted and scored where the row is: no shuffle.
     """
 
     def __init__(self, df: DataFrame, params: YakeParams | None = None):
-        self.params = params or YakeParams()
-        self.docs = documents(df)
-
-    def _invalid(self, term: Column) -> Column:
-        p = self.params
-        return term.isin("", *X.one_grapheme(p.punctuation), *p.stop_words) | X.is_number(term)
-
-    def sentences(self) -> DataFrame:
-        """(doc_id, n_sentences, sent_idx, surfaces, terms, valid): every sentence as arrays."""
+        self.params = p = params or YakeParams()
+        self.invalid = frozenset(("", *X.one_grapheme(p.punctuation), *p.stop_words))
         cut = X.sentences(X.without_controls(F.col("text")))
-        placed = by_document(self.docs).select("doc_id", cut.alias("cut")).select("doc_id", F.size("cut").alias("n_sentences"), F.posexplode("cut").alias("sent_idx", "sentence"))
-        surfaces = F.filter(F.transform(X.tokens(F.col("sentence")), X.without_special), lambda w: w != "")
-        placed = placed.select("doc_id", "n_sentences", "sent_idx", surfaces.alias("surfaces"))
-        placed = placed.withColumn("terms", F.transform("surfaces", F.lower))
-        return placed.withColumn("valid", F.transform("terms", lambda t: ~self._invalid(t)))
-
-    @staticmethod
-    def _grams(n: int) -> Column:
-        """The runs of n valid terms of a sentence."""
-        last = F.size("terms") - n
-        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        whole = F.filter(starts, lambda k: F.forall(F.slice("valid", k + 1, F.lit(n)), lambda v: v))
-        return F.transform(whole, lambda k: F.struct(F.array_join(F.slice("terms", k + 1, F.lit(n)), " ").alias("keyword"), F.lit(n).alias("n")))
+        tokens = F.transform(cut, lambda s: F.array_join(F.filter(F.transform(X.tokens(s), X.without_special), lambda w: w != ""), " "))
+        joined = F.array_join("cut", "\n")  # tokens have no blanks
+        placed = spread(documents(df)).select("doc_id", tokens.alias("cut"))
+        self.texts = placed.select("doc_id", joined.alias("surfaces"), F.lower(joined).alias("lowered"), F.size("cut").alias("n_sentences"))
+
+    def _each(self, work, kinds: dict[str, str], nested: bool = False) -> DataFrame:
+        """What work makes of each text's Document."""
+        params, invalid = self.params, self.invalid
+        return within_rows(self.texts, lambda *row: work(Document(*row, params, invalid)), kinds, nested)
 
     def candidates(self) -> DataFrame:
         """(doc_id, keyword, n, tf): runs of 1 to ngram valid terms."""
-        grams = [self._grams(n) for n in range(1, self.params.ngram + 1)]
-        each = self.sentences().select("doc_id", F.explode(F.concat(*grams)).alias("g"))
-        return each.groupBy("doc_id", F.col("g.keyword").alias("keyword"), F.col("g.n").alias("n")).agg(F.count("*").alias("tf"))
 
-    def _occurrences(self) -> DataFrame:
-        """(doc_id, n_sentences, sent_idx, surface, term, valid, left, right): every token with its neighbours in the sentence."""
-        w = self.params.window_size
-        near = lambda start, size: F.slice("surfaces", start, size)
-        none = F.array().cast("array<string>")
-        token = F.transform(
-            "terms",
-            lambda t, k: F.struct(
-                t.alias("term"),
-                F.get("surfaces", k).alias("surface"),
-                F.get("valid", k).alias("valid"),
-                (F.when(k > 0, near(F.greatest(k - w, F.lit(0)) + 1, F.least(k, F.lit(w)))).otherwise(none) if w else none).alias("left"),
-                (near(k + 2, F.lit(w)) if w else none).alias("right"),
-            ),
-        )
-        return self.sentences().select("doc_id", "n_sentences", "sent_idx", F.explode(token).alias("t")).select("doc_id", "n_sentences", "sent_idx", "t.*")
+        def work(d: Document) -> tuple:
+            return [" ".join(g) for g in d.candidates], [len(g) for g in d.candidates], list(d.candidates.values())
+
+        return self._each(work, {"keyword": "string", "n": "int", "tf": "long"})
 
     def contexts(self) -> DataFrame:
         """(doc_id, term, left_count, left_distinct, right_count, right_distinct) of the valid terms."""
-        return self._statistics().select("doc_id", "term", "left_count", "left_distinct", "right_count", "right_distinct")
-
-    def _statistics(self) -> DataFrame:
-        left, right = (F.flatten(F.collect_list(side)) for side in ("left", "right"))
-        found = self._occurrences().filter("valid")
-        return found.groupBy("doc_id", "term").agg(
-            F.count("*").alias("tf"),
-            F.sum(F.when(X.is_upper(F.col("surface")), 1).otherwise(0)).alias("upper"),
-            F.sum(F.when(X.is_capitalised(F.col("surface")), 1).otherwise(0)).alias("capital"),
-            F.array_sort(F.collect_list("sent_idx")).alias("places"),
-            F.size(F.array_distinct(F.collect_list("sent_idx"))).alias("spread"),
-            F.max("n_sentences").alias("n_sentences"),
-            F.size(left).alias("left_count"),
-            F.size(F.array_distinct(left)).alias("left_distinct"),
-            F.size(right).alias("right_count"),
-            F.size(F.array_distinct(right)).alias("right_distinct"),
-        )
+
+        def work(d: Document) -> tuple:
+            found = d.terms.values()
+            return list(d.terms), [t.left_count for t in found], [len(t.left) for t in found], [t.right_count for t in found], [len(t.right) for t in found]
+
+        return self._each(work, {"term": "string"} | dict.fromkeys(("left_count", "left_distinct", "right_count", "right_distinct"), "int"))
 
     def term_weights(self) -> DataFrame:
         """(doc_id, term, tf, weight): a low weight marks a telling term."""
-        doc = W.partitionBy("doc_id")
-        mean = F.sum("tf").over(doc) / (F.count("*").over(doc) + EPSILON)
-        found = self._statistics().withColumns({"mean": mean, "most": F.max("tf").over(doc)})
-        found = found.withColumn("std", F.sqrt(F.sum((F.col("tf") - F.col("mean")) * (F.col("tf") - F.col("mean"))).over(doc)))
-        n = F.size("places")
-        half = F.floor(n / 2).cast("int")
-        # an even number of places takes the upper middle one, an odd number the mean of the middle one and the one before
-        median = F.when(n == 1, F.get("places", F.lit(0)).cast("double")).when(n % 2 == 0, F.get("places", half).cast("double")).otherwise((F.get("places", half) + F.get("places", half - 1)) / 2.0)
-        share = lambda side: F.col(f"{side}_distinct") / (F.col(f"{side}_count") + EPSILON)
-        casing = F.greatest("upper", "capital") / (1 + F.log(F.col("tf")))
-        frequency = F.col("tf") / (F.col("mean") + F.col("std") + EPSILON)
-        related = 1 + (share("left") + share("right")) * F.col("tf") / F.col("most")
-        spread = F.col("spread") / (F.col("n_sentences") + EPSILON)
-        parts = found.select("doc_id", "term", "tf", casing.alias("casing"), frequency.alias("frequency"), related.alias("related"), spread.alias("spread"), F.log(F.log(3 + median)).alias("position"))
-        weight = F.col("related") * F.col("position") / (F.col("casing") + F.col("frequency") / F.col("related") + F.col("spread") / F.col("related"))
-        return parts.select("doc_id", "term", "tf", weight.alias("weight"))
-
-    def _scaled(self, raw: DataFrame) -> DataFrame:
-        """raw(doc_id, ..., raw) with score: raw over the document's highest."""
-        most = F.greatest(F.lit(EPSILON), F.max("raw").over(W.partitionBy("doc_id")))
-        return raw.withColumn("score", F.col("raw") / most).drop("raw")
+
+        def work(d: Document) -> tuple:
+            return list(d.terms), [t.tf for t in d.terms.values()], list(d.weights().values())
+
+        return self._each(work, {"term": "string", "tf": "long", "weight": "double"})
+
+    def _terms(self, n: int | None = None, nested: bool = False) -> DataFrame:
+        def work(d: Document) -> tuple:
+            terms, scores = d.term_scores()
+            return (terms, scores.tolist()) if n is None else S.best(terms, scores, n)
+
+        return self._each(work, {"term": "string", "score": "double"} if n is None else {"term": "string", **_RANKED}, nested)
+
+    def _keywords(self, nested: bool = False) -> DataFrame:
+        def work(d: Document) -> tuple:
+            keywords, scores = d.keyword_scores()
+            return keywords, scores.tolist()
+
+        return self._each(work, {"keyword": "string", "score": "double"}, nested)
 
     def term_scores(self) -> DataFrame:
         """(doc_id, term, score)."""
-        return self._scaled(self.term_weights().select("doc_id", "term", (1 / F.col("weight")).alias("raw")))
+        return self._terms()
 
     def keyword_scores(self) -> DataFrame:
-        """(doc_id, keyword, score), near-duplicates included.
-
-        A single term is weighed down by the number of places that it takes in
-        distinct longer candidates.
-        """
-        found = self.candidates()
-        weights = self.term_weights().select("doc_id", "term", "weight")
-        terms = found.select("doc_id", "keyword", "n", "tf", F.explode(F.split("keyword", " ")).alias("term"))
-        own = W.partitionBy("doc_id", "term")
-        inside = terms.withColumn("dedup", F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).over(own))
-        met = inside.join(weights, ["doc_id", "term"])
-        grouped = met.groupBy("doc_id", "keyword", "n", "tf").agg(F.product("weight").alias("product"), F.sum("weight").alias("sum"), F.max("dedup").alias("dedup"))
-        factor = F.when((F.col("n") == 1) & (F.col("dedup") > 0), F.col("dedup")).otherwise(1)
-        raw = F.col("tf") * (1 + F.col("sum")) / (factor * F.col("product"))
-        return self._scaled(grouped.select("doc_id", "keyword", raw.alias("raw")))
+        """(doc_id, keyword, score), near-duplicates included."""
+        return self._keywords()
 
     def ranked_keywords(self, n: int) -> DataFrame:
-        """(doc_id, keyword, score, rank): at most n, best first; one that is too like a better one is passed over."""
-        scores = self.keyword_scores().withColumn("score", F.round("score", 6))
-        # better keywords come first in the array: by score, downwards, then by key
-        order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("keyword").alias("keyword"))))
-        listed = scores.groupBy("doc_id").agg(order.alias("listed"))
-        like = lambda x: lambda kept: X.levenshtein_ratio(kept["keyword"], x["keyword"]) >= self.params.threshold
-        none = F.array().cast("array<struct<less:double,keyword:string>>")
-        kept = F.aggregate("listed", none, lambda acc, x: F.when((F.size(acc) >= n) | F.exists(acc, like(x)), acc).otherwise(F.array_append(acc, x)))
-        picked = listed.select("doc_id", F.posexplode(kept).alias("place", "k"))
-        return picked.select("doc_id", "k.keyword", (-F.col("k.less")).alias("score"), (F.col("place") + 1).alias("rank"))
+        """(doc_id, keyword, score, rank): at most n, best first, by score to six places; one that is too like a better one is passed over.
+
+        Keywords are looked at in order until n are kept.
+        """
+        threshold = self.params.threshold
+        if n < 0:
+            raise ValueError("n must be 0 or more")
+
+        def work(d: Document) -> tuple:
+            keywords, scores = d.keyword_scores()
+            values = S.rounded(scores)
+            kept: list[int] = []
+            parts: list = []
+            for k in S.in_order(keywords, values):
+                if len(kept) >= n:
+                    break
+                own = S.graphemes(keywords[k])
+                if not any(S.alike(own, other, threshold) for other in parts):
+                    kept.append(k)
+                    parts.append(own)
+            return [keywords[k] for k in kept], values[kept].tolist(), range(1, len(kept) + 1)
+
+        return self._each(work, {"keyword": "string", **_RANKED})
 
     def ranked_terms(self, n: int) -> DataFrame:
-        return ranked(self.term_scores().withColumn("score", F.round("score", 6)), n, "term", by=["doc_id"])
+        """(doc_id, term, score, rank): the n best terms, by score to six places, then by the term."""
+        return self._terms(n)
 
     def keyword_score(self, wanted: DataFrame) -> DataFrame:
         """The score of each (doc_id, keyword) wanted, 0 where there is none."""
@@ -158,7 +232,7 @@ class Yake:
         return looked_up(self.term_scores(), wanted, ["doc_id", "term"])
 
     def keyword_scores_map(self) -> DataFrame:
-        return as_map(self.keyword_scores(), "keyword", by=["doc_id"])
+        return as_map(self._keywords(nested=True), "keyword")
 
     def term_scores_map(self) -> DataFrame:
-        return as_map(self.term_scores(), "term", by=["doc_id"])
+        return as_map(self._terms(nested=True), "term")

@@ -61,16 +61,18 @@ class RakeParams(TokenizerParams):
 
 @dataclass(frozen=True)
 class TextRankParams(TokenizerParams):
-    """max_iterations bounds what tolerance alone wouldn't; a document that needs more is reported as not converged."""
+    """max_iterations bounds the steps on request; a document that needs more is reported as not converged."""
 
     window_size: int = 2
     damping: float = 0.85
     tolerance: float = 0.00005
     phrase_length: int | None = None
-    max_iterations: int = 200
+    max_iterations: int | None = None
 
     def __post_init__(self):
         super().__post_init__()
+        if self.max_iterations is None and not (0 <= self.damping < 1 and self.tolerance > 0):
+            raise ValueError("a damping outside 0 to 1, or a tolerance of 0, needs max_iterations")
         _at_least_one(self.phrase_length, "phrase_length")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from lexarium.operators.text_rank import TextRank
 from lexarium.operators.tokenizer import Tokenizer
 from lexarium.operators.yake import Yake
 from lexarium.params import RakeParams, TextRankParams, TextSplit, TfIdfInput, TfIdfParams, TokenizerParams, YakeParams
-from lexarium.plans.settings import FIXED_STEPS, ROW_WORD, TARGETS, TOP, WINDOW
-from lexarium.sources import table_source
+from lexarium.plans.settings import CORPUS, FIXED_STEPS, ROW_WORD, TARGETS, TEXT, TOP, WANTED_PAIRS, WANTED_WORDS, WINDOW
+from lexarium.sources import corpus_source, table_source, text_source
 from lexarium.sources.stop_words import STOP_WORDS
 
 STOP = {"stop_words": STOP_WORDS}
@@ -49,6 +50,43 @@ def tfidf_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf_idf.ranked_words(_docs(spark, sf_dir), TOP, TfIdfParams(**STOP)).select("word", "score", "rank")
 
 
+def _asked(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """(doc_id, key): every document with each of the wanted words."""
+    return _docs(spark, sf_dir).select("doc_id", F.explode(F.array(*map(F.lit, WANTED_WORDS))).alias(key))
+
+
+def _scores(found: DataFrame, digits: int = 6) -> DataFrame:
+    return found.withColumn("score", rounded("score", digits))
+
+
+def _flat(maps: DataFrame, name: str, digits: int) -> DataFrame:
+    """A map of scores as text, its entries in order of the key."""
+    entries = F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat(e["key"], F.format_string(f"=%.{digits}f", F.round(e["value"], digits))))
+    return maps.withColumn(name, F.array_join(entries, ";")).drop("scores")
+
+
+def tfidf_word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([(0, w) for w in WANTED_WORDS], "corpus int, word string")
+    return _scores(tf_idf.word_score(_docs(spark, sf_dir), wanted, TfIdfParams(**STOP))).select("word", "score")
+
+
+def tfidf_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = tf_idf.word_scores_map(_docs(spark, sf_dir), TfIdfParams(**STOP, kind=TfIdfInput.TEXT_BLOCK)).withColumnRenamed("corpus", "doc_id")
+    return _flat(maps, "word_scores", 6)
+
+
+def tfidf_sentences_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tf_idf.ranked_words(_docs(spark, sf_dir), TOP, TfIdfParams(**STOP, kind=TfIdfInput.TEXT_BLOCK)).withColumnRenamed("corpus", "doc_id")
+
+
+def text_source_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tokenizer(TokenizerParams(**STOP)).split_into_words(text_source(spark, TEXT))
+
+
+def corpus_source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tokenizer(TokenizerParams(**STOP)).process_documents(corpus_source(spark, CORPUS))
+
+
 def _co(spark: SparkSession, sf_dir: str) -> CoOccurrence:
     return CoOccurrence(_docs(spark, sf_dir), TARGETS, WINDOW)
 
@@ -70,6 +108,16 @@ def cooccur_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _co(spark, sf_dir).relations(ROW_WORD).withColumn("weight", rounded("weight"))
 
 
+def cooccur_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _co(spark, sf_dir).labels()
+
+
+def cooccur_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    co = _co(spark, sf_dir)
+    each = [co.relation(a, b).select(F.lit(a).alias("word1"), F.lit(b).alias("word2"), rounded("weight").alias("weight")) for a, b in WANTED_PAIRS]
+    return reduce(DataFrame.unionByName, each)
+
+
 def _rake(spark: SparkSession, sf_dir: str, length: int | None = None) -> Rake:
     return Rake(_docs(spark, sf_dir), RakeParams(**STOP, phrase_length=length))
 
@@ -90,6 +138,26 @@ def rake_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rake(spark, sf_dir).ranked_phrases(TOP)
 
 
+def rake_words_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rake(spark, sf_dir).ranked_keywords(TOP)
+
+
+def rake_word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_rake(spark, sf_dir).keyword_score(_asked(spark, sf_dir, "word")))
+
+
+def rake_phrase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_rake(spark, sf_dir).phrase_score(_asked(spark, sf_dir, "phrase")))
+
+
+def rake_word_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_rake(spark, sf_dir).word_scores_map(), "word_scores", 6)
+
+
+def rake_phrase_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_rake(spark, sf_dir).phrase_scores_map(), "phrase_scores", 6)
+
+
 def _text_rank(spark: SparkSession, sf_dir: str, fixed: int | None = None) -> TextRank:
     return TextRank(_docs(spark, sf_dir), TextRankParams(**STOP), fixed)
 
@@ -107,11 +175,35 @@ def textrank_fixed_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def textrank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_rank(spark, sf_dir).word_scores().withColumn("score", rounded("score", 4))
+    return _scores(_text_rank(spark, sf_dir).word_scores(), 4)
 
 
 def textrank_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_rank(spark, sf_dir).phrase_scores().withColumn("score", rounded("score", 4))
+    return _scores(_text_rank(spark, sf_dir).phrase_scores(), 4)
+
+
+def textrank_words_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_rank(spark, sf_dir).ranked_words(TOP)
+
+
+def textrank_phrases_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_rank(spark, sf_dir).ranked_phrases(TOP)
+
+
+def textrank_word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_text_rank(spark, sf_dir).word_score(_asked(spark, sf_dir, "word")), 4)
+
+
+def textrank_phrase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_text_rank(spark, sf_dir).phrase_score(_asked(spark, sf_dir, "phrase")), 4)
+
+
+def textrank_word_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_text_rank(spark, sf_dir).word_scores_map(), "word_scores", 4)
+
+
+def textrank_phrase_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_text_rank(spark, sf_dir).phrase_scores_map(), "phrase_scores", 4)
 
 
 def _yake(spark: SparkSession, sf_dir: str) -> Yake:
@@ -138,6 +230,26 @@ def yake_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _yake(spark, sf_dir).ranked_keywords(TOP)
 
 
+def yake_terms_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _yake(spark, sf_dir).ranked_terms(TOP)
+
+
+def yake_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_yake(spark, sf_dir).keyword_score(_asked(spark, sf_dir, "keyword")))
+
+
+def yake_term_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_yake(spark, sf_dir).term_score(_asked(spark, sf_dir, "term")))
+
+
+def yake_keyword_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_yake(spark, sf_dir).keyword_scores_map(), "keyword_scores", 6)
+
+
+def yake_term_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_yake(spark, sf_dir).term_scores_map(), "term_scores", 6)
+
+
 def levenshtein_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike each part's name is to the next one's."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("name"))
@@ -160,9 +272,12 @@ def queries() -> dict[str, Query]:
         "tfidf_sentences": _tf_idf(T.TEXT_BLOCK, S.SENTENCES),
         "tfidf_paragraphs": _tf_idf(T.TEXT_BLOCK, S.PARAGRAPHS),
         "tfidf_phrases": _tf_idf(T.TEXT_BLOCK, S.PHRASES),
-        "tfidf_top_n": tfidf_top_n,
+        **{f.__name__: f for f in (tfidf_top_n, tfidf_sentences_top_n, tfidf_word_score, tfidf_map, text_source_words, corpus_source_documents, cooccur_labels, cooccur_relation)},
         **{f.__name__: f for f in (cooccur_triples, cooccur_matrix, cooccur_row, cooccur_relations, rake_words, rake_phrases, rake_len3, rake_top_n)},
+        **{f.__name__: f for f in (rake_words_top_n, rake_word_score, rake_phrase_score, rake_word_map, rake_phrase_map)},
         **{f.__name__: f for f in (textrank_graph, textrank_out_weights, textrank_fixed_iter, textrank_words, textrank_phrases)},
+        **{f.__name__: f for f in (textrank_words_top_n, textrank_phrases_top_n, textrank_word_score, textrank_phrase_score, textrank_word_map, textrank_phrase_map)},
         **{f.__name__: f for f in (yake_candidates, yake_contexts, yake_term_scores, yake_keyword_scores, yake_top_n)},
+        **{f.__name__: f for f in (yake_terms_top_n, yake_keyword_score, yake_term_score, yake_keyword_map, yake_term_map)},
         "levenshtein_ratio": levenshtein_ratios,
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexarium.functions.text import PUNCTUATION, TOKEN, WHITE_SPACE
-from lexarium.plans.settings import FIXED_STEPS, ROW_WORD, TARGETS, TOP, WINDOW
+from lexarium.plans.settings import CORPUS, FIXED_STEPS, LETTERS, ROW_WORD, TARGETS, TEXT, TOP, WANTED_PAIRS, WANTED_WORDS, WINDOW
 from lexarium.sources.stop_words import STOP_WORDS
 
 
@@ -42,6 +42,7 @@ def sentences(x: str) -> str:
         (r'(\.["()]*[ \t]*)' + end + r"([^\pL\n" + line + end + r".!?]*\p{Ll})", r"\1\2"),
         (r"(\.)" + end + r"(\p{Nd})", r"\1\2"),
         (r"(\pL\.)" + end + r"(\p{Lu})", r"\1\2"),
+        (r"(\pL\.)" + end + r"(\p{Lu})", r"\1\2"),  # a match takes the next one's letter with it
     )
     for pattern, new in steps:
         x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(new)}, 'g')"
@@ -112,8 +113,8 @@ def rake(length: int | None = None) -> str:
 
 
 GRAPH = (
-    f"{DOCS}, listed AS (SELECT doc_id, {words('text')} AS w FROM docs), tok AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM listed),"
-    "near AS (SELECT a.doc_id, a.word AS x, b.word AS y FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 2 WHERE a.word <> b.word),"
+    f"{DOCS}, glisted AS (SELECT doc_id, {words('text')} AS w FROM docs), gtok AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM glisted),"
+    "near AS (SELECT a.doc_id, a.word AS x, b.word AS y FROM gtok a JOIN gtok b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 2 WHERE a.word <> b.word),"
     "graph AS (SELECT doc_id, src, dst, count(*) AS weight FROM (SELECT doc_id, x AS src, y AS dst FROM near UNION ALL SELECT doc_id, y, x FROM near) GROUP BY doc_id, src, dst),"
     "outw AS (SELECT doc_id, src AS word, sum(weight)::BIGINT AS out_weight FROM graph GROUP BY doc_id, src)"
 )
@@ -126,6 +127,17 @@ def text_rank_steps(steps: int) -> str:
     return "WITH " + ", ".join(ctes)
 
 
+#: The walk of every document until all its changes are below the tolerance; a word's own last score comes along an edge of weight 0.
+WALK = (
+    "edge AS MATERIALIZED (SELECT g.doc_id, g.src, g.dst, g.weight::DOUBLE / o.out_weight AS share, 0 AS own FROM graph g JOIN outw o ON o.doc_id = g.doc_id AND o.word = g.dst"
+    " UNION ALL SELECT doc_id, word, word, 0.0, 1 FROM outw),"
+    "walk AS (SELECT doc_id, word, 1.0::DOUBLE AS score, false AS done FROM outw UNION ALL"
+    " SELECT doc_id, word, score, max(abs(score - was)) OVER (PARTITION BY doc_id) < 0.00005 AS done FROM"
+    " (SELECT e.doc_id, e.src AS word, 0.15 + 0.85 * sum(e.share * w.score) AS score, max(CASE WHEN own = 1 THEN w.score END) AS was FROM walk w JOIN edge e ON e.doc_id = w.doc_id AND e.dst = w.word WHERE NOT w.done GROUP BY e.doc_id, e.src)),"
+    "wr AS (SELECT doc_id, word, score FROM walk WHERE done)"
+)
+TEXT_RANK = f"WITH RECURSIVE {phrases()}, {GRAPH.removeprefix(DOCS + ', ')}, {WALK}, pw AS (SELECT doc_id, k, array_to_string(words, ' ') AS phrase, unnest(words) AS word FROM phrase), pk AS (SELECT p.doc_id, k, phrase, sum(coalesce(score, 0)) / count(*) AS score FROM pw p LEFT JOIN wr ON wr.doc_id = p.doc_id AND wr.word = p.word GROUP BY p.doc_id, k, phrase), pr AS (SELECT doc_id, phrase, min(score) AS score FROM pk GROUP BY doc_id, phrase)"
+
 _YAKE_TEXT = r"regexp_replace(regexp_replace(text, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g'), '[\n\t\r]', ' ', 'g')"
 _NUMBER = quoted(r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$")
 _INVALID = f"(list_contains({PUNCT}, term) OR list_contains({STOP}, term) OR regexp_matches(term, {_NUMBER}))"
@@ -156,6 +168,33 @@ YAKE = (
 )
 
 
+#: The greedy choice: keyword by keyword, in order, until TOP are kept; letters beyond ASCII become one byte each.
+YAKE_TOP = (
+    YAKE.replace("WITH ", "WITH RECURSIVE ", 1) + f", folded AS MATERIALIZED (SELECT *, translate(keyword, {quoted(LETTERS)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS plain FROM ("
+    "SELECT doc_id, keyword, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, keyword) AS r FROM ks)),"
+    "pick AS (SELECT DISTINCT doc_id, 0::BIGINT AS r, CAST([] AS VARCHAR[]) AS kept, false AS fresh FROM folded UNION ALL SELECT doc_id, r, CASE WHEN fresh THEN list_append(kept, plain) ELSE kept END, fresh FROM"
+    " (SELECT p.doc_id, f.r, p.kept, f.plain, len(list_filter(p.kept, lambda x: 1 - levenshtein(x, f.plain)::DOUBLE / greatest(length(x), length(f.plain)) >= 0.85)) = 0 AS fresh"
+    f" FROM pick p JOIN folded f ON f.doc_id = p.doc_id AND f.r = p.r + 1 WHERE len(p.kept) < {TOP}))"
+)
+
+
+def looked_up(source: str, key: str, digits: int = 6) -> str:
+    """source(doc_id, key, score): the score of each wanted word in each document."""
+    return f" SELECT a.doc_id, a.{key}, round(coalesce(s.score, 0), {digits}) AS score FROM (SELECT doc_id, unnest({listed(WANTED_WORDS)}) AS {key} FROM documents) a LEFT JOIN ({source}) s ON s.doc_id = a.doc_id AND s.{key} = a.{key}"
+
+
+def flat(source: str, key: str, digits: int = 6) -> str:
+    """source(doc_id, key, score) as one text for each document."""
+    return (
+        f" SELECT d.doc_id, coalesce(string_agg(s.{key} || printf('=%.{digits}f', round(s.score, {digits})), ';' ORDER BY s.{key}), '') AS {key}_scores"
+        f" FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN ({source}) s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
+    )
+
+
+TERM_SCORES = "SELECT doc_id, term, (1 / weight) / greatest(pow(2, -23), max(1 / weight) OVER (PARTITION BY doc_id)) AS score FROM wt"
+_TEXTS = f"(SELECT unnest(range(0, {len(CORPUS)})) AS doc_id, unnest({listed(CORPUS)}) AS text)"
+
+
 def top(source: str, key: str, by: str = "PARTITION BY doc_id", keep: str = "doc_id, ") -> str:
     return f" SELECT {keep}{key}, score, rank FROM (SELECT *, CAST(row_number() OVER ({by} ORDER BY score DESC, {key}) AS INT) AS rank FROM ({source})) WHERE rank <= {TOP}"
 
@@ -188,6 +227,32 @@ QUERIES: dict[str, str] = {
     "yake_candidates": YAKE + " SELECT doc_id, keyword, n, tf FROM cand",
     "yake_contexts": YAKE + " SELECT doc_id, term, lc::INT AS left_count, ld::INT AS left_distinct, rc::INT AS right_count, rd::INT AS right_distinct FROM ctx",
     "yake_term_scores": YAKE + " SELECT doc_id, term, round((1 / weight) / greatest(pow(2, -23), max(1 / weight) OVER (PARTITION BY doc_id)), 6) AS score FROM wt",
+    "tfidf_word_score": tf_idf(SEG_DOCS) + f" SELECT a.word, coalesce(score, 0) AS score FROM (SELECT unnest({listed(WANTED_WORDS)}) AS word) a LEFT JOIN scored s ON s.word = a.word",
+    "tfidf_map": tf_idf(SEG_SENTENCES) + flat("SELECT corpus AS doc_id, word, score FROM scored", "word"),
+    "tfidf_sentences_top_n": tf_idf(SEG_SENTENCES) + top("SELECT corpus AS doc_id, word, score FROM scored", "word"),
+    "text_source_words": f"SELECT 0::BIGINT AS doc_id, unnest(range(0, len(w)))::INT AS pos, unnest(w) AS word FROM (SELECT {words(quoted(TEXT))} AS w)",
+    "corpus_source_documents": f"WITH {ALL_DOCS.replace('FROM documents', f'FROM {_TEXTS}', 1)} SELECT doc_id, t AS text FROM joined",
+    "cooccur_labels": f"WITH {CO} SELECT word, label FROM label",
+    "cooccur_relation": f"WITH {CO} SELECT a[1] AS word1, a[2] AS word2, round(coalesce(weight, 0), 6) AS weight FROM (SELECT unnest([{', '.join(map(listed, WANTED_PAIRS))}]) AS a) LEFT JOIN triple t ON t.word1 = a[1] AND t.word2 = a[2]",
+    "rake_words_top_n": rake() + top("SELECT doc_id, word, round(score, 6) AS score FROM per", "word"),
+    "rake_word_score": rake() + looked_up("SELECT * FROM per", "word"),
+    "rake_phrase_score": rake() + looked_up("SELECT * FROM once", "phrase"),
+    "rake_word_map": rake() + flat("SELECT * FROM per", "word"),
+    "rake_phrase_map": rake() + flat("SELECT * FROM once", "phrase"),
+    "textrank_words": TEXT_RANK + " SELECT doc_id, word, round(score, 4) AS score, true AS converged FROM wr",
+    "textrank_phrases": TEXT_RANK + " SELECT doc_id, phrase, round(score, 4) AS score, true AS converged FROM pr",
+    "textrank_words_top_n": TEXT_RANK + top("SELECT doc_id, word, round(score, 6) AS score FROM wr", "word", keep="true AS converged, doc_id, "),
+    "textrank_phrases_top_n": TEXT_RANK + top("SELECT doc_id, phrase, round(score, 6) AS score FROM pr", "phrase", keep="true AS converged, doc_id, "),
+    "textrank_word_score": TEXT_RANK + looked_up("SELECT * FROM wr", "word", 4),
+    "textrank_phrase_score": TEXT_RANK + looked_up("SELECT * FROM pr", "phrase", 4),
+    "textrank_word_map": TEXT_RANK + flat("SELECT * FROM wr", "word", 4),
+    "textrank_phrase_map": TEXT_RANK + flat("SELECT * FROM pr", "phrase", 4),
+    "yake_top_n": YAKE_TOP + " SELECT f.doc_id, f.keyword, f.score, CAST(len(p.kept) AS INT) AS rank FROM pick p JOIN folded f ON f.doc_id = p.doc_id AND f.r = p.r WHERE p.fresh",
+    "yake_terms_top_n": YAKE + top(f"SELECT doc_id, term, round(score, 6) AS score FROM ({TERM_SCORES})", "term"),
+    "yake_keyword_score": YAKE + looked_up("SELECT * FROM ks", "keyword"),
+    "yake_term_score": YAKE + looked_up(TERM_SCORES, "term"),
+    "yake_keyword_map": YAKE + flat("SELECT * FROM ks", "keyword"),
+    "yake_term_map": YAKE + flat(TERM_SCORES, "term"),
     "yake_keyword_scores": YAKE + " SELECT doc_id, keyword, round(score, 6) AS score FROM ks",
     "levenshtein_ratio": "SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS ratio FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
 }

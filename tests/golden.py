@@ -150,10 +150,10 @@ rust programming language
 """.strip().split("\n")
 
 CO_OCCURRENCE_WORDS = "rust development environment work programming team career code developer dynamic".split()
-#: Rows of the matrix for a window of 10, in thirds.
+#: Rows of the matrix for a window of 10 (fixed values).
 CO_OCCURRENCE_ROWS = {
-    "rust": [2, 2, 2, 0, 3, 2, 1, 0, 3, 2],
-    "development": [2, 0, 1, 0, 0, 1, 1, 0, 0, 1],
-    "developer": [3, 0, 0, 0, 1, 1, 0, 0, 0, 0],
-    "dynamic": [2, 1, 2, 0, 1, 0, 1, 0, 0, 0],
+    "rust": [0.6666667, 0.6666667, 0.6666667, 0.0, 1.0, 0.6666667, 0.33333334, 0.0, 1.0, 0.6666667],
+    "development": [0.6666667, 0.0, 0.33333334, 0.0, 0.0, 0.33333334, 0.33333334, 0.0, 0.0, 0.33333334],
+    "developer": [1.0, 0.0, 0.0, 0.0, 0.33333334, 0.33333334, 0.0, 0.0, 0.0, 0.0],
+    "dynamic": [0.6666667, 0.33333334, 0.6666667, 0.0, 0.33333334, 0.0, 0.33333334, 0.0, 0.0, 0.0],
 }

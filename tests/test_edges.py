@@ -1,10 +1,13 @@
 """Hand-made rows for what the test tables don't reach; the expected values follow from the definitions."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexarium.functions import strings as S
 from lexarium.functions import text as X
 from lexarium.operators.co_occurrence import CoOccurrence
 from lexarium.operators.common import ranked
@@ -12,7 +15,7 @@ from lexarium.operators.rake import Rake
 from lexarium.operators.text_rank import TextRank, word_rank
 from lexarium.operators.tf_idf import ranked_words, tf_idf, word_score, word_scores_map
 from lexarium.operators.tokenizer import Tokenizer
-from lexarium.operators.yake import Yake
+from lexarium.operators.yake import Yake, middle
 from lexarium.params import RakeParams, TextRankParams, TextSplit, TfIdfInput, TfIdfParams, TokenizerParams, YakeParams
 
 
@@ -29,12 +32,23 @@ def words_of(docs, text, **params):
         ("1,000 a_b x’y café noir", "1000 a_b x’y café noir"),
         ("日本 abc", "日 本 abc"),
         ("up-to-date", "up to date"),
+        ("\U0001f469\u200d\U0001f4bb\U0001f3fd ok\u2764\ufe0f", "\U0001f469\u200d\U0001f4bb\U0001f3fd ok \u2764\ufe0f"),
+        ("\U0001f1e9\U0001f1ea\U0001f1eb\U0001f1f7", "\U0001f1e9\U0001f1ea \U0001f1eb\U0001f1f7"),
+        ("\u0e01\u0e33\u0e25 abc", "\u0e01 \u0e33 \u0e25 abc"),
+        ("\u30ab\u30bf\u30ab\u30ca\u30fc\u8a9e", "\u30ab\u30bf\u30ab\u30ca\u30fc \u8a9e"),
+        ('\u05e6\u05d4"\u05dc "x"', '\u05e6\u05d4"\u05dc x'),
     ],
 )
 def test_words(docs, text, expected):
     assert words_of(docs, text) == expected.split(" ")
 
 
+def test_sentences_of_other_scripts(docs):
+    text = "\u4f60\u597d\u3002\u4e16\u754c\uff01 One. \u0928\u092e\u0938\u094d\u0924\u0947\u0964 \u0915 \u061f Two, u.s. three"
+    found = docs(text).select(X.sentences(F.col("text")).alias("s")).first()["s"]
+    assert [s.strip() for s in found] == ["\u4f60\u597d\u3002", "\u4e16\u754c\uff01", "One.", "\u0928\u092e\u0938\u094d\u0924\u0947\u0964", "\u0915 \u061f", "Two, u.s. three"]
+
+
 @pytest.mark.parametrize("part", ["x", "a1", "a.", "1,", "_a", "'", '".'])
 def test_long_tokens(docs, part):
     """Tokens of any length and of any number of parts; the engine mustn't recurse over them."""
@@ -129,10 +143,8 @@ def test_null_text_gives_no_rows(spark):
     assert Tokenizer().process_documents(d).count() == 1
 
 
-def test_yake_medians(docs):
-    stop = [w for w in "b c d e".split()]
-    weights = lambda text: {r["term"]: r["places"] for r in Yake(docs(text), YakeParams(stop_words=stop))._statistics().collect()}
-    assert weights("A. B c. D. E. A.")["a"] == [0, 4]
+def test_yake_medians():
+    assert middle([3]) == 3 and middle([0, 4]) == 4 and middle([0, 2, 4]) == 1
 
 
 def test_numbers(spark):
@@ -141,8 +153,38 @@ def test_numbers(spark):
 
 
 def test_levenshtein_ratio(spark):
-    found = spark.createDataFrame([("junior rust", "junior rusts"), ("", "")], "a string, b string").select(X.levenshtein_ratio(F.col("a"), F.col("b")).alias("r")).collect()
-    assert found[0]["r"] == pytest.approx(0.916667, abs=1e-6) and math.isnan(found[1]["r"])
+    rows = [("junior rust", "junior rusts"), ("cafe\u0301s", "cafes"), ("e\u0301", "\u00e9"), ("a\U0001f469\u200d\U0001f4bb", "a"), ("", "")]
+    found = [r["r"] for r in spark.createDataFrame(rows, "a string, b string").select(X.levenshtein_ratio(F.col("a"), F.col("b")).alias("r")).collect()]
+    assert found[:4] == pytest.approx([11 / 12, 4 / 5, 0, 1 / 2]) and math.isnan(found[4])
+    for (a, b), ratio in zip(rows[:4], found):
+        a, b = S.graphemes(a), S.graphemes(b)
+        assert 1 - S.distance_within(a, b, 9) / max(len(a), len(b)) == pytest.approx(ratio)
+
+
+def test_bounded_distance():
+    """Against the whole table, on short words of few letters."""
+
+    def whole(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r = random.Random(1)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(2))
+        d, longest = whole(a, b), max(len(a), len(b))
+        assert all(S.distance_within(a, b, m) == (d if d <= m else None) for m in range(7))
+        assert all(S.alike(a, b, t) == (longest > 0 and 1 - d / longest >= t) for t in (0.0, 0.5, 0.85, 1.0))
+
+
+def test_rounding_half_up(spark):
+    values = [0.0078125, 0.0000005, 0.1234565, 1 / 3, 2.0, 0.9999995, 123.4567895]
+    spark_rounds = [r["r"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6).alias("r")).collect()]
+    assert S.rounded(np.array(values)).tolist() == spark_rounds
 
 
 def test_ranking(spark):
@@ -160,9 +202,62 @@ def test_lookups_and_maps(docs, spark):
     assert rake.word_scores_map().first()["scores"] == {"alpha": 0.5, "beta": 1.0}
 
 
-def test_one_shuffle_of_the_text(docs):
-    plan = Rake(docs("a b"), RakeParams()).word_scores()._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def per_document(df):
+    """Every result of the operators whose unit is a document."""
+    rake, rank, yake = Rake(df), TextRank(df), Yake(df)
+    block = TfIdfParams(kind=TfIdfInput.TEXT_BLOCK)
+    lists = [rake.word_scores(), rake.phrase_scores(), rank.word_scores(), rank.phrase_scores(), rank.graph(), rank.out_weights(), yake.candidates(), yake.contexts(), yake.term_weights(), yake.term_scores(), yake.keyword_scores(), tf_idf(df, block)]
+    tops = [rake.ranked_keywords(3), rake.ranked_phrases(3), rank.ranked_words(3), rank.ranked_phrases(3), yake.ranked_keywords(3), yake.ranked_terms(3), ranked_words(df, 3, block)]
+    maps = [rake.word_scores_map(), rake.phrase_scores_map(), rank.word_scores_map(), rank.phrase_scores_map(), yake.keyword_scores_map(), yake.term_scores_map(), word_scores_map(df, block)]
+    return lists + tops + maps
+
+
+def test_no_shuffle_of_the_text(docs):
+    for found in per_document(docs(*["a b"] * 8)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_is_a_document(spark):
+    """The scores of a row don't depend on whether its doc_id is repeated or null."""
+    text = "Alpha beta gamma. Beta delta, alpha beta! Gamma epsilon zeta"
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    many = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None), (1, "")], "doc_id long, text string").repartition(2)
+    for alone, repeated in zip(per_document(one), per_document(many)):
+        expected = sorted(str(r[1:]) for r in alone.collect())
+        found = [(r[0], str(r[1:])) for r in repeated.collect()]
+        if len(alone.columns) == 2 and "scores" in alone.columns:  # maps: a text without words has an empty one
+            found = [x for x in found if x[1] != "({},)"]
+        assert sorted(x for d, x in found if d is None) == expected
+        assert sorted(x for d, x in found if d == 1) == sorted(expected * 2)
+
+
+def test_text_rank_walk_ends_by_itself():
+    words = "a b a c a d".split()  # scores swing between a and the others
+    *_, steps, settled = word_rank(words, TextRankParams(window_size=1, damping=0.99))
+    assert settled and steps > 200
+    *_, steps, settled = word_rank(words, TextRankParams(window_size=1, damping=0.99, max_iterations=5))
+    assert not settled and steps == 5
+    with pytest.raises(ValueError, match="max_iterations"):
+        TextRankParams(damping=1.0)
+
+
+def test_phrase_scores_tell_whether_they_settled(docs):
+    text = docs("a b a c d a")
+    assert all(r["converged"] for r in TextRank(text).phrase_scores().collect())
+    assert not any(r["converged"] for r in TextRank(text, TextRankParams(max_iterations=2)).phrase_scores().collect())
+
+
+def test_sources(spark, tmp_path):
+    from lexarium.sources import corpus_source, table_source, text_source, word_list
+
+    assert [tuple(r) for r in text_source(spark, "a b").collect()] == [(0, "a b")]
+    assert [tuple(r) for r in corpus_source(spark, ["x", "y"]).collect()] == [(0, "x"), (1, "y")]
+    corpus_source(spark, ["x"]).selectExpr("doc_id as id", "text as body", "1 as more").write.parquet(str(tmp_path / "t"))
+    assert [tuple(r) for r in table_source(spark, str(tmp_path / "t"), "id", "body").collect()] == [(0, "x")]
+    words = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "word string")
+    assert word_list(words) == ("a", "b")
+    with pytest.raises(ValueError, match="more than 1"):
+        word_list(words, most=1)
 
 
 def test_split_stream(spark, tmp_path):
