@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 #: The most rows of a number or two that are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 18
+
+#: A row's name in a schema.
+ROW = "row struct<file:long,at:long>"
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 _own_folder: str | None = None
 _paths: list[str] = []
@@ -46,10 +50,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     It cuts the lineage: a lost executor costs a reread and no recomputation,
     and several consumers don't repeat the work below.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, _BATCH_BYTES)  # what stands outside an executor's heap for each Python worker
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
     _paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_written(spark: SparkSession) -> int:
@@ -62,13 +72,31 @@ def remove_written(spark: SparkSession) -> int:
 
 
 def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df, written with a number for each row, and the name of that column.
+    """df with a column that names each row, and the name of that column.
 
-    The number stands in the table, so it names the same row in every later
-    read, whatever doc_id the row has.
+    A row of files is named by its file and its place there, which every later
+    read gives again; so df's texts aren't copied. What isn't a plain scan of
+    Parquet files is written with a number for each row. Either way the name
+    is the same in every later read, whatever doc_id the row has.
     """
-    row = free_name(df, "row_number")
-    return written(df.withColumn(row, F.monotonically_increasing_id()), label), row
+    row = free_name(df, "row_name")
+    if _is_scan(df):
+        return df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), row
+    return written(df.withColumn(row, counted()), label), row
+
+
+def counted() -> Column:
+    """A name for each row of a table that is read once."""
+    return F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is Parquet files as they are, or projections and filters of them."""
+    if any(c.lower() == "_metadata" for c in df.columns):
+        return False
+    nodes = df._jdf.queryExecution().analyzed().toString().splitlines()
+    above, last = nodes[:-1], nodes[-1].lstrip(" +-:")
+    return last.startswith("Relation ") and last.endswith(" parquet") and all(n.lstrip(" +-:").startswith(("Project ", "Filter ")) for n in above)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -97,17 +125,17 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def met(df: DataFrame, small: DataFrame, row: str, how: str) -> DataFrame:
-    """df joined by row number with a written table that has fewer rows.
+    """df joined by the rows' names with a written table.
 
     The table is counted first: up to BROADCAST_ROWS rows it is broadcast and
     df, which holds the texts, stays where it is; beyond, both are shuffled by
-    row number, which no key makes uneven.
+    the row's name, which no key makes uneven.
     """
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, row, how)
 
 
 def without_rows(df: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """The rows of a numbered df that aren't among gone(row), without their numbers."""
+    """The rows of a numbered df that aren't among gone(row), without their names."""
     return met(df, written(gone.select(row), "gone"), row, "left_anti").drop(row)
 
 

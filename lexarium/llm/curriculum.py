@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexarium.llm.common import WORD, free_name, met, numbered, spread, written
+from lexarium.llm.common import WORD, counted, free_name, met, numbered, spread, written
 
 #: Weights of the sources in code point order, repeating; words mixed over words there are; most passes over a source.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -121,7 +121,7 @@ def _placed(docs: DataFrame, buckets: int | None = None, **how) -> DataFrame:
 
 def taken(docs: DataFrame, buckets: int | None = None, **how) -> DataFrame:
     """(doc_id, source, size, source_size, target, start, positions) of every row."""
-    placed = _placed(spread(_slim(docs, F.monotonically_increasing_id())), buckets, **how)
+    placed = _placed(spread(_slim(docs, counted())), buckets, **how)
     return placed.select("doc_id", "source", "size", "order", "source_size", "target", "start", "positions")
 
 
@@ -150,7 +150,7 @@ def schedule(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The columns of docs, each row as often as the mix takes it, in training order.
 
-    Rows are named by a written number, so those without a doc_id, and those
+    Rows are named by their place in the table, so those without a doc_id, and those
     that share one, are each read as often as they are scheduled.
     """
     named, row = numbered(docs, "numbered")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import BLANKS, numbered, spread, without_rows, written
+from lexarium.llm.common import BLANKS, counted, numbered, spread, without_rows, written
 
 #: Fingerprints that a merge holds, about.
 BLOCK_ROWS = 1 << 19
@@ -216,13 +216,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     columns of docs are ignored, whatever their names.
     """
     source = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return _decided(source.withColumn("row", F.monotonically_increasing_id())).drop("row")
+    return _decided(source.withColumn("row", counted())).drop("row")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The columns and rows of docs with one row of each class of equal texts.
 
-    Rows are named by a written number, so those without a doc_id, and those
+    Rows are named by their place in the table, so those without a doc_id, and those
     that share one, are each decided on by their own text.
     """
     named, row = numbered(docs, "numbered")

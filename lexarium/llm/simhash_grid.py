@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import numbered, spread, without_rows, written
+from lexarium.llm.common import ROW, counted, numbered, spread, without_rows, written
 
 SEED = 42
 SHINGLE = 3
@@ -74,7 +74,7 @@ def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(source: DataFrame) -> DataFrame:
     """(row, doc_id, fp) of every row of source(row, doc_id, text); fp is the 64 bits as a signed long."""
-    return source.select("row", "doc_id", "text").mapInArrow(_fingerprint_batches, "row long, doc_id long, fp long")
+    return source.select("row", "doc_id", "text").mapInArrow(_fingerprint_batches, f"{ROW}, doc_id long, fp long")
 
 
 def unary_counts(fp: Column) -> Column:
@@ -259,13 +259,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     further columns of docs are ignored, whatever their names.
     """
     slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return _decided(slim.withColumn("row", F.monotonically_increasing_id()), distance).select("doc_id", "fp", "component_id")
+    return _decided(slim.withColumn("row", counted()), distance).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The columns and rows of docs with one row of each component: the one with the smallest doc_id.
 
-    Rows are named by a written number, so those without a doc_id, and those
+    Rows are named by their place in the table, so those without a doc_id, and those
     that share one, are each decided on by their own text.
     """
     named, row = numbered(docs, "numbered")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexarium.llm import exact_cqf as cqf
+from lexarium.llm.common import _is_scan
+from lexarium.llm.common import numbered as numbered_rows
 from lexarium.llm import near_copies
 from lexarium.llm import simhash_grid as grid
 
@@ -67,13 +69,26 @@ def test_exact_awkward(awkward, empty):
     assert cqf.drop_exact_duplicates(empty).count() == 0
 
 
-def test_exact_decides_by_row(spark):
+def test_exact_decides_by_row(spark, tmp_path):
     """Rows that share a doc_id, or have none, are decided on by their own text."""
     for rows in ([(1, "aaa"), (5, "aaa"), (5, "unique other text")], [(5, "aaa"), (5, "aaa"), (5, "unique other text")], [(None, "aaa b"), (None, "aaab"), (3, "aaab"), (None, "unique other text")]):
         df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
-        left = cqf.drop_exact_duplicates(df).collect()
-        assert len(left) == 2 and left[0].__fields__ == ["doc_id", "text", "row"]
-        assert "unique other text" in {r["text"] for r in left}
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        for table in (df, spark.read.parquet(path), spark.read.parquet(path).filter("row >= 0")):
+            left = cqf.drop_exact_duplicates(table).collect()
+            assert len(left) == 2 and left[0].__fields__ == ["doc_id", "text", "row"]
+            assert "unique other text" in {r["text"] for r in left}
+
+
+def test_rows_are_named_by_their_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert _is_scan(df) and _is_scan(df.filter("id > 3").select("id"))
+    assert not any(map(_is_scan, (df.union(df), df.repartition(2), spark.range(3), df.join(df, "id"), df.selectExpr("explode(array(1, 1)) as x", "id"), df.selectExpr("id as _metadata"))))
+    named, row = numbered_rows(df, "t")
+    assert named.select(row).distinct().count() == 100 and named.join(named.filter("id < 10").select(row), row, "left_anti").count() == 90
 
 
 def test_near_decides_by_row(spark):
