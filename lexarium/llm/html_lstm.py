@@ -7,6 +7,9 @@ bidirectional LSTM in numpy reads the whole sequence and labels every block as
 main text or not, so each label rests on the whole document around it. The
 network is trained here, on pages that a seeded generator lays out in many
 ways with known labels.
+
+Memory is linear in the page: blocks share the elements above them, hold
+their path's counts in a byte each, and become floats a slice at a time.
 """
 
 from __future__ import annotations
@@ -24,16 +27,16 @@ from pyspark.sql import functions as F
 
 from lexarium.llm.common import spread
 
-PATH_DIMS, WORD_DIMS, MEASURES = 256, 32, 8
+PATH_DIMS, WORD_DIMS, MEASURES = 256, 32, 10
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside audio blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noframes noscript object ol optgroup option p pre search section select summary svg table tbody td template tfoot th thead tr ul video".split()
 )
-#: Elements whose content isn't shown or isn't text.
-SILENT = frozenset("script style template noscript textarea title iframe object svg math select xmp noembed noframes audio video canvas".split())
+#: Elements whose content is raw text that isn't shown as such. All others are read, and the network judges what stands in them.
+SILENT = frozenset("script style textarea title iframe xmp noembed".split())
 VOID = frozenset("hr".split())
 #: Elements that end an open p; which open element each ends, and where the search for it stops.
 ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "thead", "tbody", "tfoot")), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
@@ -46,13 +49,78 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _PART = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element (tag and names) and the one above it."""
+
+    __slots__ = ("above", "depth", "element")
+
+    def __init__(self, element: tuple[str, ...], above: Node | None):
+        self.element, self.above, self.depth = element, above, above.depth + 1 if above else 1
+
+
 class Block:
-    """A leaf block: the path above it (tag and names of each element), its text, and how much of it is links."""
+    """A leaf block: the innermost element around it, the counts of its hashed path, its text, and how much of it is links.
 
-    __slots__ = ("links", "path", "text")
+    alike and beside: the shares of the page's text in blocks of the same path, and in blocks within the same element.
+    """
+
+    __slots__ = ("alike", "beside", "counts", "links", "node", "text")
 
-    def __init__(self, path: tuple, text: str, links: float):
-        self.path, self.text, self.links = path, text, links
+    def __init__(self, node: Node | None, counts: bytes, text: str, links: float):
+        self.node, self.counts, self.text, self.links = node, counts, text, links
+        self.alike = self.beside = 0.0
+
+    @property
+    def path(self) -> tuple:
+        """The elements from the outermost to the innermost."""
+        out, node = [], self.node
+        while node:
+            out.append(node.element)
+            node = node.above
+        return tuple(reversed(out))
+
+
+@lru_cache(65536)
+def _slots(element: tuple[str, ...]) -> tuple[int, ...]:
+    """The places of an element's tag and names in the path's vector."""
+    return tuple(crc32(f"{'tag' if k == 0 else 'name'}:{word}".encode()) % PATH_DIMS for k, word in enumerate(element))
+
+
+class _Path:
+    """The open elements, how many there are of each name, and the sum of their vectors."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.open: dict[str, int] = {}
+        self.counts, self.capped = [0] * PATH_DIMS, bytearray(PATH_DIMS)
+
+    def push(self, element: tuple[str, ...]) -> None:
+        self.nodes.append(Node(element, self.nodes[-1] if self.nodes else None))
+        self.open[element[0]] = self.open.get(element[0], 0) + 1
+        self._add(element, 1)
+
+    def _add(self, element: tuple[str, ...], n: int) -> None:
+        for k in _slots(element):
+            self.counts[k] += n
+            self.capped[k] = min(2, self.counts[k])
+
+    def close(self, names: tuple, stops: tuple) -> None:
+        """End the innermost element of one of the names, unless one of stops stands before it."""
+        if not any(self.open.get(n) for n in names):
+            return
+        for k in range(len(self.nodes) - 1, -1, -1):
+            name = self.nodes[k].element[0]
+            if name in stops:
+                return
+            if name in names:
+                for node in self.nodes[k:]:
+                    self.open[node.element[0]] -= 1
+                    self._add(node.element, -1)
+                del self.nodes[k:]
+                return
+
+    def as_bytes(self) -> bytes:
+        return bytes(self.capped)
 
 
 @lru_cache(65536)
@@ -68,7 +136,7 @@ def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order, without blank ones."""
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    path = _Path()
     texts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -77,18 +145,10 @@ def blocks(page: str | None) -> list[Block]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                found.append(Block(tuple(stack), text, min(1.0, linked / len(text))))
+                found.append(Block(path.nodes[-1] if path.nodes else None, path.as_bytes(), text, min(1.0, linked / len(text))))
             texts.clear()
         linked = 0
 
-    def close(names: tuple, stops: tuple) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in stops:
-                return
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-
     while m := _TAG.search(page, at):
         if m.start() > at:
             texts.append(page[at : m.start()])
@@ -102,14 +162,14 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             in_link = False
             if end:
-                close((name,), ())
+                path.close((name,), ())
                 continue
-            if name != "p" or stack:
-                close(("p",), ("td", "th", "li", "div", "section", "article", "body", "blockquote", "figure", "aside", "main", "form", "fieldset", "button", "label") if name != "label" else ("p",))
+            if name != "p" or path.nodes:
+                path.close(("p",), ("td", "th", "li", "div", "section", "article", "body", "blockquote", "figure", "aside", "main", "form", "fieldset", "button", "label") if name != "label" else ("p",))
             if name in ENDS:
-                close(*ENDS[name])
+                path.close(*ENDS[name])
             if name not in VOID:
-                stack.append(_element(name, m["attrs"] or m["attrs2"] or ""))
+                path.push(_element(name, m["attrs"] or m["attrs2"] or ""))
         elif name in SILENT:
             if not end and not (m["attrs"] or "").rstrip().endswith("/"):
                 over = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
@@ -120,30 +180,43 @@ def blocks(page: str | None) -> list[Block]:
             texts.append(" ")
     texts.append(page[at:])
     flush()
+    _share(found)
     return found
 
 
-@lru_cache(16384)
-def _path_vector(path: tuple) -> np.ndarray:
-    out = np.zeros(PATH_DIMS, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        for k, word in enumerate(element):
-            out[crc32(f"{'tag' if k == 0 else 'name'}:{word}".encode()) % PATH_DIMS] += 1.0
-        if depth == 0:
-            out[crc32(f"leaf:{element[0]}".encode()) % PATH_DIMS] += 1.0
-    return np.minimum(out, 2.0)
+def _share(page: list[Block]) -> None:
+    """Fill in what depends on the other blocks of the page."""
+    alike: dict[bytes, int] = {}
+    beside: dict[int, int] = {}
+    around = [id(b.node.above if b.node else None) for b in page]
+    for block, above in zip(page, around):
+        alike[block.counts] = alike.get(block.counts, 0) + len(block.text)
+        beside[above] = beside.get(above, 0) + len(block.text)
+    total = sum(len(b.text) for b in page)
+    for block, above in zip(page, around):
+        block.alike, block.beside = alike[block.counts] / total, beside[above] / total
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """A row of features for each block."""
-    out = np.zeros((len(page), DIMS), np.float32)
-    for k, block in enumerate(page):
+@lru_cache(4096)
+def _leaf(name: str) -> int:
+    return crc32(f"leaf:{name}".encode()) % PATH_DIMS
+
+
+def vectors(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row of features for each block from first to last."""
+    part = page[first:last]
+    out = np.zeros((len(part), DIMS), np.float32)
+    if part:
+        out[:, :PATH_DIMS] = np.frombuffer(b"".join(b.counts for b in part), np.uint8).reshape(-1, PATH_DIMS)
+    for k, block in enumerate(part):
         row, words = out[k], block.text.lower().split()
-        row[:PATH_DIMS] = _path_vector(block.path)
+        leaf = _leaf(block.node.element[0] if block.node else "")
+        row[leaf] = min(2.0, row[leaf] + 1.0)
         places = np.bincount([crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIMS for w in words], minlength=WORD_DIMS)
         row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = 0.3 * places / np.sqrt(places @ places)
         n, w = len(block.text), len(words)
-        row[PATH_DIMS + WORD_DIMS :] = (np.log1p(n) / 5, np.log1p(w) / 4, block.links, block.text[-1] in ".!?\"'", block.text.count(",") / w, len(block.path) / 8, k / len(page), 1.0)
+        depth = min(32, block.node.depth if block.node else 0)
+        row[PATH_DIMS + WORD_DIMS :] = (np.log1p(n) / 5, np.log1p(w) / 4, block.links, block.text[-1] in ".!?\"'", block.text.count(",") / w, depth / 8, (first + k) / len(page), block.alike, block.beside, 1.0)
     return out
 
 
@@ -162,10 +235,10 @@ class BiLstm:
         self.p["w"] = random.normal(0, 0.1, (2 * hidden, 2)).astype(np.float32)
         self.p["o"] = np.zeros(2, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (time, page, hidden) of one direction; padding leaves a state as it is."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """States (time, page, hidden) of one direction, a tape for the gradients, and the last state; padding leaves a state as it is."""
         steps, n, _ = x.shape
-        h = c = np.zeros((n, self.hidden), np.float32)
+        h, c = state or (np.zeros((n, self.hidden), np.float32),) * 2
         inputs = x @ self.p[f"x{way}"] + self.p[f"c{way}"]
         out, tape = np.zeros((steps, n, self.hidden), np.float32), []
         H = self.hidden
@@ -181,11 +254,22 @@ class BiLstm:
                 tape.append((t, h, c, i, f, o, g, tc, m))
             h, c = m * (o * tc) + (1 - m) * h, m * c_new + (1 - m) * c
             out[t] = h
-        return out, tape
-
-    def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, way, False)[0] for way in "fb"], axis=2)
-        return both @ self.p["w"] + self.p["o"]
+        return out, tape, (h, c)
+
+    def logits(self, pages: list[list[Block]], most: int = 1 << 13) -> np.ndarray:
+        """(time, page, 2) of pages that are read side by side, in slices of about ``most`` blocks whose states go on."""
+        steps, H = max(map(len, pages)), self.hidden
+        width = max(1, most // len(pages))
+        out = np.zeros((steps, len(pages), 2), np.float32)
+        slices = [(a, min(a + width, steps)) for a in range(0, steps, width)]
+        for k, way in enumerate("fb"):
+            state = None
+            for a, b in slices if way == "f" else reversed(slices):
+                if len(slices) > 1 or way == "f":
+                    x, mask = padded([vectors(p, a, b) for p in pages], b - a)
+                states, _, state = self._run(x, mask, way, False, state)
+                out[a:b] += states @ self.p["w"][k * H : (k + 1) * H]
+        return out + self.p["o"]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Loss and its gradients by back-propagation through time."""
@@ -219,31 +303,40 @@ class BiLstm:
         return loss, grads
 
 
-def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(pages: list[np.ndarray], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(time, page, dims) and the mask of what isn't padding."""
-    steps = max(map(len, pages))
+    steps = steps or max(map(len, pages))
     x, mask = np.zeros((steps, len(pages), DIMS), np.float32), np.zeros((steps, len(pages)), np.float32)
     for k, page in enumerate(pages):
         x[: len(page), k], mask[: len(page), k] = page, 1
     return x, mask
 
 
-#: What the generator writes around and into main text.
-SHOWN = ("article", "main", "section", 'div class="content"', 'div class="post-content"', 'div id="content"', 'div class="entry-content"', 'div class="article-body"', 'div class="story"', 'div id="main"', 'div class="post"', 'div class="text"', 'div role="main"', "div")
+#: What the generator writes around and into main text: containers of main text, wrappers of any part, and containers of all else.
+SHOWN = ("article", "main", "section", 'div class="content"', 'div class="post-content"', 'div id="content"', 'div class="entry-content"', 'div class="article-body"', 'div class="story"', 'div id="main"', 'div class="post"', 'div class="text"', 'div role="main"', "div", 'div id="bodyContent"', 'article class="post hentry"', 'div class="page-content"', 'div class="body"', 'div itemprop="articleBody"', 'div class="markdown-body"', 'td class="content"', "td", "center")
+WRAPS = ("div", "div", 'div id="page"', 'div class="wrapper"', 'div class="row"', 'div class="container"', 'div class="inner"', 'div class="layout"', 'div class="col-md-8"', 'div id="content"', 'div class="site"', 'div class="grid"', "section", "main", 'div class="main-column"', 'div id="wrap"', 'div class="site-content"')
 NOISE = {
-    "menu": ("nav", 'div class="menu"', 'ul class="nav"', 'div id="navigation"', 'div class="navbar"', 'div class="breadcrumbs"', 'div class="pagination"', 'nav class="toc"', 'div role="navigation"'),
-    "header": ("header", 'div id="header"', 'div class="header"', 'div class="masthead"', 'div class="site-header"', 'div role="banner"', 'div class="topbar"'),
-    "footer": ("footer", 'div id="footer"', 'div class="footer"', 'div class="site-footer"', 'div class="copyright"', 'div role="contentinfo"', 'div class="legal"'),
-    "aside": ("aside", 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related"', 'section class="related-posts"', 'div class="recommended"', 'aside class="sidebar"', 'div class="share"', 'div class="social"', 'div role="complementary"', 'div class="tags"'),
-    "notice": ('div class="cookie-notice"', 'div class="notice"', 'div id="cookie-banner"', 'div class="alert"', 'div class="popup"', 'div class="modal"', 'div class="consent"', 'div role="alert"', 'div class="newsletter"', 'div class="subscribe"', "dialog"),
-    "advert": ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'div class="banner"', 'aside class="ad"', 'div id="ad-top"', 'p class="ad"', 'section class="promo"'),
-    "form": ("form", 'form class="search"', 'form id="login"', 'form class="subscribe"', 'div class="search-form"', "fieldset"),
-    "comments": ('div class="comments"', 'section id="comments"', 'div id="comments"', 'section class="comments"', 'div class="discussion"', 'ol class="comment-list"', 'div class="responses"'),
+    "menu": ("nav", 'div class="menu"', 'ul class="nav"', 'div id="navigation"', 'div class="navbar"', 'div class="breadcrumbs"', 'div class="pagination"', 'nav class="toc"', 'div role="navigation"', 'div id="toc"', 'td class="menu"', 'div class="nav-links"', "ul", "td"),
+    "header": ("header", 'div id="header"', 'div class="header"', 'div class="masthead"', 'div class="site-header"', 'div role="banner"', 'div class="topbar"', 'div class="logo"'),
+    "footer": ("footer", 'div id="footer"', 'div class="footer"', 'div class="site-footer"', 'div class="copyright"', 'div role="contentinfo"', 'div class="legal"', 'table class="footer"', 'div class="bottom"'),
+    "aside": ("aside", 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related"', 'section class="related-posts"', 'div class="recommended"', 'aside class="sidebar"', 'div class="share"', 'div class="social"', 'div role="complementary"', 'div class="tags"', 'div class="col-md-4"', 'div id="secondary"', 'td class="sidebar"', 'div class="see-also"', 'ul class="related-links"'),
+    "notice": ('div class="cookie-notice"', 'div class="notice"', 'div id="cookie-banner"', 'div class="alert"', 'div class="popup"', 'div class="modal"', 'div class="consent"', 'div role="alert"', 'div class="newsletter"', 'div class="subscribe"', "dialog", 'div id="siteNotice"', "noscript", 'div class="gdpr"'),
+    "advert": ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'div class="banner"', 'aside class="ad"', 'div id="ad-top"', 'p class="ad"', 'section class="promo"', 'object class="ad"', 'div class="ad-slot"'),
+    "form": ("form", 'form class="search"', 'form id="login"', 'form class="subscribe"', 'div class="search-form"', "fieldset", "select"),
+    "comments": ('div class="comments"', 'section id="comments"', 'div id="comments"', 'section class="comments"', 'div class="discussion"', 'ol class="comment-list"', 'div class="responses"', 'div id="disqus"', 'section class="reader-comments"'),
 }
+#: Inline elements that stand open, closed or wrong within a text.
+INLINE = ("b", "i", "em", "strong", "span", "code", "u", 'span class="x"', 'font color="red"', "small", "sup")
 
 
 class PageMaker:
-    """Random pages with the label of each leaf block; words are invented anew for each page."""
+    """Random pages with the label of each leaf block; words are invented anew for each page.
+
+    A page is a column or a table of parts, within wrappers of any depth;
+    main text is made of paragraphs, of bare text between line breaks, or of
+    div elements, with headings, lists, tables, quotes and code; other parts
+    stand before, within and after it, in named containers or anonymous ones.
+    """
 
     def __init__(self, seed: int):
         self.r = np.random.default_rng(seed)
@@ -251,129 +344,236 @@ class PageMaker:
     def pick(self, xs):
         return xs[int(self.r.integers(len(xs)))]
 
+    def chance(self, p: float) -> bool:
+        return bool(self.r.random() < p)
+
+    def count(self, low: int, high: int) -> int:
+        return int(self.r.integers(low, high + 1))
+
     def words(self, low: int, high: int) -> str:
-        return " ".join(self.pick(self.vocabulary) for _ in range(int(self.r.integers(low, high + 1))))
+        return " ".join(self.pick(self.vocabulary) for _ in range(self.count(low, high)))
 
     def sentence(self, low: int = 4, high: int = 40) -> str:
         text = self.words(low, high)
-        return text[:1].upper() + text[1:] + self.pick((".", ".", ".", "!", "?", "", "***", "%%%"))
+        end = self.pick((".", ".", ".", "!", "?", "", ":", "\u2026", ".)", self.odd * self.count(1, 3)))
+        return text[:1].upper() + text[1:] + end
+
+    def rich(self, low: int, high: int) -> str:
+        """Sentences with links, inline elements and line breaks within, some of them never closed."""
+        parts = [self.sentence(low, high) for _ in range(self.count(1, 3))]
+        for k, part in enumerate(parts):
+            if self.chance(0.15):
+                tag = self.pick(INLINE)
+                parts[k] = f"<{tag}>{part}" + (f"</{tag.split()[0]}>" if self.chance(0.7) else "")
+            elif self.chance(0.12):
+                parts[k] = part + " " + self.link()
+            elif self.chance(0.06):
+                parts[k] = part + " <math><mi>x</mi><mo>=</mo><mn>1</mn></math>"
+        return self.pick((" ", " ", "  ", "<br>", "\n")).join(parts) + ("<br>" if self.chance(0.05) else "")
 
     def put(self, tag: str, text: str, label: int, closed: bool = True) -> None:
         self.out.append(f"<{tag}>{text}" + (f"</{tag.split()[0]}>" if closed else ""))
         self.labels += [label] if text.strip() else []
 
+    def bare(self, text: str, label: int) -> None:
+        self.out.append(text)
+        self.labels.append(label)
+
     def link(self) -> str:
         return f'<a href="/{self.pick(self.vocabulary)}">{self.words(1, 3)}</a>'
 
+    def named(self, tags) -> str:
+        """A container, in some cases with a name that tells nothing."""
+        tag = self.pick(tags)
+        if tag.startswith("div ") and self.chance(0.12):
+            return f'div class="{self.pick(self.vocabulary).strip(",")}"'
+        return tag
+
     def noise(self, kind: str) -> None:
-        outer = self.pick(NOISE[kind])
+        outer = self.named(NOISE[kind])
         name = outer.split()[0]
+        if name == "td":
+            outer, name = "div", "div"
         self.out.append(f"<{outer}>")
-        if name in ("ul", "ol"):
-            for _ in range(int(self.r.integers(1, 8))):
-                self.put("li", self.link() if kind == "menu" else self.sentence(1, 25), 0)
+        if name == "select":
+            for _ in range(self.count(2, 6)):
+                self.put("option", self.words(1, 3), 0, self.chance(0.5))
+        elif name in ("ul", "ol"):
+            for _ in range(self.count(1, 8)):
+                self.put("li", self.link() if kind in ("menu", "aside") else self.sentence(1, 25), 0)
         elif name == "p":
-            self.out.append(self.sentence(3, 20))
-            self.labels.append(0)
-        elif kind == "menu":
-            if self.r.random() < 0.3:
-                self.out.append(" ".join(self.link() for _ in range(5)))
-                self.labels.append(0)
-            else:
-                self.out.append("<ul>")
-                for _ in range(int(self.r.integers(1, 12))):
-                    self.put("li", self.link(), 0, self.r.random() < 0.9)
-                self.out.append("</ul>")
-        elif kind == "header":
-            self.put(self.pick(("h1", "div", "p", "h2")), self.words(1, 6), 0)
-            if self.r.random() < 0.5:
-                self.put("p", self.sentence(2, 10), 0)
-            if self.r.random() < 0.4:
-                self.noise("menu")
-        elif kind == "form":
-            for _ in range(int(self.r.integers(1, 4))):
-                self.put(self.pick(("label", "p", "legend", "button")), self.words(1, 8), 0)
-            self.out.append('<input name="q"><select><option>1</select><textarea>x</textarea>')
-        elif kind == "comments":
-            self.put(self.pick(("h2", "h3")), self.words(1, 3), 0)
-            for _ in range(int(self.r.integers(1, 6))):
-                self.out.append(inner := self.pick(('<div class="comment">', '<article class="comment">', "<li>", "<div>", '<div class="reply">')))
-                self.put(self.pick(("span", "div", "h4")), "", 0)
-                for _ in range(int(self.r.integers(1, 3))):
-                    self.put("p", self.sentence(2, 40), 0)
-                self.out.append(f"</{inner[1:-1].split()[0]}>")
-        elif self.r.random() < 0.4:
-            self.out.append(self.sentence(3, 20))
-            self.labels.append(0)
+            self.bare(self.sentence(3, 20), 0)
+        elif name == "table":
+            self.out.append("<tr>")
+            for _ in range(self.count(1, 4)):
+                self.put("td", self.link() if self.chance(0.6) else self.words(1, 6), 0)
+            self.out.append("</tr>")
         else:
-            for _ in range(int(self.r.integers(1, 5))):
-                tag = self.pick(("p", "p", "h3", "div", "li"))
-                self.put(tag, self.link() if self.r.random() < 0.3 else self.sentence(2, 25), 0)
-            if kind == "aside" and self.r.random() < 0.5:
-                self.out.append("<ul>" + "".join(f"<li>{self.link()}</li>" for _ in range(3)) + "</ul>")
-                self.labels += [0] * 3
+            getattr(self, kind)()
         self.out.append(f"</{name}>")
 
+    def menu(self) -> None:
+        if self.chance(0.3):
+            self.bare(self.pick((" ", " | ", " &gt; ")).join(self.link() for _ in range(self.count(2, 8))), 0)
+        elif self.chance(0.15):
+            for _ in range(self.count(2, 8)):
+                self.put("div", self.link(), 0)
+        else:
+            if self.chance(0.2):
+                self.put(self.pick(("h2", "h3", "div")), self.words(1, 2), 0)
+            self.out.append("<ul>")
+            for _ in range(self.count(1, 12)):
+                self.put("li", self.link(), 0, self.chance(0.9))
+            self.out.append("</ul>")
+
+    def header(self) -> None:
+        self.put(self.pick(("h1", "div", "p", "h2")), self.link() if self.chance(0.3) else self.words(1, 6), 0)
+        if self.chance(0.5):
+            self.put("p", self.sentence(2, 10), 0)
+        if self.chance(0.15):
+            self.out.append("<svg><text>")
+            self.bare(self.words(1, 2), 0)
+            self.out.append("</text></svg>")
+        if self.chance(0.4):
+            self.noise("menu")
+
+    def form(self) -> None:
+        for _ in range(self.count(1, 4)):
+            self.put(self.pick(("label", "p", "legend", "button")), self.words(1, 8), 0)
+        if self.chance(0.4):
+            self.out.append('<input name="q"><select><option>')
+            self.bare(self.words(1, 2), 0)
+            self.out.append("</select><textarea>x</textarea>")
+
+    def comments(self) -> None:
+        self.put(self.pick(("h2", "h3")), self.words(1, 3), 0)
+        for _ in range(self.count(1, 6)):
+            inner = self.pick(('div class="comment"', 'article class="comment"', "li", "div", 'div class="reply"'))
+            self.out.append(f"<{inner}>")
+            if self.chance(0.4):
+                self.put(self.pick(("div", "h4", 'div class="author"')), self.words(1, 3), 0)
+            for _ in range(self.count(1, 2)):
+                self.put("p", self.sentence(2, 40), 0)
+            self.out.append(f"</{inner.split()[0]}>")
+
+    def scattered(self) -> None:
+        """Short texts and links, as in footers, side columns, notices and adverts."""
+        if self.chance(0.4):
+            self.bare(self.pick(("", "&copy; 2020 ", "", "")) + self.sentence(2, 20), 0)
+            return
+        for _ in range(self.count(1, 5)):
+            tag = self.pick(("p", "p", "h3", "div", "li"))
+            self.put(tag, self.link() if self.chance(0.35) else self.sentence(2, 25), 0)
+        if self.chance(0.3):
+            self.out.append("<ul>")
+            for _ in range(self.count(1, 4)):
+                self.put("li", self.link(), 0)
+            self.out.append("</ul>")
+
+    footer = aside = notice = advert = scattered
+
+    def title(self) -> None:
+        head = self.pick(("h1", "h1", "h1", 'h1 class="title"', 'h1 id="firstHeading"', "h2"))
+        if self.chance(0.15):
+            self.out.append(self.pick(("<header>", '<header class="entry-header">', '<div class="title">', "<hgroup>")))
+            self.put(head, self.words(2, 12), 1)
+            self.out.append(f"</{re.match('<(\\w+)', self.out[-2])[1]}>")
+        else:
+            self.put(head, self.words(2, 12), 1)
+
+    def part(self, paragraph: str) -> None:
+        """A piece of main text."""
+        kind = self.r.random()
+        if kind < 0.68:
+            if paragraph == "bare":
+                self.bare(self.rich(1, self.longest) + "<br><br>" + self.rich(1, self.longest), 1)
+                self.out.append(self.pick(("<hr>", "<p></p>", "<div></div>")))
+            else:
+                self.put(paragraph, self.rich(1, self.longest), 1, paragraph != "p" or self.chance(0.85))
+        elif kind < 0.78:
+            self.put(self.pick(("h2", "h3", "h2", "h4")), self.words(1, 8), 1)
+        elif kind < 0.84:
+            outer = self.pick(("ul", "ol", "dl"))
+            self.out.append(f"<{outer}>")
+            for k in range(self.count(1, 6)):
+                self.put(("dt", "dd")[k % 2] if outer == "dl" else "li", self.sentence(1, 20), 1, self.chance(0.8))
+            self.out.append(f"</{outer}>")
+        elif kind < 0.9:
+            self.put(self.pick(("blockquote", "pre", "figcaption", "figure")), self.sentence(2, 40), 1)
+        elif kind < 0.93:
+            self.out.append(self.pick(("<table>", '<table class="infobox">', '<table class="data">')))
+            for _ in range(self.count(1, 5)):
+                self.out.append("<tr>")
+                for tag in ("th", "td") if self.chance(0.5) else ("td",) * self.count(1, 4):
+                    self.put(tag, self.words(1, 5), 1)
+                self.out.append("</tr>")
+            self.out.append("</table>")
+        else:
+            self.noise(self.pick(("advert", "advert", "aside", "form", "notice", "menu")))
+
     def shown(self) -> None:
-        outer = self.pick(SHOWN)
-        nested = self.r.random() < 0.25
-        self.out.append(f"<{outer}>" + ("<div>" if nested else ""))
-        if self.r.random() < 0.7:
-            self.put("h1", self.words(2, 12), 1)
+        outer = self.named(SHOWN)
+        table = outer.startswith("td")
+        wraps = [self.named(WRAPS) for _ in range(int(self.pick((0, 0, 0, 1, 1, 2, 3))))]
+        outside = self.chance(0.12)
+        self.out += [f"<{w}>" for w in wraps]
+        if outside:
+            self.title()
+        if table:
+            self.out.append("<table><tr>")
+            if self.chance(0.6):
+                self.out.append('<td class="left">')
+                self.menu()
+                self.out.append("</td>")
+        self.out.append(f"<{outer}>" + ("<div>" if self.chance(0.2) else ""))
+        if not outside and self.chance(0.75):
+            self.title()
+        paragraph = self.pick(("p", "p", "p", "p", "p", "p", "div", "bare", 'p class="x"'))
+        first = len(self.labels)
         for _ in range(int(self.pick((1, 1, 2, 3, 5, 8, 13, 20)))):
-            kind = self.r.random()
-            if kind < 0.7:
-                self.put("p", self.sentence(1, 60) + " " * 2 + self.sentence(1, 30) * int(self.r.integers(0, 2)), 1, self.r.random() < 0.85)
-            elif kind < 0.76:
-                self.out.append("<p><b>" + self.sentence(3, 30) + "<br>")
-                self.labels.append(1)
-            elif kind < 0.84:
-                self.put(self.pick(("h2", "h3")), self.words(1, 8), 1)
-            elif kind < 0.9:
-                self.out.append("<ul>")
-                for _ in range(int(self.r.integers(1, 5))):
-                    self.put("li", self.sentence(1, 20), 1)
-                self.out.append("</ul>")
-            elif kind < 0.94:
-                self.put(self.pick(("blockquote", "pre", "figcaption")), self.sentence(2, 40), 1)
-            elif kind < 0.96:
-                self.out.append("<table><tr>" + "".join(f"<td>{self.words(1, 4)}</td>" for _ in range(4)) + "</tr></table>")
-                self.labels += [1] * 4
-            else:
-                self.noise(self.pick(("advert", "advert", "aside", "form", "notice")))
-        if self.r.random() < 0.12:
+            self.part(paragraph)
+        if not any(self.labels[first:]):
+            self.put("p", self.rich(1, self.longest), 1)
+        if self.chance(0.12):
             self.noise(self.pick(("comments", "aside")))
-        self.out.append(("</div>" if nested else "") + f"</{outer.split()[0]}>")
+        self.out.append(f"</{outer.split()[0]}>" + ("</tr></table>" if table else ""))
+        self.out += [f"</{w.split()[0]}>" for w in reversed(wraps)]
 
     def page(self) -> tuple[str, list[int]]:
-        parts = [self.words_of() for _ in range(24)]
-        self.vocabulary = ["".join(self.pick(parts) for _ in range(int(self.r.integers(1, 5)))) + self.pick(("", "", "", ",")) for _ in range(300)]
-        self.out: list[str] = ["<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>"]
+        parts = [self.syllable() for _ in range(24)]
+        self.vocabulary = ["".join(self.pick(parts) for _ in range(self.count(1, 4))) + self.pick(("", "", "", ",")) for _ in range(300)]
+        self.longest = self.pick((3, 8, 20, 50, 50, 80))
+        self.odd = self.pick("~^=+_;\u00a4\u00a7\u2013")
+        style = self.pick(("", "<style>body{margin:0}</style>", "<script>var x=1</script>", '<style type="text/css">a{}</style><script src="x"></script>'))
+        self.out: list[str] = [f"{self.pick(('<!DOCTYPE html>', '', '<!-- x -->'))}<html><head><title>x</title>{style}</head><body>"]
         self.labels: list[int] = []
-        wrapped = self.r.random() < 0.2
-        self.out.append('<div class="container">' if wrapped else "")
-        kinds = list(NOISE)
-        before = [k for k in ("notice", "header", "menu", "advert", "form", "aside") if self.r.random() < 0.4]
-        after = [k for k in ("advert", "comments", "aside", "form", "footer", "notice", "menu") if self.r.random() < 0.35]
+        wrapped = self.chance(0.25)
+        self.out.append(f"<{self.pick(WRAPS)}>" if wrapped else "")
+        before = [k for k in ("notice", "header", "menu", "advert", "form", "aside") if self.chance(0.4)]
+        after = [k for k in ("advert", "comments", "aside", "form", "footer", "notice", "menu") if self.chance(0.35)]
+        blank = self.chance(0.06)  # a page without main text
+        if blank and self.chance(0.5):
+            before, after = [self.pick(("menu", "menu", "header", "form", "aside"))], []
         for kind in before:
             self.noise(kind)
-        self.shown()
+        if not blank:
+            self.shown()
         for kind in after:
             self.noise(kind)
-        if self.r.random() < 0.6:
+        if self.chance(0.6) and not blank:
             self.noise("footer")
-        if self.r.random() < 0.1:
-            self.noise(self.pick(kinds))
-        self.out.append("</div></body></html>" if wrapped else "</body></html>" if self.r.random() < 0.9 else "")
+        if self.chance(0.1):
+            self.noise(self.pick(list(NOISE)))
+        self.out.append("</body></html>" if self.chance(0.9) else "")
         return "".join(self.out), self.labels
 
-    def words_of(self) -> str:
-        return "".join(self.pick("aeiouäéíóü" if k % 2 else "bcdfghlmnprstvwñß") for k in range(int(self.r.integers(1, 4))))
+    def syllable(self) -> str:
+        return "".join(self.pick("aeiou\u00e4\u00e9\u00ed\u00f3\u00fc" if k % 2 else "bcdfghlmnprstvw\u00f1\u00df") for k in range(self.count(1, 3)))
 
 
 @lru_cache(2)
-def trained(pages: int = 2400, epochs: int = 7, seed: int = 7) -> BiLstm:
-    """A labeller, trained with Adam on generated pages; the same for the same arguments."""
+def trained(pages: int = 3600, epochs: int = 8, seed: int = 7) -> BiLstm:
+    """A labeller, trained with Adam on generated pages; the same for the same arguments. Its weights are the mean of the last two epochs'."""
     made = []
     maker = PageMaker(seed)
     while len(made) < pages:
@@ -385,7 +585,7 @@ def trained(pages: int = 2400, epochs: int = 7, seed: int = 7) -> BiLstm:
     batches = [made[k : k + 32] for k in range(0, len(made), 32)]
     model, random = BiLstm(), np.random.default_rng(seed)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}
-    step = 0
+    step, mean, held = 0, {k: np.zeros_like(v) for k, v in model.p.items()}, 0
     for epoch in range(epochs):
         for at in random.permutation(len(batches)):
             x, mask = padded([m[0] for m in batches[at]])
@@ -402,6 +602,12 @@ def trained(pages: int = 2400, epochs: int = 7, seed: int = 7) -> BiLstm:
                 m1 += 0.1 * (g - m1)
                 m2 += 0.01 * (g * g - m2)
                 model.p[k] -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)
+            if epoch >= epochs - 2:
+                held += 1
+                for k, v in model.p.items():
+                    mean[k] += (v - mean[k]) / held
+    if held:
+        model.p = mean
     return model
 
 
@@ -415,7 +621,7 @@ def labelled(pages: list[list[Block]], model: BiLstm, most: int = 1 << 14) -> li
         while end < len(order) and (end - at + 1) * len(pages[order[end]]) <= most:
             end += 1
         own = order[at:end]
-        z = model.logits(*padded([vectors(pages[k]) for k in own]))
+        z = model.logits([pages[k] for k in own])
         for j, k in enumerate(own):
             out[k] = z[: len(pages[k]), j, 1] > z[: len(pages[k]), j, 0]
         at = end
