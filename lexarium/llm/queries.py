@@ -56,11 +56,8 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_join.licenses(table(spark, sf_dir, "documents")).drop("blocks")
-
-
-def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_join.passages(table(spark, sf_dir, "documents"))
+    found = license_join.licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("blocks", F.array_join(F.transform("blocks", lambda b: F.format_string("%s@%d=%.4f", b["label"], b["word"], b["containment"])), ","))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_quality_rules, op3_exact_duplicates, op4_html_text, op5_byte_bpe, op6_pseudonyms, op7_licenses, op7_license_passages, op8_simhash, op9_mix, op10_toxicity]
+    found = [op1_packing, op2_quality_rules, op3_exact_duplicates, op4_html_text, op5_byte_bpe, op6_pseudonyms, op7_licenses, op8_simhash, op9_mix, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
@@ -126,26 +123,32 @@ FROM progressed
 
 def _op7_sql() -> str:
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_join.PHRASES)
-    sets = [(sorted(set(n.split())), label) for n, label in license_join.NOTICES]
-    notices = ", ".join(f"({w!r}, '{label}', {license_join.need(len(w))}, {len(w)})" for w, label in sets)
+    each = [(k, sorted(set(n.split())), label, must.split(), license_join.length(n)) for k, (n, label, must) in enumerate(license_join.NOTICES)]
+    notices = ", ".join(f"({k}, {w!r}, '{label}', {must!r}::VARCHAR[], {license_join.need(len(w))}, {len(w)}, {length})" for k, w, label, must, length in each)
     return rf"""
-WITH phrases(parts, label) AS (VALUES {phrases}), notices(parts, label, need, n) AS (VALUES {notices}),
+WITH phrases(parts, label) AS (VALUES {phrases}), notices(notice, parts, label, must, need, n, length) AS (VALUES {notices}),
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS place FROM documents),
-split AS (SELECT *, regexp_extract_all(text, '{license_join.WORDS}') AS words FROM low),
+split AS (SELECT doc_id, place, regexp_extract_all(text, '{license_join.WORDS}') AS words FROM low),
 starts AS (
   SELECT place, label, unnest(list_filter(range(0, len(words)), lambda i: words[i + 1 : i + len(parts)] = parts)) AS pos FROM split, phrases
 ), base AS (
   SELECT place, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM starts GROUP BY place
-), lines AS (SELECT place, unnest(string_split(text, chr(10))) AS line FROM split),
-held AS (
-  SELECT place, label, len(list_intersect(parts, own)) / n::DOUBLE AS containment
-  FROM (SELECT place, list_distinct(regexp_extract_all(line, '{license_join.WORDS}')) AS own FROM lines), notices
-  WHERE len(list_intersect(parts, own)) >= need
-), found AS (SELECT place, list_distinct(list(label)) AS labels, max(containment) AS best FROM held GROUP BY place)
+), tok AS (SELECT place, unnest(range(0, len(words))) AS i, unnest(words) AS w FROM split),
+part AS (SELECT notice, unnest(parts) AS w FROM notices), hit AS (SELECT t.place, p.notice, t.i, t.w FROM tok t JOIN part p ON p.w = t.w),
+block AS (
+  SELECT a.place, a.notice, a.i, list(DISTINCT b.w) AS held FROM hit a JOIN notices x ON x.notice = a.notice
+  JOIN hit b ON b.place = a.place AND b.notice = a.notice AND b.i >= a.i AND b.i < a.i + x.length GROUP BY a.place, a.notice, a.i
+), passed AS (
+  SELECT place, label, i, len(held) / n::DOUBLE AS containment, row_number() OVER (PARTITION BY place, b.notice ORDER BY len(held) DESC, i) AS r
+  FROM block b JOIN notices x ON x.notice = b.notice WHERE len(held) >= need AND len(list_intersect(held, must)) = len(must)
+), found AS (
+  SELECT place, list_distinct(list(label)) AS labels, max(containment) AS best, string_agg(label || printf('@%d=%.4f', i, containment), ',' ORDER BY i, label, containment) AS blocks
+  FROM passed WHERE r = 1 GROUP BY place
+)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
-  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score, coalesce(blocks, '') AS blocks
 FROM split s LEFT JOIN base b ON b.place = s.place LEFT JOIN found f ON f.place = s.place
 """
 
