@@ -3,16 +3,26 @@
 What looks like personal data is validated (check digits, ranges, calendar)
 and then replaced by another value of the same format: a keyed Feistel network
 permutes the values of the format, so equal values get equal pseudonyms in all
-documents, different values different ones, and a pseudonym passes the same
-validation. Texts are never shuffled; each is rewritten where it is read.
+documents, different values different ones, no value its own, and a pseudonym
+passes the same validation and is as long, but for the names of months. Texts
+are never shuffled; each is rewritten where it is read.
+
+A date is permuted among those whose day and month have as many digits, so it
+keeps its length in every way of writing it and stays the same date in all.
+Ten digits without separators count as a phone number after a word that says
+so; a year of two digits counts after slashes. Letters of other scripts than
+Latin, Greek and Cyrillic stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from datetime import date
+from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 from math import isqrt
 
 import pyarrow as pa
@@ -24,34 +34,49 @@ from lexarium.llm.common import spread
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-_EMAIL_LOCAL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*\Z")
-_EMAIL_HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-#: Number formats; the first that matches and validates wins. All quantifiers are bounded.
-_NUMBER = re.compile(
-    r"""(?<![0-9A-Za-z.+-])(?:
-    (?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)
-  | (?P<iso>[0-9]{4}([-/.])[0-9]{2}\3[0-9]{2})
-  | (?P<day>[0-9]{1,2}([-/.])[0-9]{1,2}\5[0-9]{4})
-  | (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})
-  | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})
-  | (?P<card>[0-9](?:[ -]?[0-9]){12,18})
-  | (?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{8,15})
-    )(?![0-9A-Za-z])(?!\.[0-9])""",
-    re.VERBOSE,
-)
-_KINDS = ("iban", "iso", "day", "ip", "ssn", "card", "phone")
-#: Each format by itself, for other readings of a place whose first reading isn't valid; a time may follow an ISO date.
-_ENDS = r"(?![0-9A-Za-z])(?!\.[0-9])"
-_ONE = {
-    "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?" + _ENDS),
-    "iso": re.compile(r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?:(?=T[0-9]{2})|" + _ENDS + ")"),
-    "day": re.compile(r"[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}" + _ENDS),
-    "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _ENDS),
-    "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _ENDS),
-    "card": re.compile(r"[0-9](?:[ -]?[0-9]){12,18}" + _ENDS),
-    "phone": re.compile(r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{8,15})" + _ENDS),
+#: What the part before the @ is made of: ASCII, Latin, Greek and Cyrillic letters, digits and signs.
+_IN_LOCAL = r"[A-Za-z0-9_%+\-À-ÖØ-öø-ɏͰ-ϿЀ-ӿ]"
+_EMAIL_LOCAL = re.compile(rf"{_IN_LOCAL}+(?:\.{_IN_LOCAL}+)*\Z")
+_EMAIL_HOST = re.compile(r"(?:[^\W_](?:(?:[^\W_]|-){0,62})\.)+[^\W\d_]{2,24}(?![^\W_])")
+#: Letters beyond ASCII that stand for each other in emails: first and last, where all between are small letters (fixed values).
+_LETTERS = ((0xDF, 0xF6), (0xF8, 0xFF), (0x3B1, 0x3C1), (0x3C3, 0x3C9), (0x430, 0x44F))
+#: Months in four languages, and words that announce a phone number (fixed values).
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "de": "januar februar m\u00e4rz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier f\u00e9vrier mars avril mai juin juillet ao\u00fbt septembre octobre novembre d\u00e9cembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
 }
-_ISO_TIME = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?=T[0-9]{2})")
+_CUES = "call phone telephone tel mobile cell fax telefon telefax handy rufnummer t\u00e9l\u00e9phone t\u00e9l portable tel\u00e9fono m\u00f3vil"
+_PARTS = {
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
+    "iso": r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}",
+    "day": r"[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}",
+    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\(0?[0-9]{0,4}\)[ .-]?)?[0-9]{1,5}(?:[ ./-]?[0-9]{2,8}){1,4}|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|0[0-9](?:[ .-][0-9]{2}){4}|\(?0[0-9]{2,4}\)?[ /-][0-9]{5,8}|\+[0-9]{8,15})",
+    "short": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}",
+}
+_BEFORE, _ENDS = r"(?<![0-9A-Za-z.+-])", r"(?![0-9A-Za-z])(?![./-][0-9])"
+#: Each format; the first that matches at a place and validates wins. All quantifiers are bounded. A time may follow an ISO date.
+_ONE = {kind: re.compile((f"{part}(?:(?=T[0-9]{{2}})|{_ENDS})" if kind == "iso" else part + (_ENDS if kind in ("ip", "day", "short") else r"(?![0-9A-Za-z])(?!\.[0-9])"))) for kind, part in _PARTS.items()}
+#: Where a number may begin.
+_START = re.compile(_BEFORE + r"(?=[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}|\+[0-9]|\(?[0-9])[A-Z(+]?[A-Z0-9]?[0-9]*")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{0,4}:[0-9A-Fa-f:]{1,34}(?![0-9A-Za-z:])")
+_YEAR = re.compile(r"(?<![0-9])[0-9]{4}(?![0-9])")
+_MONTH_OF = {name: (language, k + 1) for language in reversed(MONTHS) for k, name in enumerate(MONTHS[language])}
+_NAMES = "|".join(sorted(_MONTH_OF, key=len, reverse=True))
+_WRITTEN = re.compile(rf"(?<!\w)(?:(?P<d1>[0-9]{{1,2}})(?P<s1>\.|st|nd|rd|th)?(?P<g1> de | )(?P<m1>{_NAMES})(?P<h1> de |, | )|(?P<m2>{_NAMES}) (?P<d2>[0-9]{{1,2}})(?P<s2>st|nd|rd|th)?(?P<h2>, | ))\Z", re.IGNORECASE)
+_BARE = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{10}(?![0-9A-Za-z])(?!\.[0-9])")
+_CUE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_CUES.split(), key=len, reverse=True))})\.?:? ?(?:is |at |no\.? |number:? )?\Z", re.IGNORECASE)
+
+
+@lru_cache(8)
+def _days(first: int, last: int, short_day: bool, short_month: bool) -> list[int]:
+    """The days from first to last whose day and month have one digit or two."""
+    found = (date.fromordinal(k) for k in range(first, last + 1))
+    return [d.toordinal() for d in found if (d.day < 10) == short_day and (d.month < 10) == short_month]
 
 
 class Permutation:
@@ -77,6 +102,13 @@ class Permutation:
             if x < self.n:
                 return x
 
+    def moved(self, x: int) -> int:
+        """x under a permutation of range(n) that leaves nothing in place: a keyed step along the order that this one gives."""
+        if self.n < 2:
+            return x
+        step = 1 + self._round(255, 0) % (self.n - 1)
+        return self.inverse((self(x) + step) % self.n)
+
     def inverse(self, x: int) -> int:
         while True:
             left, right = divmod(x, self.b)
@@ -118,29 +150,34 @@ class Pseudonyms:
             if len(self.made) > 4096:
                 self.made.clear()
             self.made[domain, n] = Permutation(self.key, domain, n)
-        return self.made[domain, n](x)
+        return self.made[domain, n].moved(x)
+
+    def _mixed(self, domain: str, digits: list[tuple[int, int]]) -> list[int]:
+        """Digits, each with its radix, permuted together."""
+        x, n = 0, 1
+        for d, radix in digits:
+            x, n = x * radix + d, n * radix
+        x = self._permuted(domain, n, x)
+        out = []
+        for _, radix in reversed(digits):
+            x, d = divmod(x, radix)
+            out.append(d)
+        return out[::-1]
 
     def _digits(self, domain: str, digits: str) -> str:
         n = 10 ** len(digits)
         return str(self._permuted(f"{domain}{len(digits)}", n, int(digits))).zfill(len(digits))
 
     def _chars(self, domain: str, text: str) -> str:
-        """Letters stay letters and digits digits, by place; case and other characters stay."""
-        lower = text.lower()
-        radix = [10 if c.isdigit() else 26 if "a" <= c <= "z" else 1 for c in lower]
-        x = n = 0
-        n = 1
-        for c, r in zip(lower, radix):
-            if r > 1:
-                x, n = x * r + (int(c) if r == 10 else ord(c) - 97), n * r
-        shape = "".join("9" if r == 10 else "a" if r == 26 else c for c, r in zip(lower, radix))
-        x = self._permuted(f"{domain}:{shape}", n, x) if n > 1 else 0
-        out = []
-        for c, r in zip(reversed(text), reversed(radix)):
-            x, d = divmod(x, r)
-            new = c if r == 1 else str(d) if r == 10 else chr(97 + d)
-            out.append(new.upper() if c.isupper() else new)
-        return "".join(reversed(out))
+        """Letters stay letters of their script and digits digits, by place; case and other characters stay."""
+        lower = [c.lower() if len(c.lower()) == 1 else c for c in text]
+        first = [next((a for a, b in (("0", "9"), ("a", "z"), *((chr(x), chr(y)) for x, y in _LETTERS)) if a <= c <= b), "") for c in lower]
+        last = {"0": "9", "a": "z"} | {chr(x): chr(y) for x, y in _LETTERS}
+        digits = [(ord(c) - ord(f), ord(last[f]) - ord(f) + 1) for c, f in zip(lower, first) if f]
+        shape = "".join({"0": "9"}.get(f, f or c) for c, f in zip(lower, first))
+        made = iter(self._mixed(f"{domain}:{shape}", digits) if digits else ())
+        new = [chr(ord(f) + next(made)) if f else c for c, f in zip(text, first)]
+        return "".join(n.upper() if f not in ("", "0") and c != low and len(n.upper()) == 1 else n for n, c, low, f in zip(new, text, lower, first))
 
     def email(self, local: str, host: str) -> str:
         return f"{self._chars('email', local)}@{host}"
@@ -156,16 +193,33 @@ class Pseudonyms:
         code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
         rest = text[code.end() :] if code else text
         digits = re.sub("[^0-9]", "", rest)
-        if not 7 <= len(digits) <= 15:
+        if not 7 <= len(digits) <= (15 if not code else 10 if code.group() == "+1" else 11):
             return None
         return (code.group() if code else "") + _refill(rest, self._digits("phone", digits))
 
     def ip(self, text: str) -> str | None:
-        parts = [int(p) for p in text.split(".")]
-        if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
+        """An octet keeps its number of digits."""
+        parts = text.split(".")
+        if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
+            return None
+        low, radix = (0, 0, 10, 100), (0, 10, 90, 156)
+        made = self._mixed("ip:" + ".".join(str(len(p)) for p in parts), [(int(p) - low[len(p)], radix[len(p)]) for p in parts])
+        return ".".join(str(low[len(p)] + d) for p, d in zip(parts, made))
+
+    def ipv6(self, text: str) -> str | None:
+        """A group keeps its number of digits; the address is validated as a whole."""
+        try:
+            IPv6Address(text)
+        except AddressValueError:
             return None
-        x = self._permuted("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        leads = [k == 0 or text[k - 1] == ":" for k in range(len(text))]
+        long = [lead and k + 1 < len(text) and text[k + 1] != ":" for k, lead in enumerate(leads)]
+        digits = [(int(c, 16) - (n and c != "0"), 16 - (n and c != "0")) for c, n in zip(text, long) if c != ":"]
+        if not digits:
+            return None
+        made = iter(self._mixed("ipv6:" + "".join(c if c == ":" else "xyz"[n + (n and c == "0")] for c, n in zip(text, long)), digits))
+        new = "".join(c if c == ":" else f"{next(made) + (n and c != '0'):x}" for c, n in zip(text, long))
+        return new.upper() if re.search("[A-F]", text) else new
 
     def ssn(self, text: str) -> str | None:
         area, group, serial = (int(p) for p in text.split("-"))
@@ -184,14 +238,15 @@ class Pseudonyms:
         account = self._chars("iban", account)
         return _refill(text, country + iban_digits(country, account) + account)
 
-    def _day(self, y: int, m: int, d: int) -> date | None:
+    def _day(self, y: int, m: int, d: int, first: int = FIRST_DAY, last: int = LAST_DAY) -> date | None:
         try:
             day = date(y, m, d).toordinal()
         except ValueError:
             return None
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if not first <= day <= last:
             return None
-        return date.fromordinal(FIRST_DAY + self._permuted("day", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY))
+        days = _days(first, last, d < 10, m < 10)
+        return date.fromordinal(days[self._permuted(f"day:{first}:{d < 10}:{m < 10}", len(days), bisect_left(days, day))])
 
     def iso(self, text: str) -> str | None:
         new = self._day(*(int(p) for p in re.split("[-/.]", text)))
@@ -200,60 +255,94 @@ class Pseudonyms:
     def day(self, text: str) -> str | None:
         """Day first where points separate, month first otherwise, the other way where only that is a date."""
         mark = re.search("[-/.]", text).group()
-        a, b, y = (int(p) for p in text.split(mark))
-        orders = ((b, a), (a, b)) if mark == "." else ((a, b), (b, a))
-        for m, d in orders:
-            if new := self._day(y, m, d):
-                first, second = (new.day, new.month) if (m, d) == (b, a) and (a != b or mark == ".") else (new.month, new.day)
-                return mark.join((f"{first:02d}", f"{second:02d}", f"{new.year:04d}"))
+        parts = text.split(mark)
+        a, b, y = map(int, parts)
+        bounds = (FIRST_DAY, LAST_DAY)
+        if len(parts[2]) == 2:
+            y, bounds = (2000 if y < 50 else 1900) + y, (date(1950, 1, 1).toordinal(), date(2049, 12, 31).toordinal())
+        for month_first in (mark != ".", mark == "."):
+            m, d = (a, b) if month_first else (b, a)
+            if new := self._day(y, m, d, *bounds):
+                pair = (new.month, new.day) if month_first else (new.day, new.month)
+                year = f"{new.year:04d}"[-len(parts[2]) :]
+                return mark.join((*(f"{x:0{len(p)}d}" for x, p in zip(pair, parts)), year))
         return None
 
+    short = day
+
+    def written(self, m: re.Match, year: str) -> str | None:
+        """A date with its month's name, in the same language, case and order."""
+        which = "1" if m["m1"] else "2"
+        name, day, suffix = m["m" + which], m["d" + which], m["s" + which] or ""
+        language, month = _MONTH_OF[name.lower()]
+        new = self._day(int(year), month, int(day))
+        if not new:
+            return None
+        month_name = MONTHS[language][new.month - 1]
+        month_name = month_name.upper() if name.isupper() and len(name) > 1 else month_name.capitalize() if name[0].isupper() else month_name
+        if suffix[:1].isalpha():
+            ends = {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th") if not 10 < new.day < 20 else "th"
+            suffix = ends.upper() if suffix.isupper() else ends
+        shown = f"{new.day:0{len(day)}d}{suffix}"
+        return f"{shown}{m['g1']}{month_name}{m['h1']}{new.year}" if which == "1" else f"{month_name} {shown}{m['h2']}{new.year}"
+
     def _emails(self, text: str) -> Iterator[tuple[int, int, str, str]]:
         at = text.find("@")
         while at >= 0:
             start = max(0, at - 64)
             local, host = _EMAIL_LOCAL.search(text, start, at), _EMAIL_HOST.match(text, at + 1, at + 256)
-            if local and host and not (local.start() == start and start and re.match("[A-Za-z0-9_%+-]", text[start - 1])):
+            if local and host and not (local.start() == start and start and re.match(_IN_LOCAL, text[start - 1])):
                 yield local.start(), host.end(), "email", self.email(local.group(), host.group())
             at = text.find("@", at + 1)
 
     def _reading(self, text: str, at: int) -> tuple[int, str, str] | None:
         """(end, kind, pseudonym) of the first format that matches at this place and validates, the longest end first."""
-        for kind in _KINDS:
-            m = _ONE[kind].match(text, at)
+        for kind, pattern in _ONE.items():
+            m = pattern.match(text, at)
             while m:
                 if new := getattr(self, kind)(m.group()):
                     return m.end(), kind, new
                 cut = max(m.group().rfind(" "), m.group().rfind("-")) if kind in ("iban", "card", "phone") else -1
-                m = _ONE[kind].match(text, at, at + cut) if cut > 0 else None  # ends at a group's border
+                m = pattern.match(text, at, at + cut) if cut > 0 else None  # ends at a group's border
         return None
 
     def _numbers(self, text: str) -> Iterator[tuple[int, int, str, str]]:
         at = 0
-        timed = _ISO_TIME.search(text)
-        while (m := _NUMBER.search(text, at)) or timed:
-            if timed and (not m or timed.start() <= m.start()):
-                m = timed
-            start = m.start()
-            if timed and timed.start() <= start:
-                timed = _ISO_TIME.search(text, timed.end())
-            found = self._reading(text, start)
-            if found is None:
-                at = _after_number(text, start + 1)
+        while m := _START.search(text, at):
+            found = self._reading(text, m.start())
+            if found is None:  # past the digits that begin here: no part of a number is tried by itself
+                at = max(m.end(), m.start() + 1)
             else:
                 at, kind, new = found
-                yield start, at, {"iso": "date", "day": "date"}.get(kind, kind), new
-            while timed and timed.start() < at:
-                timed = _ISO_TIME.search(text, timed.end())
+                yield m.start(), at, {"iso": "date", "day": "date", "short": "date"}.get(kind, kind), new
+
+    def _others(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        """What is found from its end or its middle: dates with a month's name, announced phone numbers, IPv6 addresses."""
+        for m in _YEAR.finditer(text):
+            if (before := _WRITTEN.search(text, max(0, m.start() - 32), m.start())) and (new := self.written(before, m.group())):
+                yield before.start(), m.end(), "date", new
+        for m in _BARE.finditer(text):
+            if _CUE.search(text, max(0, m.start() - 24), m.start()):
+                yield m.start(), m.end(), "phone", self.phone(m.group())
+        if text.count(":") > 1:
+            for m in _IPV6.finditer(text):
+                if new := self.ipv6(m.group()):
+                    yield m.start(), m.end(), "ip", new
+
+    def found(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        """(start, end, kind, pseudonym) of the values of a text, in order; of two that overlap the first."""
+        at = 0
+        for start, end, kind, new in sorted([*self._emails(text), *self._numbers(text), *self._others(text)]):
+            if start >= at:
+                yield start, end, kind, new
+                at = end
 
     def rewrite(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and (start, end, kind) of each in the new text."""
-        if not text or not ("@" in text or _DIGIT.search(text)):
+        if not text or not ("@" in text or _DIGIT.search(text) or "::" in text):
             return text, []
         out, spans, at, size = [], [], 0, 0
-        for start, end, kind, new in sorted([*self._emails(text), *self._numbers(text)]):
-            if start < at:
-                continue
+        for start, end, kind, new in self.found(text):
             out += (text[at:start], new)
             size += start - at
             spans.append((size, size + len(new), kind))
@@ -264,12 +353,6 @@ class Pseudonyms:
 
 
 _DIGIT = re.compile("[0-9]")
-_RUN = re.compile("[0-9]*")
-
-
-def _after_number(text: str, at: int) -> int:
-    """Past the digits that begin at a rejected match: no part of a number is tried by itself."""
-    return _RUN.match(text, at).end()
 
 
 def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
