@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexarium.llm.common import WORD, counted, free_name, met, numbered, spread, written
+from lexarium.llm.common import BLANKS, counted, free_name, met, numbered, spread, written
 
 #: Weights of the sources in code point order, repeating; words mixed over words there are; most passes over a source.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -45,7 +45,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     """
     known = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), known)), 1, 12), 16, 10).cast("long")
-    return docs.select("row", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("order"))
+    return docs.select("row", "doc_id", "source", F.coalesce(F.size(F.array_remove(F.split("text", f"[{BLANKS}]+"), "")), F.lit(0)).cast("long").alias("size"), key.alias("order"))
 
 
 def _slim(docs: DataFrame, row: Column) -> DataFrame:
