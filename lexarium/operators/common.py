@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window as W
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 #: Values that a batch of results holds before it is handed on, one document's aside.
 _FLUSH = 1 << 16
+#: A line of a printed plan that is an exchange, whatever columns and folders are called.
+_EXCHANGE = re.compile(r"^[\s:+|*()\d-]*Exchange ", re.MULTILINE)
 
 
 def documents(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,11 +24,12 @@ def documents(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text") ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores; only an input with fewer splits than that is dealt out anew.
+    """df in at least as many partitions as there are cores; only an input with fewer splits than that, such as one small file, is dealt out anew.
 
-    What comes out of a shuffle stays as it is: counting its partitions would run it.
+    A large table keeps its splits and isn't shuffled. What comes out of a
+    shuffle stays as it is: counting its partitions would run it.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if _EXCHANGE.search(df._jdf.queryExecution().executedPlan().toString()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexarium.functions import strings as S
 from lexarium.functions import text as X
 from lexarium.operators.co_occurrence import CoOccurrence
-from lexarium.operators.common import ranked
+from lexarium.operators.common import ranked, spread
 from lexarium.operators.rake import Rake
 from lexarium.operators.text_rank import TextRank, word_rank
 from lexarium.operators.tf_idf import ranked_words, tf_idf, word_score, word_scores_map
@@ -212,6 +212,16 @@ def per_document(df):
     return lists + tops + maps
 
 
+def test_spread(spark, tmp_path):
+    """A small input is dealt out, whatever its columns and folders are called; what comes out of a shuffle isn't counted."""
+    path = str(tmp_path / "Exchange")
+    spark.range(20).coalesce(1).selectExpr("id as doc_id", "'a Exchange b' as `Exchange `").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert df.rdd.getNumPartitions() == 1 and spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    shuffled = df.repartition(2)
+    assert spread(shuffled) is shuffled
+
+
 def test_no_shuffle_of_the_text(docs):
     for found in per_document(docs(*["a b"] * 8)):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
