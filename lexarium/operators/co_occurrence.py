@@ -73,10 +73,15 @@ class CoOccurrence:
         own = self.triples().filter(F.col("word1") == word)
         return own.join(F.broadcast(self.labels().toDF("word2", "label")), "word2").select(F.col("word2").alias("word"), "weight", "label").orderBy("label")
 
+    def relations_of(self, pairs: Iterable[tuple[str, str]]) -> DataFrame:
+        """(word1, word2, weight) of the cells of pairs of words, from one pass; no row where a word is unknown."""
+        cells = [(self.label_of[a], self.label_of[b]) for a, b in pairs if a in self.label_of and b in self.label_of]
+        wanted = self.spark.createDataFrame(cells, "row int, col int")
+        return self.matrix().join(F.broadcast(wanted), ["row", "col"]).select("word1", "word2", "weight")
+
     def relation(self, word1: str, word2: str) -> DataFrame:
         """(weight) of one cell; no row where a word is unknown."""
-        found = self.matrix().filter((F.col("row") == self.label_of.get(word1, -1)) & (F.col("col") == self.label_of.get(word2, -1)))
-        return found.select("weight")
+        return self.relations_of([(word1, word2)]).select("weight")
 
     def label(self, word: str) -> int | None:
         return self.label_of.get(word)

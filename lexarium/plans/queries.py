@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,9 +112,7 @@ def cooccur_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccur_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    co = _co(spark, sf_dir)
-    each = [co.relation(a, b).select(F.lit(a).alias("word1"), F.lit(b).alias("word2"), rounded("weight").alias("weight")) for a, b in WANTED_PAIRS]
-    return reduce(DataFrame.unionByName, each)
+    return _co(spark, sf_dir).relations_of(WANTED_PAIRS).withColumn("weight", rounded("weight"))
 
 
 def _rake(spark: SparkSession, sf_dir: str, length: int | None = None) -> Rake:
