@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarium.operators.common import spread
+
+__all__ = ["BLANKS", "BROADCAST_ROWS", "ROW", "WORD", "counted", "free_name", "least_rows", "met", "numbered", "remove_written", "shared_folder", "spread", "table", "without_rows", "written"]
+
 #: Characters that separate words: space and the five ASCII control blanks.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -99,19 +103,6 @@ def _is_scan(df: DataFrame) -> bool:
     return last.startswith("Relation ") and last.endswith(" parquet") and all(n.lstrip(" +-:").startswith(("Project ", "Filter ")) for n in above)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores.
-
-    Only an input with fewer splits than cores is dealt out anew, such as one
-    small file; a large table keeps its splits and isn't shuffled. What comes
-    out of a shuffle stays as it is: counting its partitions would run it.
-    """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -147,8 +138,8 @@ def least_rows(df: DataFrame, n: int, order: Column, *ties: str) -> DataFrame:
     every partition. Where the bound lets through too few, all rows are sorted.
     """
     total = df.count()
-    if total > 4 * n:
-        share = 1.5 * n / total + 64 / total
+    share = (1.5 * n + 64) / max(total, 1)
+    if share < 0.5:
         bounded = df.filter(order < F.lit(-(1 << 63) + int(share * (1 << 64))).cast("long"))
         if bounded.count() >= n:
             df = bounded

@@ -17,9 +17,14 @@ bits, with seven on 26, with ten on 32, at the price of more grids.
 
 A cell never expands into all its pairs: the links of a cell are followed from
 fingerprint to fingerprint against those not yet reached, and only a spanning
-forest leaves it. Cells above ``cell_rows`` fingerprints are cut into blocks,
-and every pair of blocks is its own task-sized cell, so no task holds an
-unbounded cell and no link is lost.
+forest leaves it.
+
+Cells above ``cell_rows`` members are cut into blocks, so no task holds an
+unbounded cell. Each block also gets the cell's pivots, a few members that all
+blocks share: within a dense group nearly all members link to one, so one pass
+that is linear in the cell joins them. Then each member outside the cell's
+largest component meets every block. A link that was missed joins two
+components, so one of its ends is such a member: none is lost.
 """
 
 from __future__ import annotations
@@ -181,7 +186,30 @@ def _cell_links(distance: int):
     return run
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None, cell_rows: int = 8192) -> DataFrame:
+def in_blocks(members: DataFrame, key: str, cell_rows: int) -> DataFrame:
+    """members(cell, key, n) to (cell, key): a cell as it is where n is null, else its blocks, each with the cell's pivots."""
+    blocks = F.ceil(F.col("n") / F.lit(cell_rows // 2)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), key), blocks).cast("int")
+    pivot = F.pmod(F.xxhash64(F.lit("pivot"), "cell", key), F.col("n")) < max(1, cell_rows // 64)
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("cell", j))
+    return members.select(key, F.explode(F.when(F.col("n").isNull(), F.array("cell")).when(pivot, every).otherwise(F.array(F.xxhash64("cell", own)))).alias("cell"))
+
+
+def rest_in_blocks(members: DataFrame, roots: DataFrame, key: str, cell_rows: int) -> DataFrame:
+    """members(cell, key, n) of large cells and the roots(node, root) found so far to (cell, key): whoever isn't in the cell's largest component with each of the cell's blocks."""
+    rooted = members.join(roots.withColumnRenamed("node", key), key, "left").select("cell", key, "n", F.coalesce("root", key).alias("root"))
+    sizes = rooted.groupBy("cell", "root").agg(F.count("*").alias("own"))
+    largest = sizes.groupBy("cell").agg(F.max_by("root", F.struct("own", "root")).alias("largest"), (F.sum("own") - F.max("own")).alias("rest")).filter("rest > 0")
+    met = rooted.join(largest, "cell")
+    half = F.lit(cell_rows // 2)
+    blocks, rests = F.ceil(F.col("n") / half).cast("int"), F.ceil(F.col("rest") / half).cast("int")
+    block, rest = F.pmod(F.xxhash64(F.lit("block"), key), blocks).cast("int"), F.pmod(F.xxhash64(F.lit("rest"), key), rests).cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), rests - 1), lambda r: F.xxhash64(F.lit("rest"), "cell", block, r))
+    as_rest = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64(F.lit("rest"), "cell", j, rest))
+    return met.select(key, F.explode(F.when(F.col("root") == F.col("largest"), as_member).otherwise(F.array_union(as_member, as_rest))).alias("cell"))
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None, cell_rows: int = 2048) -> DataFrame:
     """(a, b), a < b: links that connect just what all pairs within the distance connect.
 
     distinct: one column fp without repeats; it is counted to choose the groups.
@@ -189,14 +217,17 @@ def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = No
     groups = groups or groups_for(distinct.count(), distance)
     unary = unary_counts(F.col("fp"))
     cells = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), unary.bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(grid_masks(groups, distance))])).alias("cell"))
-    half = cell_rows // 2
-    hot = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / half).cast("int").alias("blocks"))
-    dealt = cells.join(hot, "cell", "left")
-    block = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("cell", F.least(j, block), F.greatest(j, block)))
-    dealt = dealt.select("fp", F.explode(F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
-    ordered = dealt.repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(_cell_links(distance), "a long, b long").distinct()
+    hot = written(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows), "hot")
+
+    def found(dealt: DataFrame) -> DataFrame:
+        ordered = dealt.repartition("cell").sortWithinPartitions("cell")
+        return ordered.mapInArrow(_cell_links(distance), "a long, b long").distinct()
+
+    first = found(in_blocks(cells.join(hot, "cell", "left"), "fp", cell_rows))
+    if hot.isEmpty():
+        return first
+    first = written(first, "first_links")
+    return first.union(found(rest_in_blocks(cells.join(hot, "cell"), components(first), "fp", cell_rows)))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexarium.llm import exact_cqf as cqf
-from lexarium.llm.common import _is_scan
+from lexarium.llm.common import _is_scan, least_rows
 from lexarium.llm.common import numbered as numbered_rows
 from lexarium.llm import near_copies
 from lexarium.llm import simhash_grid as grid
@@ -100,6 +100,14 @@ def test_near_decides_by_row(spark):
         assert len(left) == 3 and set(rows[2:3] + rows[4:]) <= set(left) and (None, near) not in left
 
 
+def test_least_rows(spark):
+    """With and without the bound on the hash: the rows that a whole sort gives."""
+    order = F.xxhash64("id")
+    for total, n in ((0, 5), (3, 5), (10, 1), (5000, 100), (20000, 10), (20000, 0)):
+        df = spark.range(total).repartition(3)
+        assert [r["id"] for r in least_rows(df, n, order, "id").collect()] == [r["id"] for r in df.orderBy(order, "id").limit(n).collect()]
+
+
 def test_sizes_follow_the_rows():
     assert cqf.sizes(0, 1) == (4, 16) and cqf.sizes(4 * 10**10, 10**5)[0] == 17
     assert all(4 <= b <= 24 and 16 <= q < 64 for n in (1, 10**3, 10**6, 10**9, 10**12) for b, q in [cqf.sizes(n, 1 + n // 10**6)])
@@ -185,6 +193,21 @@ def test_cells_in_blocks(spark):
     check_links(spark, random_fingerprints(250, 4, centres=2), cell_rows=8)
 
 
+def test_blocks_are_linear_in_a_dense_cell(spark):
+    """A cell whose members all link to its pivots is dealt once, and nobody is left for the second pass; strangers meet every block."""
+    members = spark.range(1000).selectExpr("id as key", "7L as cell", "1000L as n")
+    first = grid.in_blocks(members, "key", 128)
+    assert first.count() < 2 * 1000 and first.groupBy("cell").count().agg({"count": "max"}).first()[0] < 128
+    one = spark.range(1000).selectExpr("id as node", "0L as root")
+    assert grid.rest_in_blocks(members, one, "key", 128).count() == 0
+    two = spark.range(1000).selectExpr("id as node", "if(id < 10, 1L, 0L) as root")
+    rest = grid.rest_in_blocks(members, two, "key", 128)
+    seen = {}
+    for r in rest.collect():
+        seen.setdefault(r["cell"], set()).add(r["key"])
+    assert rest.count() < 1200 and all(any({a, b} <= cell for cell in seen.values()) for a in range(10) for b in range(1000))
+
+
 def test_near_duplicates(numbered, texts):
     fps = np.array([brute_fingerprint(t) for t in texts], np.uint64)
     label = brute_components(fps)

@@ -100,6 +100,39 @@ def test_forest_finds_outliers():
     assert quality_forest.calibrated(np.array([1.0, 2]), np.array([True, True])) == 0.0
 
 
+def plain_path(tree, row):
+    """A walk down one tree, and what its leaf adds."""
+    feature, cut, left, depth = tree
+    node = 0
+    while feature[node] >= 0:
+        node = left[node] + int(row[feature[node]] >= cut[node])
+    return depth[node]
+
+
+def test_verdicts_equal_plain_walks(spark):
+    """kept of every row against walks down the trees, row by row, and thresholds by trying every cut."""
+    r = random.Random(6)
+    rows = [" ".join(r.choice(WORDS) + ("#" if r.random() < 0.3 * (k % 7 == 0) else "") for _ in range(r.randint(10, 120))) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k % 7 != 0)) for k in range(0, 300, 2)], "doc_id long, quality int")
+    stats = quality_forest.rule_statistics(docs)
+    judge = quality_forest.fit(stats, known)
+    by_id = {x["doc_id"]: x for x in quality_forest.judged(stats, judge).collect()}
+    x = quality_forest.features(np.array([[by_id[k][s] for s in quality_forest.STATISTICS] for k in range(300)]))
+    paths = [[sum(plain_path(t, row[list(view)]) for t in forest.trees) / len(forest.trees) / forest.norm for row in x] for view, forest in zip(quality_forest.VIEWS, judge.forests)]
+    for k in range(300):
+        odd = any(p[k] < t for p, t in zip(paths, judge.thresholds))
+        assert by_id[k]["path_length"] == pytest.approx(paths[0][k]) and by_id[k]["kept"] == (not by_id[k]["base_failed"] and not odd)
+    labelled_rows = [k for k in range(0, 300, 2) if not by_id[k]["base_failed"]]
+    for p, threshold in zip(paths, judge.thresholds):
+        good = [p[k] for k in labelled_rows if k % 7]
+        bad = [p[k] for k in labelled_rows if not k % 7]
+        gain = lambda t: sum(v < t for v in bad) / len(bad) - sum(v < t for v in good) / len(good)
+        allowed = [v for v in sorted({*good, *bad}) if sum(g <= v for g in good) <= quality_forest.GOOD_LOST * len(good)]
+        most = max([0.0, *(gain(np.nextafter(v, 9)) for v in allowed)])
+        assert gain(threshold) == pytest.approx(most) and (threshold > 0) == (most > 0)
+
+
 def test_quality_frame(spark, awkward, empty, labels):
     r = random.Random(5)
     good = [" ".join(r.choice(WORDS) for _ in range(r.randint(30, 200))) for _ in range(500)]
