@@ -48,6 +48,8 @@ DISTANCE = 3
 GROUPS = (5, 6, 7, 8, 9, 10)
 #: What a row of a cell costs against one comparison within it.
 ROW_COST = 1000
+#: Edges of a node from which it counts as a hub, in a small graph.
+HUB = 512
 _LOW = 0x5555555555555555
 _CHUNK = 1 << 15
 
@@ -230,7 +232,21 @@ def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = No
     return first.union(found(rest_in_blocks(cells.join(hot, "cell"), components(first), "fp", cell_rows)))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def with_least(e: DataFrame, key: str, other: str, rows: int, hub: int = HUB) -> DataFrame:
+    """e(key, other) with m, the least ``other`` of each key. e has about so many rows.
+
+    A hub, a key of many rows, would be one task of the join. Hubs are 2**12 at
+    most, so they are broadcast with their m, and only the rows of other keys
+    are joined by a shuffle.
+    """
+    low = e.groupBy(key).agg(F.min(other).alias("m"), F.count("*").alias("n"))
+    limit = max(hub, rows >> 12)
+    hubs = F.broadcast(low.filter(F.col("n") > limit).select(key, "m"))
+    rest = e.join(hubs.select(key), key, "left_anti").join(low.filter(F.col("n") <= limit).select(key, "m"), key)
+    return rest.unionByName(e.join(hubs, key))
+
+
+def components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, root): the smallest node that is reachable, for nodes with an edge.
 
     Alternates the large-star and small-star steps until nothing changes; each
@@ -238,15 +254,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     in a round.
     """
 
-    def large_star(e: DataFrame) -> DataFrame:
+    def large_star(e: DataFrame, rows: int) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        return with_least(both, "a", "b", 2 * rows, hub).filter("b > a").select(F.least("a", "m").alias("a"), "b").filter("a <> b").distinct()
 
-    def small_star(e: DataFrame) -> DataFrame:
-        low = e.groupBy("b").agg(F.min("a").alias("m"))
-        met = e.join(low, "b")
-        return met.select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
+    def small_star(e: DataFrame, rows: int) -> DataFrame:
+        met = with_least(e, "b", "a", rows, hub)
+        return met.select(F.col("m").alias("a"), F.col("a").alias("b")).union(met.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -256,7 +270,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not was[0]:
             break
-        edges = written(small_star(large_star(edges)), "stars")
+        edges = written(small_star(written(large_star(edges, was[0]), "large_stars"), was[0]), "stars")
         now = state(edges)
         if now == was:
             break

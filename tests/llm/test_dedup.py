@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -184,6 +185,25 @@ def check_links(spark, fps, **how):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+def test_components_with_hubs(spark):
+    """Stars, chains and cycles, with hubs broadcast and without: the smallest node that is reachable."""
+    r = random.Random(5)
+    edges = [(0, k) for k in range(1, 200)] + [(k, 999) for k in range(300, 500)] + [(k, k + 1) for k in range(1000, 1040)] + [(199, 300)]
+    edges += [(min(a, b), max(a, b)) for a, b in ((r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(250)) if a != b]
+    low = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for hub in (5, 512):
+        found = {x["node"]: x["root"] for x in grid.components(df, hub=hub).collect()}
+        assert {n: found.get(n, n) for n in low} == low
+
+
 def test_links_and_components(spark):
     check_links(spark, random_fingerprints(400, 3))
 
