@@ -312,6 +312,42 @@ def test_licenses_equal_brute_force(spark, awkward, empty):
     assert license_join.licenses(awkward).count() == awkward.count() and license_join.licenses(empty).count() == 0
 
 
+def brute_links(text):
+    """Every block that holds enough of a notice, with that notice."""
+    words = re.findall(license_join.WORDS, (text or "").lower())
+    found = []
+    for notice, label, must in license_join.NOTICES:
+        own, length = set(notice.split()), license_join.length(notice)
+        for k, w in enumerate(words):
+            held = own & set(words[k : k + length])
+            if w in own and set(must.split()) <= held and len(held) >= license_join.need(len(own)):
+                found.append((k, label, len(held) / len(own)))
+    return sorted(found)
+
+
+def test_every_link_of_a_license_join(spark, tmp_path):
+    """A notice that stands in a text many times is linked at each of its places, in the operator and in the query, as in SQL."""
+    import duckdb
+
+    r = random.Random(9)
+    short, gnu = "released under the MIT license", WRAPPED["gpl"]
+    texts = [f"{short} and once more {'filler ' * 20}\n{short}", f"{gnu}\n{'other ' * 40}{gnu}\n{short}", "nothing here", "", None, f"{short} " * 300]
+    texts += [" ".join(x for n, *_ in r.choices(license_join.NOTICES, k=4) for x in [*(w for w in n.split() if r.random() < 0.9), *["between"] * r.randint(0, 30)]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: x for x in license_join.licenses(df.repartition(3)).collect()}
+    for k, text in enumerate(texts):
+        assert [tuple(b) for b in found[k]["links"]] == brute_links(text), text
+        assert set(found[k]["blocks"]) <= set(found[k]["links"])
+    places = [b["word"] for b in found[0]["links"] if b["label"] == "mit" and b["containment"] == 1]
+    assert {0, 28} <= set(places) and len(found[5]["links"]) > 300
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    query = llm.op7_license_links(spark, str(tmp_path))
+    rows = sorted(map(tuple, query.collect()))
+    documents = duckdb.read_parquet(f"{tmp_path}/documents.parquet/*.parquet")  # noqa: F841
+    oracle = duckdb.sql(llm.oracle_sql()["op7_license_links"])
+    assert rows == sorted(oracle.select(*query.columns).fetchall()) and rows[0][query.columns.index("n_links")] == len(brute_links(texts[0]))
+
+
 def test_short_notices_need_their_telling_words(spark):
     texts = ["Released under the BSD License.", "Released under the Apache License, Version 2.0.", "Licensed under CC BY 4.0.", "CC BY-SA 4.0", "Licensed under CC BY-NC 4.0", "Released under the MIT licence, the license"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
