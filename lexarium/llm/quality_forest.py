@@ -4,10 +4,12 @@ Each text gets the statistics of the rules. Base rules reject by fixed limits;
 the forest looks for what no single limit shows. Its trees split on random
 statistics at random places, so an unusual document is alone after few splits:
 a short mean path marks an anomaly. One forest sees all statistics and one
-each of them alone; all grow on a bounded sample of documents that pass the
-base rules. The path length below which a forest rejects is calibrated on
-labelled rows, forest by forest, so one that only finds harmless oddities
-rejects nothing.
+each of them alone. A tree of an isolation forest is by definition grown on a
+few rows, ``TREE_ROWS``; each draws its own from all documents that pass the
+base rules. The path length below which a forest rejects is calibrated on all
+labelled rows that pass them, forest by forest, so one that only finds harmless
+oddities rejects nothing: rows of equal path are counted together, and the cuts
+are tried within buckets of path lengths, whose running sums meet on the driver.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import least_rows, spread, written
+from lexarium.llm.common import least_rows, met, spread, written
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent
-#: Rows that the forest grows on, rows of each tree, trees, and labelled rows for the threshold: all bounded.
-SAMPLE_ROWS, TREE_ROWS, TREES, LABEL_ROWS = 8192, 256, 50, 20_000
+#: Rows that each tree draws, and trees of a forest.
+TREE_ROWS, TREES = 256, 50
+#: Buckets of path lengths to a unit; a path is some 3 units at most, whatever the table.
+BUCKETS = 4096
 #: Share of good documents that a calibrated threshold may reject at most.
 GOOD_LOST = 0.001
 #: The features that each forest sees, by their place in features().
@@ -111,7 +116,11 @@ class IsolationForest:
         random = np.random.default_rng(seed)
         rows = min(rows, len(x))
         deepest = math.ceil(math.log2(max(rows, 2)))
-        return cls([_tree(x[random.choice(len(x), rows, replace=False)], deepest, random) for _ in range(trees)], rows)
+        if len(x) >= trees * rows:  # enough for each tree to have rows of its own
+            drawn = iter(random.permutation(len(x))[: trees * rows].reshape(trees, rows))
+        else:
+            drawn = (random.choice(len(x), rows, replace=False) for _ in range(trees))
+        return cls([_tree(x[own], deepest, random) for own in drawn], rows)
 
     def path_lengths(self, x: np.ndarray) -> np.ndarray:
         """The mean path of each row over the trees, as a share of the usual one."""
@@ -180,9 +189,6 @@ class Judge:
         self.forests = [IsolationForest.grow(x[:, list(view)]) for view in VIEWS]
         self.thresholds = [0.0] * len(VIEWS)
 
-    def calibrate(self, x: np.ndarray, good: np.ndarray) -> None:
-        self.thresholds = [calibrated(paths, good) for paths in self.paths(x)]
-
     def paths(self, x: np.ndarray) -> list[np.ndarray]:
         return [forest.path_lengths(x[:, list(view)]) for view, forest in zip(VIEWS, self.forests)]
 
@@ -192,21 +198,66 @@ class Judge:
         return paths[0], np.any([p < t for p, t in zip(paths, self.thresholds)], axis=0)
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS) -> Judge | None:
-    """Calibrated forests, from bounded samples chosen by the hash of doc_id. None for too few rows."""
-    order = F.xxhash64("doc_id")
+def _path_counts(judge: Judge):
+    """Batches of (quality, statistics) to (view, path, good, bad): the rows of each path length in each forest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], axis=1)
+            good = batch.column("quality").to_numpy(zero_copy_only=False) == 1
+            for view, paths in enumerate(judge.paths(features(x))):
+                values, at = np.unique(paths, return_inverse=True)
+                n, n_good = np.bincount(at, minlength=len(values)), np.bincount(at[good], minlength=len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), view, np.int32)), pa.array(values), pa.array(n_good), pa.array(n - n_good)], names=["view", "path", "good", "bad"])
+
+    return run
+
+
+def thresholds(counts: DataFrame, lost: float = GOOD_LOST) -> dict[int, float]:
+    """What ``calibrated`` gives for each view, from counts(view, path, good, bad) of any number of rows.
+
+    The driver sees a row for each bucket of path lengths; every cut is tried
+    where its bucket is. Views whose threshold is 0 are left out.
+    """
+    counts = counts.withColumn("bucket", F.floor(F.col("path") * BUCKETS).cast("int"))
+    sums = counts.groupBy("view", "bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("path").alias("least"))
+    rows = []
+    for _, own in sums.toPandas().sort_values(["view", "bucket"]).groupby("view"):
+        n_good, n_bad = int(own["good"].sum()), int(own["bad"].sum())
+        if n_good and n_bad:
+            befores = [(own[c].cumsum() - own[c]).tolist() for c in ("good", "bad")]
+            rows += zip(own["view"].tolist(), own["bucket"].tolist(), *befores, [*own["least"].tolist()[1:], None], [n_good] * len(own), [n_bad] * len(own))
+    if not rows:
+        return {}
+    starts = counts.sparkSession.createDataFrame(rows, "view int, bucket int, good_before long, bad_before long, following double, n_good long, n_bad long")
+    within = W.partitionBy("view", "bucket").orderBy("path")
+    run = counts.join(F.broadcast(starts), ["view", "bucket"])
+    run = run.withColumns({
+        "lost": F.col("good_before") + F.sum("good").over(within),
+        "caught": F.col("bad_before") + F.sum("bad").over(within),
+        "next": F.coalesce(F.lead("path").over(within), "following", "path"),
+    })
+    gain = F.col("caught") / F.col("n_bad") - F.col("lost") / F.col("n_good")
+    tried = run.filter(F.col("lost") <= lost * F.col("n_good")).select("view", "path", "next", gain.alias("gain")).filter("gain > 0")
+    best = tried.groupBy("view").agg(F.min(F.struct(-F.col("gain"), "path", "next")).alias("cut"))
+    return {r["view"]: (r["path"] + r["next"]) / 2 for r in best.select("view", "cut.path", "cut.next").collect()}
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> Judge | None:
+    """Forests whose trees draw from all rows that pass, calibrated on all of these that have a label. None for too few rows."""
     passing = stats.filter(~F.col("base_failed"))
-    sample = least_rows(passing, sample_rows, order, "doc_id", *STATISTICS).select(*STATISTICS).toPandas().to_numpy()
-    if len(sample) < 2:
+    order = F.xxhash64("doc_id", *STATISTICS)  # rows without a doc_id, or that share one, are drawn one by one
+    drawn = least_rows(passing, TREES * TREE_ROWS, order, "doc_id", *STATISTICS).select(*STATISTICS).toPandas().to_numpy()
+    if len(drawn) < 2:
         return None
-    judge = Judge(features(sample))
+    judge = Judge(features(drawn))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     known = written(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), "labels")
-    met = passing.join(F.broadcast(least_rows(known, label_rows, order, "doc_id")), "doc_id")
-    once = met.groupBy("doc_id").agg(F.min(F.struct("quality", *STATISTICS)).alias("row"))  # repeated rows don't lift the bound
-    rows = once.select("row.*").toPandas()
-    if len(rows):
-        judge.calibrate(features(rows[list(STATISTICS)].to_numpy()), rows["quality"].to_numpy() == 1)
+    labelled = met(passing, known, "doc_id", "inner").select("quality", *STATISTICS)
+    paths = labelled.mapInArrow(_path_counts(judge), "view int, path double, good long, bad long")
+    counts = written(paths.groupBy("view", "path").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "paths")
+    for view, threshold in thresholds(counts).items():
+        judge.thresholds[view] = threshold
     return judge
 
 
@@ -227,7 +278,7 @@ def judged(stats: DataFrame, judge: Judge | None) -> DataFrame:
     return found.withColumn("kept", ~F.col("base_failed") & ~F.col("odd")).drop("odd")
 
 
-def quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the five statistics, base_failed, path_length and kept of every row of docs(doc_id, text, ...).
 
     Null and empty texts have zeros and fail the base rules; repeated rows get
@@ -235,4 +286,4 @@ def quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     table gives an empty result; further columns are ignored.
     """
     stats = written(rule_statistics(docs), "statistics")
-    return judged(stats, fit(stats, labels, **how))
+    return judged(stats, fit(stats, labels))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexarium.llm import html_lstm, quality_forest, toxicity_subword
 
@@ -133,6 +134,41 @@ def test_verdicts_equal_plain_walks(spark):
         assert gain(threshold) == pytest.approx(most) and (threshold > 0) == (most > 0)
 
 
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """A bad kind of text that 60 of 30,000 labelled rows have, and trees that draw from the whole table."""
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 500 == 7).alias("bad"), F.xxhash64("id").alias("h"))
+    zero = F.lit(0).cast("long")
+    symbols = F.when(F.col("bad"), 8 + F.pmod("h", F.lit(90))).otherwise(F.pmod("h", F.lit(11))).cast("long")
+    stats = rows.select("doc_id", F.lit(100).cast("long").alias("n_words"), (500 + F.pmod("h", F.lit(200))).alias("word_chars"), symbols.alias("n_symbols"), zero.alias("n_dup_lines"), zero.alias("n_repeat_words"), F.lit(False).alias("base_failed"))
+    known = rows.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+    judge = quality_forest.fit(stats, known)
+    local = stats.join(known, "doc_id").toPandas()
+    paths = judge.paths(quality_forest.features(local[list(quality_forest.STATISTICS)].to_numpy()))
+    good = local["quality"].to_numpy() == 1
+    assert judge.thresholds == [quality_forest.calibrated(p, good) for p in paths] and judge.thresholds[2] > 0
+    nameless = stats.withColumn("doc_id", F.lit(None).cast("long"))  # drawn one by one, not those of the least statistics
+    seen = []
+    grown = quality_forest.Judge
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality_forest, "Judge", lambda x: seen.append(x) or grown(x))
+        quality_forest.fit(nameless, known)
+    assert len(seen[0]) == quality_forest.TREES * quality_forest.TREE_ROWS and 5.9 < seen[0][:, 0].mean() < 6.1
+
+
+def test_thresholds_equal_the_plain_ones(spark):
+    """Any counts: ties, one class only, cuts between buckets."""
+    r = np.random.default_rng(4)
+    for k, (n, values, share) in enumerate([(3000, 4000, 0.2), (500, 12, 0.5), (2000, 10**9, 0.01), (50, 30, 0.0), (40, 9, 1.0)]):
+        paths = [np.sort(r.integers(0, values, n)) / values * 2 for _ in range(2)]
+        bad = r.random(n) < share
+        bad[: n // 50] = share > 0
+        frame = spark.createDataFrame([(view, float(p), int(not b), int(b)) for view, own in enumerate(paths) for p, b in zip(own, bad)], "view int, path double, good int, bad int")
+        counts = frame.groupBy("view", "path").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        for lost in (0.001, 0.1):
+            found = quality_forest.thresholds(counts, lost)
+            assert [found.get(view, 0.0) for view in range(2)] == [quality_forest.calibrated(p, ~bad, lost) for p in paths], (k, lost)
+
+
 def test_quality_frame(spark, awkward, empty, labels):
     r = random.Random(5)
     good = [" ".join(r.choice(WORDS) for _ in range(r.randint(30, 200))) for _ in range(500)]
