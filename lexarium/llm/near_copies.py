@@ -1,20 +1,32 @@
-"""Near copies by the Jaccard similarity of word shingles, verified exactly.
+"""Near copies by SimHash over the set of word shingles, verified exactly.
 
 Two texts are linked when their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more; a text of fewer words is one shingle. SimHash can't
-decide this: of the 293 such pairs of the test table none has five-word
-fingerprints within 3 bits, and they lie up to 14 apart, too far for a grid.
-Candidates come from MinHash instead, in 20 bands of four values: a
-pair at exactly 0.8 shares no band with probability 0.00003, a closer one with
-less. Every link is then verified on the whole sets.
-
-Equal sets count once. A cell holds the sets that share a band; of cells with
-the same members one is searched. Only texts that share a cell have their
-sets shuffled. The links of a cell are followed from set to set against those
-not yet reached, so a dense cell costs little more than one look at each
-member; cells above ``cell_rows`` are cut into blocks that share pivots, and
-whoever the pivots don't join meets every block (see simhash_grid), so that no
-cell is capped and no link is lost.
+similarity of 0.8 or more; a text of fewer words is one shingle. At 0.8 the
+sets' cosine is 0.89 at least, so a bit of their SimHash differs with
+probability 0.152 at most. 64 bits are too few to tell that from chance, so
+the fingerprint has ``WORDS`` times 64, and the steps are those of simhash_grid
+at a wider distance:
+
+* each segment of two bits is replaced by its number of set bits;
+* a grid's cell is the counts of some segments drawn at random. How many is
+  chosen by the number of distinct sets, and then as many grids are laid as
+  leave a pair at exactly 0.8 without a common cell with probability ``MISSED``;
+* within a cell, fingerprints are candidates where the Manhattan distance of
+  the counts, a lower bound, and then the Hamming distance of the first
+  ``COMPARED`` words are ``DISTANCE`` or less, 5.4 standard deviations above
+  the mean of a pair at 0.8 and 5.8 below that of unlike texts;
+* of a few shingles the sums behind the bits are coarse, and a set of four and one
+  of five differ more often. Up to ``FEW`` shingles such a pair is a set and the
+  same set without one shingle, which are met by these sets' own hashes;
+* the components of the candidates are clusters: any link lies within one. A
+  cluster's texts meet once, and their whole sets decide on each link.
+
+Equal sets count once. Only texts in a cluster of two sets or more are
+shuffled. In a cell and in a cluster alike, links are followed from member to
+member against those not yet reached, so a dense one costs little more than one
+look at each; above ``GRID_ROWS`` and ``cell_rows`` members they are cut into
+blocks that share pivots, and whoever the pivots don't join meets every block
+(see simhash_grid), so that none is capped and no link is lost.
 
 Shingles and sets are told apart by 64-bit hashes.
 """
@@ -22,6 +34,8 @@ Shingles and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +45,29 @@ from pyspark.sql import functions as F
 
 from lexarium.llm.common import ROW, counted, numbered, spread, without_rows, written
 from lexarium.llm.exact_cqf import routed
-from lexarium.llm.simhash_grid import components, in_blocks, rest_in_blocks
+from lexarium.llm.simhash_grid import components, in_blocks, rest_in_blocks, unary_counts_of, with_least
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
-_CHUNK = 1 << 12
+#: Words of a fingerprint, those of them that cells compare, and the most bits at which these differ in a candidate.
+WORDS, COMPARED, DISTANCE = 12, 3, 56
+#: The same for the first of them alone, which is looked at first: 5 standard deviations above the mean.
+FIRST_DISTANCE = 24
+SEGMENTS = 32 * WORDS
+#: The probability that a pair at exactly SIMILARITY shares no cell.
+MISSED = 3e-5
+#: Segments that a grid may draw, and what a row of a cell costs against one comparison within it; rows also take disk.
+DRAWN, ROW_COST = range(4, 13), 5_000
+#: Shingles up to which a set also meets those that it holds but for one shingle.
+FEW = 8
+#: Members from which a cell of a grid is cut into blocks.
+GRID_ROWS = 1 << 15
+_CHUNK = 255  # rows of bits that a byte can count
+_FRONT = 32
 _r = np.random.default_rng(SEED)
-_FACTORS = _r.integers(0, 1 << 63, (1, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _r.integers(0, 1 << 64, (1, BANDS * ROWS), np.uint64)
+_FACTORS = _r.integers(0, 1 << 63, (1, WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _r.integers(0, 1 << 64, (1, WORDS), np.uint64)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -61,25 +88,166 @@ def set_key(items: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(items.tobytes(), SEED)
 
 
-def bands(items: np.ndarray) -> np.ndarray:
-    """One hash for each band of the set's MinHash values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def without_one(items: np.ndarray) -> list[int]:
+    """The keys of a set of few items and of all that it leaves without one of them; none for a larger one."""
+    if not 0 < len(items) <= FEW:
+        return []
+    return [set_key(items), *(set_key(np.delete(items, k)) for k in range(len(items)) if len(items) > 1)]
+
+
+def fingerprint(items: np.ndarray) -> np.ndarray:
+    """The SimHash of a set, as WORDS words: a bit is 1 where it is in over half of the items' hashes."""
+    ones = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(items), _CHUNK):
         mixed = items[at : at + _CHUNK, None] * _FACTORS + _SHIFTS
-        least = np.minimum(least, mixed.min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _FACTORS
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(items), bitorder="little").view(np.uint64)
+
+
+@lru_cache
+def grids_for(drawn: int, missed: float = MISSED) -> int:
+    """The fewest grids of so many segments that leave a pair at SIMILARITY without a common cell with probability ``missed`` at most.
+
+    Of the pair's segments a binomial number agree in their counts; a grid's segments all have to be among them.
+    """
+    differs = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
+    same = (1 - differs) ** 2 + differs**2 / 2
+    agree = range(SEGMENTS + 1)
+    share = np.array([comb(SEGMENTS, k) * same**k * (1 - same) ** (SEGMENTS - k) for k in agree])
+    met = np.array([comb(k, drawn) / comb(SEGMENTS, drawn) for k in agree])
+    grids = 1
+    while float((share * (1 - met) ** grids).sum()) > missed:
+        grids += 1
+    return grids
+
+
+def drawn_for(rows: int) -> int:
+    """The number of segments with the least work for so many sets: rows of cells and comparisons within them."""
+    return min(DRAWN, key=lambda s: grids_for(s) * (ROW_COST + rows / 2 * 0.375**s))
+
+
+def grids(drawn: int) -> np.ndarray:
+    """The segments of each grid."""
+    r = np.random.default_rng(SEED)
+    return np.array([r.choice(SEGMENTS, drawn, replace=False) for _ in range(grids_for(drawn))])
+
+
+def cells(fps: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The cell of each fingerprint in each grid: the grid and the counts of its segments, as one number."""
+    unary = unary_counts_of(fps)
+    bits = np.unpackbits(np.ascontiguousarray(unary).view(np.uint8).reshape(len(fps), 8 * WORDS), axis=1, bitorder="little")
+    counts = (bits[:, ::2] + bits[:, 1::2]).astype(np.int64)
+    places = 3 ** np.arange(grid.shape[1], dtype=np.int64)
+    return counts[:, grid] @ places + np.arange(len(grid)) * 3 ** grid.shape[1]
+
+
+def candidate_forest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect just what all candidates among the members of a cell connect, as two arrays of keys; fps has the compared words.
+
+    Members not yet reached are taken up some at a time, as most are strangers to all others.
+    """
+    unary = unary_counts_of(fps)
+    rest, a, b = np.arange(len(keys)), [], []
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x and y of the candidates: the first word, then the Manhattan bound, then the exact distance."""
+        i, j = np.nonzero(np.bitwise_count(fps[x, 0][:, None] ^ fps[y, 0][None, :]) <= FIRST_DISTANCE)
+        for words in (unary, fps):
+            kept = np.bitwise_count(words[x[i]] ^ words[y[j]]).sum(axis=1, dtype=np.int64) <= DISTANCE
+            i, j = i[kept], j[kept]
+        return i, j
+
+    while len(rest) > 1:
+        frontier, rest = rest[:_FRONT], rest[_FRONT:]
+        i, j = near(frontier, frontier)
+        a.append(keys[frontier[i[i < j]]])
+        b.append(keys[frontier[j[i < j]]])
+        while len(frontier) and len(rest):
+            part, frontier = frontier[:_FRONT], frontier[_FRONT:]
+            i, j = near(part, rest)
+            if len(j):
+                j, first = np.unique(j, return_index=True)
+                a.append(keys[part[i[first]]])
+                b.append(keys[rest[j]])
+                frontier = np.concatenate((frontier, rest[j]))
+                rest = np.delete(rest, j)
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
 def _sketch_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.int64())
     for batch in batches:
-        keys, found = np.empty(batch.num_rows, np.uint64), np.empty((batch.num_rows, BANDS), np.uint64)
+        keys, found, few = np.empty(batch.num_rows, np.uint64), [], []
         for k, x in enumerate(batch.column("text")):
             items = shingle_set(x.as_py())
-            keys[k], found[k] = set_key(items), bands(items)
-        ends = pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32))
-        lists = pa.ListArray.from_arrays(ends, pa.array(found.view(np.int64).reshape(-1)), type=kind)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("text_key"), pa.array(keys.view(np.int64)), lists], names=["row", "doc_id", "text_key", "key", "bands"])
+            keys[k] = set_key(items)
+            found.append(fingerprint(items).tobytes())
+            few.append(np.array(without_one(items), np.uint64).view(np.int64))
+        columns = [pa.array(keys.view(np.int64)), pa.array(found, pa.binary()), pa.array(few, kind)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("text_key"), *columns], names=["row", "doc_id", "text_key", "key", "fp", "few"])
+
+
+def _cell_batches(drawn: int):
+    """Batches of (key, fp) to (cell, key, the compared words), a row for each grid."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = grids(drawn)
+        names = ["cell", "key", *_compared()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+                repeated = [part.column("key").to_numpy(zero_copy_only=False), *fps[:, :COMPARED].view(np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(cells(fps, grid).reshape(-1)), *[pa.array(np.repeat(c, len(grid))) for c in repeated]], names=names)
+
+    return run
+
+
+def _compared() -> list[str]:
+    return [f"w{k}" for k in range(COMPARED)]
+
+
+def _candidate_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of the cells, whose rows come one after another."""
+    held = [np.empty(0, np.int64)] * (2 + COMPARED)
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        cell, key, fps = columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        made = [candidate_forest(key[s:e], fps[s:e]) for s, e in zip(starts, np.append(starts[1:], len(cell))) if e - s > 1]
+        a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in zip(*made)) if made else (np.empty(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        held = [np.concatenate((h, batch.column(c).to_numpy(zero_copy_only=False))) for h, c in zip(held, ["cell", "key", *_compared()])]
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last cell may go on
+        if whole:
+            yield out([h[:whole] for h in held])
+            held = [h[whole:] for h in held]
+    if len(held[0]):
+        yield out(held)
+
+
+def candidates(distinct: DataFrame, drawn: int | None = None, grid_rows: int = GRID_ROWS) -> DataFrame:
+    """(a, b), a < b: of distinct(key, fp, few), pairs whose components hold every pair that shares a cell and is near there, and those of few shingles."""
+    rows = distinct.count()
+    drawn = drawn or drawn_for(rows)
+    few = with_least(distinct.select("key", F.explode("few").alias("cell")), "cell", "key", rows).select(F.col("m").alias("a"), F.col("key").alias("b")).filter("a <> b").distinct()
+    dealt = distinct.select("key", "fp").mapInArrow(_cell_batches(drawn), "cell long, key long, " + ", ".join(f"{w} long" for w in _compared()))
+    hot = written(dealt.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > grid_rows), "hot")
+
+    def found(searched: DataFrame) -> DataFrame:
+        ordered = searched.select("cell", "key", *_compared()).repartition("cell").sortWithinPartitions("cell")
+        return ordered.mapInArrow(_candidate_batches, "a long, b long").distinct()
+
+    if hot.isEmpty():
+        return written(found(dealt).union(few), "candidates")
+    first = written(found(in_blocks(dealt.join(F.broadcast(hot), "cell", "left"), "key", grid_rows, *_compared())).union(few), "candidates")
+    rest = rest_in_blocks(dealt.join(F.broadcast(hot), "cell"), components(first), "key", grid_rows, *_compared())
+    return written(first.union(found(rest)), "candidates")
 
 
 def _set_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +305,15 @@ def _cell_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _members(source: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+def _members(source: DataFrame, cell_rows: int, grid_rows: int = GRID_ROWS) -> tuple[DataFrame, DataFrame]:
     """source(row, doc_id, text) to (row, doc_id, key) of every row, and (key, root) of every set."""
     slim = source.withColumn("text_key", F.xxhash64("text"))
-    rows = written(slim.mapInArrow(_sketch_batches, f"{ROW}, doc_id long, text_key long, key long, bands array<long>"), "sketches")
-    distinct = written(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.max("bands").alias("bands")), "sets")
-    shared = distinct.select("key", F.explode("bands").alias("cell"))
-    members = shared.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("all"), F.bit_xor("key").alias("odd")).filter("n > 1")
-    cells = written(members.groupBy("n", "all", "odd").agg(F.min("cell").alias("cell")), "cells")
-    dealt = written(shared.join(cells.select("cell", F.when(F.col("n") > cell_rows, F.col("n")).alias("n")), "cell"), "members")
+    rows = written(slim.mapInArrow(_sketch_batches, f"{ROW}, doc_id long, text_key long, key long, fp binary, few array<long>"), "sketches")
+    distinct = written(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.min("few").alias("few")), "sets")
+    clusters = components(candidates(distinct, grid_rows=grid_rows))
+    clusters = written(clusters.union(clusters.select("root", "root").distinct()), "clusters")
+    large = clusters.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
+    dealt = written(clusters.join(large, "root", "left").select(F.col("node").alias("key"), F.col("root").alias("cell"), "n"), "members")
 
     def found(searched: DataFrame) -> DataFrame:
         """The links within the cells of searched(cell, key)."""

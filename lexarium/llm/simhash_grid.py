@@ -188,18 +188,18 @@ def _cell_links(distance: int):
     return run
 
 
-def in_blocks(members: DataFrame, key: str, cell_rows: int) -> DataFrame:
-    """members(cell, key, n) to (cell, key): a cell as it is where n is null, else its blocks, each with the cell's pivots."""
+def in_blocks(members: DataFrame, key: str, cell_rows: int, *more: str) -> DataFrame:
+    """members(cell, key, n) to (key, more, cell): a cell as it is where n is null, else its blocks, each with the cell's pivots."""
     blocks = F.ceil(F.col("n") / F.lit(cell_rows // 2)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), key), blocks).cast("int")
     pivot = F.pmod(F.xxhash64(F.lit("pivot"), "cell", key), F.col("n")) < max(1, cell_rows // 64)
     every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("cell", j))
-    return members.select(key, F.explode(F.when(F.col("n").isNull(), F.array("cell")).when(pivot, every).otherwise(F.array(F.xxhash64("cell", own)))).alias("cell"))
+    return members.select(key, *more, F.explode(F.when(F.col("n").isNull(), F.array("cell")).when(pivot, every).otherwise(F.array(F.xxhash64("cell", own)))).alias("cell"))
 
 
-def rest_in_blocks(members: DataFrame, roots: DataFrame, key: str, cell_rows: int) -> DataFrame:
-    """members(cell, key, n) of large cells and the roots(node, root) found so far to (cell, key): whoever isn't in the cell's largest component with each of the cell's blocks."""
-    rooted = members.join(roots.withColumnRenamed("node", key), key, "left").select("cell", key, "n", F.coalesce("root", key).alias("root"))
+def rest_in_blocks(members: DataFrame, roots: DataFrame, key: str, cell_rows: int, *more: str) -> DataFrame:
+    """members(cell, key, n) of large cells and the roots(node, root) found so far to (key, more, cell): whoever isn't in the cell's largest component with each of the cell's blocks."""
+    rooted = members.join(roots.withColumnRenamed("node", key), key, "left").select("cell", key, *more, "n", F.coalesce("root", key).alias("root"))
     sizes = rooted.groupBy("cell", "root").agg(F.count("*").alias("own"))
     largest = sizes.groupBy("cell").agg(F.max_by("root", F.struct("own", "root")).alias("largest"), (F.sum("own") - F.max("own")).alias("rest")).filter("rest > 0")
     met = rooted.join(largest, "cell")
@@ -208,7 +208,7 @@ def rest_in_blocks(members: DataFrame, roots: DataFrame, key: str, cell_rows: in
     block, rest = F.pmod(F.xxhash64(F.lit("block"), key), blocks).cast("int"), F.pmod(F.xxhash64(F.lit("rest"), key), rests).cast("int")
     as_member = F.transform(F.sequence(F.lit(0), rests - 1), lambda r: F.xxhash64(F.lit("rest"), "cell", block, r))
     as_rest = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64(F.lit("rest"), "cell", j, rest))
-    return met.select(key, F.explode(F.when(F.col("root") == F.col("largest"), as_member).otherwise(F.array_union(as_member, as_rest))).alias("cell"))
+    return met.select(key, *more, F.explode(F.when(F.col("root") == F.col("largest"), as_member).otherwise(F.array_union(as_member, as_rest))).alias("cell"))
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None, cell_rows: int = 2048) -> DataFrame:

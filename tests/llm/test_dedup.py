@@ -291,6 +291,73 @@ def test_pipeline_drops_near_copies_at_four_fifths(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(label)) and len(set(label)) < len(texts) - 20
 
 
+def pairs_at_four_fifths(n=1500, seed=7):
+    """Pairs of sets at a similarity of just 0.8."""
+    r = np.random.default_rng(seed)
+    for k in range(n):
+        size = (1, 2, 5, 20)[k % 4]
+        common = r.integers(0, 1 << 63, 8 * size, np.uint64)
+        yield tuple(np.unique(np.append(common, r.integers(0, 1 << 63, size, np.uint64))) for _ in range(2))
+
+
+def test_simhash_grid_meets_pairs_at_four_fifths():
+    """Fingerprints of WORDS words: pairs at 0.8 share a cell and are candidates there; unlike sets are none."""
+    for drawn in (4, 6):
+        laid = near_copies.grids(drawn)
+        lone = []
+        for one, other in pairs_at_four_fifths():
+            fps = np.stack([near_copies.fingerprint(one), near_copies.fingerprint(other)])
+            own = near_copies.cells(fps, laid)
+            assert (own[0] == own[1]).any()
+            assert len(near_copies.candidate_forest(np.arange(2), fps[:, : near_copies.COMPARED])[0]) == 1
+            lone.append(fps[0, : near_copies.COMPARED])
+        assert not len(near_copies.candidate_forest(np.arange(len(lone)), np.stack(lone))[0])
+    counts = np.array([[bin(int(fps[0][s // 32]) >> 2 * (s % 32) & 3).count("1") for s in segments] for segments in laid.tolist()])
+    assert (own[0] == (counts * 3 ** np.arange(drawn)).sum(axis=1) + np.arange(len(laid)) * 3**drawn).all()
+    assert near_copies.grids_for(4) < near_copies.grids_for(5) and near_copies.drawn_for(10**5) < near_copies.drawn_for(10**8)
+
+
+def plain_candidates(fps):
+    """The component of each fingerprint, over all pairs that are near in the compared words."""
+    label = np.arange(len(fps))
+    near = lambda words, most: np.bitwise_count(fps[:, None, :words] ^ fps[None, :, :words]).sum(axis=2, dtype=int) <= most
+    linked = near(near_copies.COMPARED, near_copies.DISTANCE) & near(1, near_copies.FIRST_DISTANCE)
+    for _ in label:
+        label = np.array([label[linked[k]].min() for k in range(len(fps))])
+    return label
+
+
+def test_candidates_come_from_the_simhash_grid(spark):
+    """The clusters are those of all near fingerprints, with cells in blocks and without; few shingles are met exactly."""
+    r = np.random.default_rng(8)
+    sets = []
+    for k in range(40):
+        own = r.integers(0, 1 << 63, int(r.integers(20, 80)), np.uint64)
+        sets += [np.unique(np.append(own[j:], r.integers(0, 1 << 63, j, np.uint64))) for j in range(k % 4 + 1)]
+    sets += [sets[0][:n] for n in (3, 4, 5, 6)]
+    fps = np.stack([near_copies.fingerprint(x) for x in sets])
+    rows = [(k, x.tobytes(), [v - (v >> 63 << 64) for v in near_copies.without_one(s)]) for k, (x, s) in enumerate(zip(fps, sets))]
+    df = spark.createDataFrame(rows, "key long, fp binary, few array<long>").repartition(3)
+    label = plain_candidates(fps)
+    for n in (len(sets) - 3, len(sets) - 2, len(sets) - 1):  # each holds the one before it
+        label = np.where((label == label[n]) | (label == label[n - 1]), min(label[n], label[n - 1]), label)
+    for grid_rows in (1 << 15, 16):
+        roots = {x["node"]: x["root"] for x in grid.components(near_copies.candidates(df, grid_rows=grid_rows)).collect()}
+        assert [roots.get(k, k) for k in range(len(sets))] == label.tolist()
+
+
+def test_texts_of_few_words(spark):
+    """One shingle more or less at 0.8, of as few shingles as can be."""
+    r = random.Random(4)
+    texts = []
+    for k in range(60):
+        own = [f"x{r.randrange(10**9)}" for _ in range(8 + k % 5)]
+        texts += [" ".join(own), " ".join([*own, "more"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {x["doc_id"]: x["component_id"] for x in near_copies.near_copies(df).collect()}
+    assert [found[k] for k in range(len(texts))] == brute_near(texts)
+
+
 def test_near_copies_in_blocks(spark):
     """A cell limit of a few rows sends large cells through the pairs of blocks."""
     base = [f"w{k}" for k in range(150)]
