@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import ROW, counted, numbered, spread, without_rows, written
+from lexarium.llm.common import ROW, counted, met, numbered, spread, without_rows, written
 from lexarium.llm.exact_cqf import routed
 from lexarium.llm.simhash_grid import components, in_blocks, rest_in_blocks, unary_counts_of, with_least
 
@@ -312,8 +312,8 @@ def _members(source: DataFrame, cell_rows: int, grid_rows: int = GRID_ROWS) -> t
     distinct = written(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.min("few").alias("few")), "sets")
     clusters = components(candidates(distinct, grid_rows=grid_rows))
     clusters = written(clusters.union(clusters.select("root", "root").distinct()), "clusters")
-    large = clusters.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
-    dealt = written(clusters.join(large, "root", "left").select(F.col("node").alias("key"), F.col("root").alias("cell"), "n"), "members")
+    large = written(clusters.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows), "large")
+    dealt = written(met(clusters, large, "root", "left").select(F.col("node").alias("key"), F.col("root").alias("cell"), "n"), "members")
 
     def found(searched: DataFrame) -> DataFrame:
         """The links within the cells of searched(cell, key)."""
