@@ -23,32 +23,35 @@ _LETTERS = r"[\p{L}\p{Nl}][\p{L}\p{Nl}\p{M}\p{Cf}]*"
 #: Scripts whose letters each are a word of their own, and what a run of Katakana is made of (fixed values).
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsAhom}"
 _KATAKANA = r"\p{IsKatakana}\x{3031}-\x{3035}\x{309B}\x{309C}\x{30A0}\x{30FC}\x{FF70}"
-_JAVA_LETTERS = rf"[\p{{L}}\p{{Nl}}&&[^{_ALONE}{_KATAKANA}]][\p{{L}}\p{{Nl}}\p{{M}}\p{{Cf}}&&[^{_ALONE}{_KATAKANA}]]*+"
+#: The letters of Latin-1, one by one, which makes them one table in Java. A class asks it first, and others leave small codes out first: a look at a character's script is a search.
+_LATIN = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_LATER = r"[^\x{0}-\x{588}]"
+_JAVA_LETTERS = rf"[[{_LATIN}][\p{{L}}\p{{Nl}}&&[^{_ALONE}{_KATAKANA}]]][[{_LATIN}][\p{{L}}\p{{Nl}}\p{{M}}\p{{Cf}}&&[^{_ALONE}{_KATAKANA}]]]*+"
 #: What stays with the character before it: marks, joiners, and the shades of emoji.
 _EXTEND = r"[\p{M}\p{Cf}\x{1F3FB}-\x{1F3FF}]*+"
 _FLAG = rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}{_EXTEND}"
 _PICTURE = rf"[\p{{So}}\x{{203C}}\x{{2049}}\x{{2194}}-\x{{21AA}}\x{{25FB}}-\x{{25FE}}]{_EXTEND}"
 
 
-def _token_pattern(letters: str, first: str = "", mid: str = "", hold: str = "", last: str = r"\S") -> str:
+def _token_pattern(letters: str, mid: str = "", hold: str = "", last: str = r"\S") -> str:
     """Words by the rules of word boundaries: letters joined by a mark inside, numbers likewise, connectors; else one character.
 
     hold: what makes a repetition possessive, where the engine knows that.
     """
     mid_letter, mid_number = "[.:'\u2018\u2019\u2024\u00B7]" + mid, "[.,;'\u2018\u2019\u2024]"
     words, numbers = rf"{letters}(?:(?:{mid_letter}){letters})*{hold}", rf"\p{{Nd}}+{hold}(?:{mid_number}\p{{Nd}}+{hold})*{hold}"
-    return rf"{first}(?:{words}|{numbers}|\p{{Pc}}+{hold})+{hold}|{last}"
+    return rf"(?:{words}|{numbers}|\p{{Pc}}+{hold})+{hold}|{last}"
 
 
 #: Tokens that aren't blank.
 TOKEN = _token_pattern(_LETTERS)
 #: The Java form knows more scripts. Its repetitions are possessive: others recurse, and a token of some 10,000 parts would end the JVM's stack.
-JAVA_TOKEN = _token_pattern(
+#: Blanks, plain words and ASCII marks before ASCII are told first, as most of a text is such.
+JAVA_TOKEN = rf"(?=\S)(?:[{_LATIN}]++(?=[ ,\n])|[!-~&&[^\w]](?![^\x{{0}}-\x{{7F}}])|%s)" % _token_pattern(
     _JAVA_LETTERS,
-    first=rf"[\p{{L}}\p{{Nl}}&&[{_ALONE}]]{_EXTEND}|(?:[{_KATAKANA}]{_EXTEND})++|",
-    mid=r"|(?<=\p{IsHebrew})\"(?=\p{IsHebrew})",
+    mid=r"|\"(?<=\p{IsHebrew}\")(?=\p{IsHebrew})",
     hold="+",
-    last=rf"{_FLAG}|{_PICTURE}(?:(?<=\x{{200D}}){_PICTURE})*+|\S{_EXTEND}",
+    last=rf"[{_LATER}&&[\p{{L}}\p{{Nl}}]&&[{_ALONE}]]{_EXTEND}|(?:[{_LATER}&&[{_KATAKANA}]]{_EXTEND})++|{_FLAG}|{_PICTURE}(?:(?<=\x{{200D}}){_PICTURE})*+|\S{_EXTEND}",
 )
 
 _CLOSE = r"[\"'\p{Ps}\p{Pe}\p{Pi}\p{Pf}]"
@@ -65,11 +68,14 @@ _CONTINUES = r"\-,:;\u055D\u060C\u060D\u07F8\u1802\u1808\u2013\u2014\u3001\uFE10
 _GOES_ON = rf"(?![{_CONTINUES}.\u2024\uFE52\uFF0E{_STOPS}])"
 #: Where a sentence ends: at the end of a line, after ! or ? and the like, and after a full stop that isn't inside a number or an abbreviation and that no small letter follows.
 SENTENCE_END = (
-    rf"{_PARAGRAPH}|(?:{_DOT}(?!\p{{Nd}})(?!(?<=[\p{{Lu}}\p{{Lt}}\p{{Ll}}]{_DOT})[\p{{Lu}}\p{{Lt}}]){_CLOSE}*+{_BLANK}*+{_GOES_ON}(?![^\p{{L}}{_LINE_END}.!?]*+\p{{Ll}})"
-    rf"|[{_STOPS}]{_CLOSE}*+{_BLANK}*+{_GOES_ON}){_PARAGRAPH}?"
+    rf"(?=[{_LINE_END}.!?[{_LATER}]])(?:{_PARAGRAPH}|(?:{_DOT}(?!\p{{Nd}})(?!(?<=[\p{{Lu}}\p{{Lt}}\p{{Ll}}]{_DOT})[\p{{Lu}}\p{{Lt}}]){_CLOSE}*+{_BLANK}*+{_GOES_ON}(?![^\p{{L}}{_LINE_END}.!?]*+\p{{Ll}})"
+    rf"|[{_STOPS}]{_CLOSE}*+{_BLANK}*+{_GOES_ON}){_PARAGRAPH}?)"
 )
 _NUMBER = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
-_CUT = "\x1e"
+#: Ends a sentence inside a joined text; a text is cut where it has one of its own.
+CUT = "\x1e"
+#: What cleaning takes out of tokens that stand apart by blanks; other blanks can't be inside a token.
+_SPECIAL = rf"(?=[',.\x85\xa0]|{_LATER})(?:'s|[,.\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])"
 
 
 def _empty() -> Column:
@@ -88,7 +94,7 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences with a letter or digit, in order; a line end always ends one."""
-    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$0" + _CUT), _CUT)
+    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$0" + CUT), CUT)
     return F.filter(cut, lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
@@ -111,10 +117,6 @@ def without_special(token: Column) -> Column:
     return F.translate(F.replace(token, F.lit("'s"), F.lit("")), ",." + WHITE_SPACE, "")
 
 
-def cleaned(token: Column) -> Column:
-    return F.lower(without_special(token))
-
-
 def graphemes(text: Column) -> Column:
     """How many characters a reader sees."""
     return F.size(F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0)))
@@ -129,14 +131,23 @@ def is_punctuation(word: Column, punctuation: Iterable[str]) -> Column:
     return word.isin("", *one_grapheme(punctuation))
 
 
-def kept_words(all_tokens: Column, stop_words: Iterable[str], punctuation: Iterable[str]) -> Column:
-    """The cleaned tokens that are neither punctuation nor stop words."""
-    dropped = ["", *one_grapheme(punctuation), *stop_words]
-    return F.filter(F.transform(all_tokens, cleaned), lambda w: ~w.isin(dropped))
+def token_text(text: Column, marks: str = "") -> Column:
+    """The tokens of a text without 's, commas, full stops and blanks, apart by blanks; some may be empty.
+
+    marks: characters that are a token of their own wherever they stand.
+    """
+    found = F.regexp_extract_all(text, F.lit(f"[{marks}]|{JAVA_TOKEN}"), F.lit(0)) if marks else tokens(text)
+    return F.regexp_replace(F.array_join(found, " "), _SPECIAL, "")
+
+
+def dropped_words(stop_words: Iterable[str], punctuation: Iterable[str]) -> list[str]:
+    return ["", *one_grapheme(punctuation), *stop_words]
 
 
-def words(text: Column, stop_words: Iterable[str] = (), punctuation: Iterable[str] = PUNCTUATION) -> Column:
-    return kept_words(tokens(text), stop_words, punctuation)
+def words(text: Column, stop_words: Iterable[str] = (), punctuation: Iterable[str] = PUNCTUATION, marks: str = "") -> Column:
+    """The cleaned tokens that are neither punctuation nor stop words; marks stay."""
+    dropped = [w for w in dropped_words(stop_words, punctuation) if w not in tuple(marks)]
+    return F.filter(F.split(F.lower(token_text(text, marks)), " "), lambda w: ~w.isin(dropped))
 
 
 def is_number(word: Column) -> Column:

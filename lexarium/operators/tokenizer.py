@@ -61,13 +61,21 @@ class Tokenizer:
     def marked_column(self, text: Column) -> Column:
         """The words of a text, joined, with a mark for each stop word: all that phrases follow from."""
         p = self.params
-        some = X.kept_words(X.tokens(text), (), p.punctuation)
+        some = X.words(text, (), p.punctuation)
         marked = F.transform(some, lambda w: F.when(w.isin(list(p.stop_words)), F.lit(_STOP)).otherwise(w)) if p.stop_words else some
         return F.array_join(marked, " ")
 
     def document_column(self, text: Column) -> Column:
         """A document as TF-IDF takes it: the words of its sentences, all joined."""
-        return F.array_join(self.sentences_column(text), " ")
+        marked = F.array_join(X.sentences(text), X.CUT)
+        found = F.array_join(X.words(marked, self.params.stop_words, self.params.punctuation, X.CUT), " ")
+        for part, new in ((f" {X.CUT}", X.CUT), (f"{X.CUT} ", X.CUT), (X.CUT, " ")):  # as a join of the sentences has it, empty ones included
+            found = F.replace(found, F.lit(part), F.lit(new))
+        return found
+
+    def lowered_column(self, text: Column) -> Column:
+        """All cleaned tokens of a text, apart by blanks: what words and phrases follow from where they are counted."""
+        return F.lower(X.token_text(text))
 
     def _exploded(self, df: DataFrame, parts: Column, place: str, part: str) -> DataFrame:
         return spread(documents(df)).select("doc_id", F.posexplode(parts).alias(place, part))
