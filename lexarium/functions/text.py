@@ -112,11 +112,6 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def without_special(token: Column) -> Column:
-    """The token without 's, commas, full stops and blanks, wherever they stand."""
-    return F.translate(F.replace(token, F.lit("'s"), F.lit("")), ",." + WHITE_SPACE, "")
-
-
 def graphemes(text: Column) -> Column:
     """How many characters a reader sees."""
     return F.size(F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0)))

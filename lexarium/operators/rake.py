@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.functions.strings import best
-from lexarium.operators.common import as_map, documents, looked_up, spread, within_rows
-from lexarium.operators.tokenizer import Tokenizer, runs
+from lexarium.functions.text import dropped_words
+from lexarium.operators.batches import Found, Phrases, means, taken
+from lexarium.operators.common import as_map, documents, looked_up, scored, spread
+from lexarium.operators.tokenizer import Tokenizer
 from lexarium.params import RakeParams
 
-_RANKED = {"score": "double", "rank": "int"}
-
 
-def word_counts(phrases: Iterator[list[str]]) -> tuple[dict[str, int], dict[str, int]]:
-    """Frequency and degree of each word."""
-    frequency: dict[str, int] = {}
-    degree: dict[str, int] = {}
-    for words in phrases:
-        others = len(words) - 1
-        for word in words:
-            frequency[word] = frequency.get(word, 0) + 1
-            degree[word] = degree.get(word, 0) + others
-    return frequency, degree
+def word_counts(phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency and degree of each term."""
+    degree = np.bincount(phrases.term, (phrases.size - 1)[phrases.run], phrases.n)
+    return np.bincount(phrases.term, minlength=phrases.n), degree.astype(np.int64)
 
 
 class Rake:
@@ -34,37 +26,38 @@ class Rake:
     A word's score is degree / frequency, the degree being the sum of (length
     - 1) over the phrases of its occurrences; a phrase's score is the mean of
     its words' scores, and equal phrases are one. Words come from the JVM's
-    tokenizer and are counted where the row is: no shuffle.
+    tokenizer and are counted where the rows are: no shuffle.
     """
 
     def __init__(self, df: DataFrame, params: RakeParams | None = None):
         self.params = params or RakeParams()
-        self.texts = spread(documents(df)).select("doc_id", Tokenizer(self.params).marked_column(F.col("text")).alias("marked"))
+        self.texts = spread(documents(df)).select("doc_id", Tokenizer(self.params).lowered_column(F.col("text")).alias("lowered"))
+
+    def _read(self):
+        p = self.params
+        stop, dropped, length = frozenset(p.stop_words), frozenset(dropped_words((), p.punctuation)), p.phrase_length
+        return lambda lowered: Phrases(lowered, stop, dropped, length)
 
-    def _words(self, n: int | None = None, nested: bool = False) -> DataFrame:
-        length = self.params.phrase_length
+    def _words(self, n: int | None = None, **form) -> DataFrame:
+        read, counted = self._read(), n is None and "digits" not in form
 
-        def work(marked: str) -> tuple:
-            frequency, degree = word_counts(runs(marked, length))
-            words, counts, degrees = list(frequency), list(frequency.values()), list(degree.values())
-            scores = np.array(degrees, float) / np.array(counts, float)
-            return (words, counts, degrees, scores.tolist()) if n is None else best(words, scores, n)
+        def find(lowered: pa.Array) -> Found:
+            phrases = read(lowered)
+            frequency, degree = word_counts(phrases)
+            return Found(phrases.of, taken(phrases.names()), degree / frequency, phrases.ranks, before=(frequency, degree) if counted else ())
 
-        kinds = {"word": "string", "frequency": "long", "degree": "long", "score": "double"} if n is None else {"word": "string", **_RANKED}
-        return within_rows(self.texts, work, kinds, nested)
+        return scored(self.texts, find, "word", n, before={"frequency": "long", "degree": "long"} if counted else None, **form)
 
-    def _phrases(self, n: int | None = None, nested: bool = False) -> DataFrame:
-        length = self.params.phrase_length
+    def _phrases(self, n: int | None = None, **form) -> DataFrame:
+        read = self._read()
 
-        def work(marked: str) -> tuple:
-            found = list(runs(marked, length))
-            frequency, degree = word_counts(found)
-            score = {w: degree[w] / f for w, f in frequency.items()}
-            once = {" ".join(words): words for words in found}
-            values = [sum(map(score.__getitem__, words)) / len(words) for words in once.values()]
-            return (list(once), values) if n is None else best(list(once), np.array(values, float), n)
+        def find(lowered: pa.Array) -> Found:
+            phrases = read(lowered)
+            frequency, degree = word_counts(phrases)
+            rows, run, names, ranks = phrases.distinct()
+            return Found(rows, taken(names), means(phrases, degree / frequency)[run], ranks)
 
-        return within_rows(self.texts, work, {"phrase": "string", "score": "double"} if n is None else {"phrase": "string", **_RANKED}, nested)
+        return scored(self.texts, find, "phrase", n, **form)
 
     def word_scores(self) -> DataFrame:
         """(doc_id, word, frequency, degree, score)."""
@@ -83,13 +76,20 @@ class Rake:
 
     def keyword_score(self, wanted: DataFrame) -> DataFrame:
         """The score of each (doc_id, word) wanted, 0 where there is none."""
-        return looked_up(self.word_scores(), wanted, ["doc_id", "word"])
+        return looked_up(lambda keys: self._words(keys=keys), wanted, ["doc_id", "word"])
 
     def phrase_score(self, wanted: DataFrame) -> DataFrame:
-        return looked_up(self.phrase_scores(), wanted, ["doc_id", "phrase"])
+        return looked_up(lambda keys: self._phrases(keys=keys), wanted, ["doc_id", "phrase"])
 
     def word_scores_map(self) -> DataFrame:
         return as_map(self._words(nested=True), "word")
 
     def phrase_scores_map(self) -> DataFrame:
         return as_map(self._phrases(nested=True), "phrase")
+
+    def word_scores_text(self, digits: int = 6) -> DataFrame:
+        """(doc_id, scores): the words of each document in byte order, each with its score, as one text."""
+        return self._words(digits=digits)
+
+    def phrase_scores_text(self, digits: int = 6) -> DataFrame:
+        return self._phrases(digits=digits)

@@ -3,66 +3,73 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.functions.strings import best
-from lexarium.operators.common import as_map, documents, looked_up, spread, within_rows
-from lexarium.operators.tokenizer import Tokenizer, runs
+from lexarium.functions.text import dropped_words
+from lexarium.operators.batches import Found, Phrases, Terms, means, numbered, taken
+from lexarium.operators.common import as_map, documents, looked_up, scored, spread, within_rows
+from lexarium.operators.tokenizer import Tokenizer
 from lexarium.params import TextRankParams
 
-_RANKED = {"score": "double", "rank": "int"}
 
-
-def _numbered(words: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    index: dict[str, int] = {}
-    return index, np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-
-
-def _edges(ids: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directed edges of a stream of word ids, and their weights."""
-    pairs = [(ids[:-k], ids[k:]) for k in range(1, window + 1) if k < len(ids)]
+def _edges(terms: Terms, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directed edges of the terms of each document, and their weights."""
+    ids, doc, n = terms.term, terms.doc, max(1, terms.n)
+    pairs = [(a[same], b[same]) for k in range(1, window + 1) if k < len(ids) for a, b, same in ((ids[:-k], ids[k:], (doc[:-k] == doc[k:]) & (ids[:-k] != ids[k:])),)]
     if not pairs:
         empty = np.empty(0, np.int64)
-        return empty, empty, np.empty(0)
+        return empty, empty, empty
     a, b = (np.concatenate(x) for x in zip(*pairs))
-    a, b = a[a != b], b[a != b]
-    keys, weight = np.unique(np.concatenate((a * n + b, b * n + a)), return_counts=True)
-    return keys // n, keys % n, weight.astype(np.float64)
+    number, keys = numbered(np.minimum(a, b) * n + np.maximum(a, b))
+    low, high = np.divmod(keys, n)
+    weight = np.bincount(number, minlength=len(keys))
+    return np.concatenate((low, high)), np.concatenate((high, low)), np.concatenate((weight, weight))
 
 
-def word_rank(words: list[str], p: TextRankParams, fixed: int | None = None) -> tuple[list[str], np.ndarray, int, bool]:
-    """Nodes, their scores, the steps made and whether all changes were below the tolerance.
+def walk(terms: Terms, n_docs: int, p: TextRankParams, fixed: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores and out-weights of the terms; the steps that each document made and whether its changes were below the tolerance.
 
+    All documents of a piece walk together; one that has settled stands still.
     fixed: make just so many steps, whatever the change.
     """
-    index, ids = _numbered(words)
-    n = len(index)
-    src, dst, weight = _edges(ids, p.window_size, max(n, 1))
+    src, dst, weight = _edges(terms, p.window_size)
+    n, doc = terms.n, terms.of
     out = np.bincount(src, weight, n)
-    share = weight / out[dst] if len(weight) else weight
-    scores, steps, settled = np.ones(n), 0, False
+    share = weight / out[dst]
+    scores, steps, settled = np.ones(n), np.zeros(n_docs, np.int64), np.zeros(n_docs, bool)
     most = p.max_iterations if fixed is None else fixed
-    while most is None or steps < most:
+    walks = np.ones(n_docs, bool)
+    step = 0
+    while walks.any() and (most is None or step < most):
         new = (1 - p.damping) + p.damping * np.bincount(src, share * scores[dst], n)
-        steps += 1
-        settled = bool((np.abs(new - scores)[out > 0] < p.tolerance).all())
-        scores = new
-        if settled and fixed is None:
-            break
-    names = np.array(list(index), object)
-    return names[out > 0].tolist(), scores[out > 0], steps, settled
+        moved = ~(np.abs(new - scores) < p.tolerance) & (out > 0)
+        step += 1
+        scores = np.where(walks[doc], new, scores)
+        steps[walks] = step
+        settled = np.where(walks, np.bincount(doc[moved], minlength=n_docs) == 0, settled)
+        if fixed is None and (settled & walks).any():
+            walks &= ~settled
+            left = walks[doc[src]]
+            src, dst, share = src[left], dst[left], share[left]
+    return scores, out, steps, settled
 
 
-def _stream(marked: str) -> list[str]:
-    return [w for run in runs(marked) for w in run]
+def word_rank(words: list[str], p: TextRankParams, fixed: int | None = None) -> tuple[list[str], np.ndarray, int, bool]:
+    """Nodes, their scores, the steps made and whether all changes were below the tolerance, of one stream of words."""
+    found = pa.array(words, pa.string()).dictionary_encode()
+    terms = Terms(np.zeros(len(words), np.int64), found.indices.to_numpy().astype(np.int64), found.dictionary)
+    scores, out, steps, settled = walk(terms, 1, p, fixed)
+    at = np.flatnonzero(out > 0)
+    return terms.names().take(pa.array(at)).to_pylist(), scores[at], int(steps[0]), bool(settled[0])
 
 
 class TextRank:
     """Ranks of every document; a row is a document.
 
     Words come from the JVM's tokenizer; the walk to the fixpoint runs in
-    numpy where the row is, one document at a time: no shuffle. With a damping
+    numpy where the rows are, for some documents at once: no shuffle. With a damping
     below 1 each step shrinks the change, so the walk ends without a bound on
     its steps; ``max_iterations`` sets one on request, and ``converged`` tells
     whether a document had settled.
@@ -70,56 +77,60 @@ class TextRank:
 
     def __init__(self, df: DataFrame, params: TextRankParams | None = None, fixed_steps: int | None = None):
         self.params, self.fixed = params or TextRankParams(), fixed_steps
-        self.texts = spread(documents(df)).select("doc_id", Tokenizer(self.params).marked_column(F.col("text")).alias("marked"))
+        self.texts = spread(documents(df)).select("doc_id", Tokenizer(self.params).lowered_column(F.col("text")).alias("lowered"))
+
+    def _read(self):
+        p = self.params
+        stop, dropped, length = frozenset(p.stop_words), frozenset(dropped_words((), p.punctuation)), p.phrase_length
+        return lambda lowered: Phrases(lowered, stop, dropped, length)
 
     def graph(self) -> DataFrame:
         """(doc_id, src, dst, weight): both directions of every edge."""
-        window = self.params.window_size
+        read, window = self._read(), self.params.window_size
 
-        def work(marked: str) -> tuple:
-            index, ids = _numbered(_stream(marked))
-            src, dst, weight = _edges(ids, window, max(len(index), 1))
-            names = list(index)
-            return [names[k] for k in src], [names[k] for k in dst], weight.astype(np.int64).tolist()
+        def work(lowered: pa.Array) -> tuple:
+            terms = read(lowered)
+            src, dst, weight = _edges(terms, window)
+            names = terms.names()
+            return terms.of[src], names.take(pa.array(src)), names.take(pa.array(dst)), weight
 
         return within_rows(self.texts, work, {"src": "string", "dst": "string", "weight": "long"})
 
     def out_weights(self) -> DataFrame:
         """(doc_id, word, out_weight)."""
-        window = self.params.window_size
+        read, window = self._read(), self.params.window_size
 
-        def work(marked: str) -> tuple:
-            index, ids = _numbered(_stream(marked))
-            src, _, weight = _edges(ids, window, max(len(index), 1))
-            out = np.bincount(src, weight, len(index)).astype(np.int64).tolist()
-            return [w for w, x in zip(index, out) if x], [x for x in out if x]
+        def work(lowered: pa.Array) -> tuple:
+            terms = read(lowered)
+            src, _, weight = _edges(terms, window)
+            out = np.bincount(src, weight, terms.n).astype(np.int64)
+            at = np.flatnonzero(out)
+            return terms.of[at], terms.names().take(pa.array(at)), out[at]
 
         return within_rows(self.texts, work, {"word": "string", "out_weight": "long"})
 
-    def _words(self, n: int | None = None, nested: bool = False) -> DataFrame:
-        params, fixed = self.params, self.fixed
+    def _words(self, n: int | None = None, **form) -> DataFrame:
+        read, params, fixed = self._read(), self.params, self.fixed
 
-        def work(marked: str) -> tuple:
-            words, scores, _, settled = word_rank(_stream(marked), params, fixed)
-            found = (words, scores.tolist()) if n is None else best(words, scores, n)
-            return (*found, [settled] * len(found[0]))
+        def find(lowered: pa.Array) -> Found:
+            terms = read(lowered)
+            scores, out, _, settled = walk(terms, len(lowered), params, fixed)
+            at = np.flatnonzero(out > 0)
+            return Found(terms.of[at], taken(terms.names().take(pa.array(at))), scores[at], lambda: terms.ranks()[at], [settled[terms.of[at]]])
 
-        kinds = {"score": "double"} if n is None else _RANKED
-        return within_rows(self.texts, work, {"word": "string", **kinds, "converged": "boolean"}, nested)
+        return scored(self.texts, find, "word", n, more={"converged": "boolean"}, **form)
 
-    def _phrases(self, n: int | None = None, nested: bool = False) -> DataFrame:
-        params, fixed = self.params, self.fixed
+    def _phrases(self, n: int | None = None, **form) -> DataFrame:
+        read, params, fixed = self._read(), self.params, self.fixed
 
-        def work(marked: str) -> tuple:
-            words, scores, _, settled = word_rank(_stream(marked), params, fixed)
-            score = dict(zip(words, scores.tolist()))
-            once = {" ".join(p): p for p in runs(marked, params.phrase_length)}
-            values = [sum(score.get(w, 0.0) for w in p) / len(p) for p in once.values()]  # unknown words add nothing and count in the divisor
-            found = (list(once), values) if n is None else best(list(once), np.array(values, float), n)
-            return (*found, [settled] * len(found[0]))
+        def find(lowered: pa.Array) -> Found:
+            phrases = read(lowered)
+            scores, out, _, settled = walk(phrases, len(lowered), params, fixed)
+            rows, run, names, ranks = phrases.distinct()
+            means_ = means(phrases, np.where(out > 0, scores, 0.0))  # unknown words add nothing and count in the divisor
+            return Found(rows, taken(names), means_[run], ranks, [settled[rows]])
 
-        kinds = {"score": "double"} if n is None else _RANKED
-        return within_rows(self.texts, work, {"phrase": "string", **kinds, "converged": "boolean"}, nested)
+        return scored(self.texts, find, "phrase", n, more={"converged": "boolean"}, **form)
 
     def word_scores(self) -> DataFrame:
         """(doc_id, word, score, converged); words without an edge are absent."""
@@ -138,13 +149,20 @@ class TextRank:
 
     def word_score(self, wanted: DataFrame) -> DataFrame:
         """The score of each (doc_id, word) wanted, 0 where there is none."""
-        return looked_up(self.word_scores(), wanted, ["doc_id", "word"])
+        return looked_up(lambda keys: self._words(keys=keys), wanted, ["doc_id", "word"])
 
     def phrase_score(self, wanted: DataFrame) -> DataFrame:
-        return looked_up(self.phrase_scores(), wanted, ["doc_id", "phrase"])
+        return looked_up(lambda keys: self._phrases(keys=keys), wanted, ["doc_id", "phrase"])
 
     def word_scores_map(self) -> DataFrame:
         return as_map(self._words(nested=True), "word")
 
     def phrase_scores_map(self) -> DataFrame:
         return as_map(self._phrases(nested=True), "phrase")
+
+    def word_scores_text(self, digits: int = 6) -> DataFrame:
+        """(doc_id, scores): the words of each document in byte order, each with its score, as one text."""
+        return self._words(digits=digits)
+
+    def phrase_scores_text(self, digits: int = 6) -> DataFrame:
+        return self._phrases(digits=digits)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from math import log, sqrt
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarium.functions import text as X
-from lexarium.functions.strings import best
-from lexarium.operators.common import documents, looked_up, ranked, spread, within_rows
-from lexarium.operators.tokenizer import Tokenizer, runs
+from lexarium.operators.batches import LINE, SENTENCE, Found, Phrases, Terms, among, numbered, taken, tokens
+from lexarium.operators.common import documents, looked_up, ranked, scored, spread
+from lexarium.operators.tokenizer import Tokenizer
 from lexarium.params import TextSplit, TfIdfInput, TfIdfParams
 
 
@@ -21,38 +20,43 @@ def segments(df: DataFrame, params: TfIdfParams) -> DataFrame:
     return spread(documents(df)).select(F.lit(0).alias("corpus"), F.array(X.split_blank(whole)).alias("parts"))
 
 
-def block_scores(parts: list[list[str]]) -> tuple[list[str], np.ndarray]:
-    """Words and scores of one text block, whose parts are its documents."""
-    count: dict[str, int] = {}
-    held: dict[str, int] = {}
-    for part in parts:
-        for word in part:
-            count[word] = count.get(word, 0) + 1
-        for word in set(part):
-            held[word] = held.get(word, 0) + 1
-    raw = [c * (log((len(parts) + 1) / (held[w] + 1)) + 1) for w, c in count.items()]
-    length = sqrt(sum(v * v for v in raw))
-    return list(count), np.array(raw, float) / length if raw else np.empty(0)
+def block_scores(terms: Terms, part: np.ndarray, n_parts: np.ndarray) -> np.ndarray:
+    """Scores of the terms of text blocks, whose parts are their documents. part: of each word; n_parts: of each block."""
+    count = np.bincount(terms.term, minlength=terms.n)
+    most = int(part.max(initial=0)) + 1
+    _, keys = numbered(terms.term * most + part)
+    held = np.bincount(keys // most, minlength=terms.n)
+    raw = count * (np.log((n_parts[terms.of] + 1) / (held + 1)) + 1)
+    return raw / np.sqrt(np.bincount(terms.of, raw * raw, len(n_parts)))[terms.of]
 
 
-def _blocks(df: DataFrame, params: TfIdfParams, n: int | None = None, nested: bool = False) -> DataFrame:
+def _blocks(df: DataFrame, params: TfIdfParams, n: int | None = None, **form) -> DataFrame:
     """(doc_id, word, score) of every text block, or its n best words with their rank. A row is a block: no shuffle."""
     tokenizer, text, by_phrase = Tokenizer(params), F.col("text"), params.split is TextSplit.PHRASES
+    stop, dropped = frozenset(params.stop_words), frozenset(X.dropped_words((), params.punctuation))
+    placed = spread(documents(df))
     if by_phrase:
-        joined, size = tokenizer.marked_column(text), F.lit(0)
+        placed = placed.select("doc_id", tokenizer.lowered_column(text).alias("lowered"), F.lit(0).alias("size"))
     else:
-        cut = tokenizer.sentences_column(text) if params.split is TextSplit.SENTENCES else tokenizer.paragraphs_column(text)
-        joined, size = F.array_join("cut", "\n"), F.size("cut")
-    placed = spread(documents(df)).select("doc_id", (text if by_phrase else cut).alias("text" if by_phrase else "cut"))
-    placed = placed.select("doc_id", joined.alias("joined"), size.alias("size"))
-
-    def work(joined: str, size: int) -> tuple:
-        parts = list(runs(joined)) if by_phrase else [part.split(" ") for part in joined.split("\n")] if size else []
-        words, scores = block_scores([[w for w in part if w] for part in parts])
-        return (words, scores.tolist()) if n is None else best(words, scores, n)
-
-    kinds = {"score": "double"} if n is None else {"score": "double", "rank": "int"}
-    return within_rows(placed, work, {"word": "string", **kinds}, nested).withColumnRenamed("doc_id", "corpus")
+        by_line = params.split is TextSplit.PARAGRAPHS
+        mark = LINE if by_line else SENTENCE
+        cut = F.transform(X.lines(text), lambda line: F.array_join(X.sentences(line), SENTENCE)) if by_line else X.sentences(text)
+        placed = placed.select("doc_id", cut.alias("cut"))
+        placed = placed.select("doc_id", F.lower(X.token_text(F.array_join("cut", mark), "".join({SENTENCE, mark}))).alias("lowered"), F.size("cut").alias("size"))
+
+    def find(lowered: pa.Array, size: pa.Array) -> Found:
+        if by_phrase:
+            terms = Phrases(lowered, stop, dropped)
+            part, n_parts = terms.run, np.bincount(terms.run_doc, minlength=len(lowered))
+        else:
+            doc, codes, words = tokens(lowered)
+            kind = np.where(among(words, [mark]), 1, np.where(among(words, {SENTENCE, *dropped, *stop}), 0, 2))[codes]
+            keep = kind == 2
+            terms = Terms(doc[keep], codes[keep], words)
+            part, n_parts = np.cumsum(kind == 1)[keep], size.to_numpy().astype(np.int64)
+        return Found(terms.of, taken(terms.names()), block_scores(terms, part, n_parts), terms.ranks)
+
+    return scored(placed, find, "word", n, **form).withColumnRenamed("doc_id", "corpus")
 
 
 def word_counts(cut: DataFrame) -> DataFrame:
@@ -99,7 +103,15 @@ def ranked_words(df: DataFrame, n: int, params: TfIdfParams | None = None) -> Da
 
 def word_score(df: DataFrame, wanted: DataFrame, params: TfIdfParams | None = None) -> DataFrame:
     """The score of each (corpus, word) wanted, 0 where there is none."""
-    return looked_up(tf_idf(df, params), wanted, ["corpus", "word"])
+    params = params or TfIdfParams()
+
+    def scores(keys: frozenset[str] | None) -> DataFrame:
+        if params.kind is TfIdfInput.TEXT_BLOCK:
+            return _blocks(df, params, keys=keys)
+        found = tf_idf(df, params)
+        return found if keys is None else found.filter(F.col("word").isin(sorted(keys)))
+
+    return looked_up(scores, wanted, ["corpus", "word"])
 
 
 def word_scores_map(df: DataFrame, params: TfIdfParams | None = None) -> DataFrame:
@@ -109,3 +121,10 @@ def word_scores_map(df: DataFrame, params: TfIdfParams | None = None) -> DataFra
         return _blocks(df, params, nested=True).select("corpus", F.map_from_arrays("word", "score").alias("scores"))
     entry = F.collect_list(F.struct("word", "score"))
     return tf_idf(df, params).groupBy("corpus").agg(F.map_from_entries(F.array_sort(entry)).alias("scores"))
+
+
+def word_scores_text(df: DataFrame, params: TfIdfParams, digits: int = 6) -> DataFrame:
+    """(corpus, scores): the words of each text block in byte order, each with its score, as one text."""
+    if params.kind is not TfIdfInput.TEXT_BLOCK:
+        raise ValueError("only text blocks have a text each")
+    return _blocks(df, params, digits=digits)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +13,6 @@ from lexarium.params import TokenizerParams, _at_least_one
 _STOP = "\t"
 
 
-def runs(marked: str, length: int | None = None) -> Iterator[list[str]]:
-    """The phrases of a marked text, as lists of words; cut after ``length`` words where that is given."""
-    for run in marked.split(_STOP):
-        words = [w for w in run.split(" ") if w]
-        for at in range(0, len(words), length or max(1, len(words))):
-            yield words[at : at + length] if length else words
-
-
 class Tokenizer:
     """Splits texts; each method gives one row for each part, with its place from 0.
 

@@ -2,190 +2,231 @@
 
 from __future__ import annotations
 
-from math import log, prod, sqrt
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarium.functions import strings as S
 from lexarium.functions import text as X
-from lexarium.operators.common import as_map, documents, looked_up, spread, within_rows
+from lexarium.operators.batches import SENTENCE, Found, Terms, among, byte_ranks, matching, numbered, starts_of, taken, tokens
+from lexarium.operators.common import as_map, documents, looked_up, scored, spread, within_rows
 from lexarium.params import YakeParams
 
 #: The smallest step above 1 of 32-bit floats; it keeps divisors off 0.
 EPSILON = 2.0**-23
-_RANKED = {"score": "double", "rank": "int"}
-
-
-class _Term:
-    """What is counted of a valid term."""
-
-    __slots__ = ("tf", "upper", "capital", "places", "left", "right", "left_count", "right_count")
-
-    def __init__(self):
-        self.tf = self.upper = self.capital = self.left_count = self.right_count = 0
-        self.places: list[int] = []
-        self.left: set[str] = set()
-        self.right: set[str] = set()
-
-
-class Document:
-    """The sentences of one text, read once: its terms and its candidates."""
-
-    def __init__(self, surfaces: str, lowered: str, n_sentences: int, p: YakeParams, invalid: frozenset[str]):
-        self.params, self.n_sentences = p, n_sentences
-        self.terms: dict[str, _Term] = {}
-        self.candidates: dict[tuple[str, ...], int] = {}
-        cases: dict[str, tuple[bool, bool]] = {}
-        known: dict[str, bool] = {}
-        for place, (line, low) in enumerate(zip(surfaces.split("\n"), lowered.split("\n"))) if n_sentences else ():
-            tokens, terms = line.split(" ") if line else [], low.split(" ") if low else []
-            for t in terms:
-                if t not in known:
-                    known[t] = not (t in invalid or S.is_number(t))
-            valid = [known[t] for t in terms]
-            self._count(place, tokens, terms, valid, cases)
-            run = 0
-            for k in range(len(terms) - 1, -1, -1):
-                run = run + 1 if valid[k] else 0
-                for n in range(1, min(run, p.ngram) + 1):
-                    gram = tuple(terms[k : k + n])
-                    self.candidates[gram] = self.candidates.get(gram, 0) + 1
-
-    def _count(self, place: int, tokens: list[str], terms: list[str], valid: list[bool], cases: dict) -> None:
-        w = self.params.window_size
-        for k, (surface, term) in enumerate(zip(tokens, terms)):
-            if not valid[k]:
-                continue
-            t = self.terms.get(term)
-            if t is None:
-                t = self.terms[term] = _Term()
-            case = cases.get(surface)
-            if case is None:
-                case = cases[surface] = (S.is_upper(surface), S.is_capitalised(surface))
-            left, right = tokens[max(0, k - w) : k], tokens[k + 1 : k + 1 + w]
-            t.tf += 1
-            t.upper += case[0]
-            t.capital += case[1]
-            t.places.append(place)
-            t.left.update(left)
-            t.right.update(right)
-            t.left_count += len(left)
-            t.right_count += len(right)
-
-    def weights(self) -> dict[str, float]:
+#: Keywords of a document that the greedy choice looks at, at a time.
+_LOOK = 64
+_NUMBER = r"(?i)^[+-]?(?:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)$"
+
+
+def _case(word: str) -> int:
+    """1: in capitals; 2: capitalised; 3: both."""
+    if word.isascii():
+        upper = word.upper() == word
+        return (upper and len(word) > 1) + 2 * ("A" <= word[:1] <= "Z" and (len(word) == 1 or not word[1:].isupper() and word[1:] != word[1:].upper()))
+    return S.is_upper(word) + 2 * S.is_capitalised(word)
+
+
+def _cases(words: pa.Array) -> np.ndarray:
+    """_case of each word; one that begins with a small letter of Latin-1 has none."""
+    case, at = np.zeros(len(words), np.int64), np.flatnonzero(~matching(words, "^[a-zà-öø-ÿ]"))
+    case[at] = [_case(w) for w in words.take(pa.array(at)).to_pylist()]
+    return case
+
+
+class Piece:
+    """The sentences of some texts, read once: their valid terms, and their candidates by size."""
+
+    def __init__(self, surfaces: pa.Array, lowered: pa.Array, n_sentences: pa.Array, p: YakeParams, invalid: frozenset[str]):
+        self.params, self.n_docs, self.n_sentences = p, len(lowered), n_sentences.to_numpy().astype(np.int64)
+        doc, surface, self.surfaces = tokens(surfaces)
+        _, term, terms = tokens(lowered)
+        unfit = among(terms, invalid) | matching(terms, _NUMBER)
+        kind = np.where(among(terms, [""]), 0, np.where(among(terms, [SENTENCE]), 1, np.where(unfit, 2, 3)))[term]
+        ends = np.cumsum(kind == 1)
+        per_doc = np.bincount(doc[kind == 1], minlength=self.n_docs)
+        keep = kind > 1
+        doc, ends = doc[keep], ends[keep]
+        self.surface, self.valid = surface[keep], kind[keep] == 3
+        self.sentence = ends + doc  # another one for each sentence of each document
+        self.place = ends - (np.cumsum(per_doc) - per_doc)[doc]
+        self.terms = Terms(doc[self.valid], term[keep][self.valid], terms)
+        self.number = np.full(len(doc), -1)
+        self.number[self.valid] = self.terms.term
+        self.tf = np.bincount(self.terms.term, minlength=self.terms.n)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """left_count, left_distinct, right_count and right_distinct of the terms."""
+        n, valid, number, surface = len(self.valid), self.valid, self.number, self.surface
+        many = max(1, len(self.surfaces))
+        found = []
+        for side in (-1, 1):
+            keys = []
+            for k in range(1, min(self.params.window_size, n - 1) + 1):
+                at = np.flatnonzero(self.sentence[k:] == self.sentence[:-k])
+                own, other = (at + k, at) if side < 0 else (at, at + k)
+                own, other = own[valid[own]], other[valid[own]]
+                keys.append(number[own] * many + surface[other])
+            keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            found += [np.bincount(x // many, minlength=self.terms.n) for x in (keys, numbered(keys)[1])]
+        return tuple(found)
+
+    def weights(self) -> np.ndarray:
         """A low weight marks a telling term."""
-        terms = self.terms
-        if not terms:
-            return {}
-        counts = [t.tf for t in terms.values()]
-        mean, most = sum(counts) / (len(counts) + EPSILON), max(counts)
-        std = sqrt(sum((c - mean) * (c - mean) for c in counts))
-        return {term: self._weight(t, mean, std, most) for term, t in terms.items()}
-
-    def _weight(self, t: _Term, mean: float, std: float, most: int) -> float:
-        casing = max(t.upper, t.capital) / (1 + log(t.tf))
-        frequency = t.tf / (mean + std + EPSILON)
-        related = 1 + (len(t.left) / (t.left_count + EPSILON) + len(t.right) / (t.right_count + EPSILON)) * t.tf / most
-        spread_ = len(set(t.places)) / (self.n_sentences + EPSILON)
-        return related * log(log(3 + middle(t.places))) / (casing + frequency / related + spread_ / related)
-
-    def keyword_scores(self) -> tuple[list[str], np.ndarray]:
-        """Candidates and scores, the best of the text 1.
+        terms, tf = self.terms, self.tf
+        if not terms.n:
+            return np.empty(0)
+        begin = starts_of(terms.of)
+        group = np.zeros(terms.n, np.int64)
+        group[begin] = 1
+        group = np.cumsum(group) - 1
+        mean = np.add.reduceat(tf, begin) / (np.diff(np.append(begin, terms.n)) + EPSILON)
+        std = np.sqrt(np.bincount(group, (tf - mean[group]) ** 2))
+        most = np.maximum.reduceat(tf, begin)[group]
+        case = _cases(self.surfaces)[self.surface[self.valid]]
+        upper, capital = (np.bincount(terms.term, case & bit != 0, terms.n) for bit in (1, 2))
+        order = np.argsort(terms.term, kind="stable")
+        places, sorted_terms = self.place[self.valid][order], terms.term[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (places[1:] != places[:-1]) | (sorted_terms[1:] != sorted_terms[:-1])
+        sentences = np.bincount(sorted_terms[new], minlength=terms.n)
+        left, left_distinct, right, right_distinct = self.contexts()
+        casing = np.maximum(upper, capital) / (1 + np.log(tf))
+        frequency = tf / ((mean + std)[group] + EPSILON)
+        related = 1 + (left_distinct / (left + EPSILON) + right_distinct / (right + EPSILON)) * tf / most
+        spread_ = sentences / (self.n_sentences[terms.of] + EPSILON)
+        return related * np.log(np.log(3 + middles(places, np.cumsum(tf) - tf, tf))) / (casing + frequency / related + spread_ / related)
+
+    def candidates(self) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        """For each size from 1: the terms of the distinct candidates, place by place, and how often they stand there."""
+        many = max(1, self.terms.n)
+        at = np.flatnonzero(self.valid)
+        code, parts, found = self.terms.term, [np.arange(self.terms.n)], [([np.arange(self.terms.n)], self.tf)]
+        for n in range(1, self.params.ngram):
+            on = at + n < len(self.valid)
+            on[on] = self.valid[at[on] + n] & (self.sentence[at[on] + n] == self.sentence[at[on]])
+            at = at[on]
+            code, keys = numbered(code[on] * many + self.number[at + n])
+            before, last = np.divmod(keys, many)
+            parts = [*(p[before] for p in parts), last]
+            found.append((parts, np.bincount(code, minlength=len(keys))))
+        return found
+
+    def names(self, found: list) -> pa.Array:
+        words = self.terms.names()
+        each = [[words.take(pa.array(p)) for p in parts] for parts, _ in found]
+        return pa.concat_arrays([c[0] if len(c) == 1 else pc.binary_join_element_wise(*c, " ") for c in each])
+
+    def ranks(self, found: list, names: pa.Array) -> np.ndarray:
+        """The places of the candidates in byte order: by their terms' places, as a blank comes before what terms are made of."""
+        many, n = len(self.terms.words) + 1, len(found)
+        if many**n < 2**62 and not matching(self.terms.words, r"[\x00-\x1d\x1f]").any():
+            rank = self.terms.ranks() + 1
+            return np.concatenate([sum(rank[p] * many ** (n - 1 - k) for k, p in enumerate(parts)) for parts, _ in found])
+        coded = names.dictionary_encode()
+        return byte_ranks(coded.dictionary)[coded.indices.to_numpy()]
+
+    def keywords(self) -> Found:
+        """Candidates and scores, the best of each text 1.
 
         A single term is weighed down by the number of places that it takes in
         distinct longer candidates.
         """
-        weights = self.weights()
-        inside: dict[str, int] = {}
-        for gram in self.candidates:
-            if len(gram) > 1:
-                for term in gram:
-                    inside[term] = inside.get(term, 0) + 1
-        raw = np.empty(len(self.candidates))
-        for k, (gram, tf) in enumerate(self.candidates.items()):
-            own = [weights[t] for t in gram]
-            factor = inside.get(gram[0], 1) if len(gram) == 1 else 1
-            raw[k] = tf * (1 + sum(own)) / (factor * prod(own))
-        return [" ".join(g) for g in self.candidates], scaled(raw)
+        weights, found = self.weights(), self.candidates()
+        longer = [p for parts, _ in found[1:] for p in parts]
+        inside = np.bincount(np.concatenate(longer), minlength=self.terms.n) if longer else np.zeros(self.terms.n, np.int64)
+        raw = []
+        for parts, tf in found:
+            total, product = 0.0, 1.0
+            for p in parts:
+                total, product = total + weights[p], product * weights[p]
+            raw.append(tf * (1 + total) / ((np.maximum(inside, 1) if len(parts) == 1 else 1) * product))
+        rows = np.concatenate([self.terms.of[parts[0]] for parts, _ in found])
+        names = self.names(found)
+        return Found(rows, taken(names), scaled(np.concatenate(raw), rows, self.n_docs), lambda: self.ranks(found, names))
+
+    def term_scores(self) -> Found:
+        terms = self.terms
+        return Found(terms.of, taken(terms.names()), scaled(1 / self.weights(), terms.of, self.n_docs), terms.ranks)
 
-    def term_scores(self) -> tuple[list[str], np.ndarray]:
-        weights = self.weights()
-        return list(weights), scaled(1 / np.fromiter(weights.values(), float, len(weights)))
 
+def scaled(raw: np.ndarray, rows: np.ndarray, n_docs: int) -> np.ndarray:
+    """Over the largest of the document."""
+    most = np.full(n_docs, EPSILON)
+    np.maximum.at(most, rows, raw)
+    return raw / most[rows]
 
-def scaled(raw: np.ndarray) -> np.ndarray:
-    return raw / max(EPSILON, float(raw.max())) if len(raw) else raw
+
+def middles(places: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The middle of each group of sorted places: an even number takes the upper middle one, an odd number the mean of the middle one and the one before."""
+    upper = places[begin + n // 2]
+    lower = places[begin + np.maximum(n // 2 - 1, 0)]
+    return np.where((n == 1) | (n % 2 == 0), upper, (upper + lower) / 2)
 
 
 def middle(places: list[int]) -> float:
-    """An even number of places takes the upper middle one, an odd number the mean of the middle one and the one before."""
-    n = len(places)
-    if n == 1 or n % 2 == 0:
-        return float(places[n // 2])
-    return (places[n // 2] + places[n // 2 - 1]) / 2
+    return float(middles(np.array(places), np.array([0]), np.array([len(places)]))[0])
 
 
 class Yake:
     """Scores of every document; higher is better, and the best of a document has 1. A row is a document.
 
     Sentences and tokens come from the JVM, once; terms and n-grams are
-    counted and scored where the row is: no shuffle.
+    counted and scored where the rows are: no shuffle.
     """
 
     def __init__(self, df: DataFrame, params: YakeParams | None = None):
         self.params = p = params or YakeParams()
-        self.invalid = frozenset(("", *X.one_grapheme(p.punctuation), *p.stop_words))
-        cut = X.sentences(X.without_controls(F.col("text")))
-        tokens = F.transform(cut, lambda s: F.array_join(F.filter(F.transform(X.tokens(s), X.without_special), lambda w: w != ""), " "))
-        joined = F.array_join("cut", "\n")  # tokens have no blanks
-        placed = spread(documents(df)).select("doc_id", tokens.alias("cut"))
-        self.texts = placed.select("doc_id", joined.alias("surfaces"), F.lower(joined).alias("lowered"), F.size("cut").alias("n_sentences"))
-
-    def _each(self, work, kinds: dict[str, str], nested: bool = False) -> DataFrame:
-        """What work makes of each text's Document."""
+        self.invalid = frozenset(X.dropped_words(p.stop_words, p.punctuation))
+        cut = spread(documents(df)).select("doc_id", X.sentences(X.without_controls(F.col("text"))).alias("cut"))
+        cut = cut.select("doc_id", X.token_text(F.array_join("cut", SENTENCE), SENTENCE).alias("surfaces"), F.size("cut").alias("n_sentences"))
+        self.texts = cut.select("doc_id", "surfaces", F.lower("surfaces").alias("lowered"), "n_sentences")
+
+    def _read(self):
         params, invalid = self.params, self.invalid
-        return within_rows(self.texts, lambda *row: work(Document(*row, params, invalid)), kinds, nested)
+        return lambda surfaces, lowered, n_sentences: Piece(surfaces, lowered, n_sentences, params, invalid)
 
     def candidates(self) -> DataFrame:
         """(doc_id, keyword, n, tf): runs of 1 to ngram valid terms."""
+        read = self._read()
 
-        def work(d: Document) -> tuple:
-            return [" ".join(g) for g in d.candidates], [len(g) for g in d.candidates], list(d.candidates.values())
+        def work(*columns: pa.Array) -> tuple:
+            piece = read(*columns)
+            found = piece.candidates()
+            rows, sizes = (np.concatenate(x) for x in zip(*((piece.terms.of[parts[0]], np.full(len(tf), len(parts))) for parts, tf in found)))
+            return rows, piece.names(found), sizes, np.concatenate([tf for _, tf in found])
 
-        return self._each(work, {"keyword": "string", "n": "int", "tf": "long"})
+        return within_rows(self.texts, work, {"keyword": "string", "n": "int", "tf": "long"})
 
     def contexts(self) -> DataFrame:
         """(doc_id, term, left_count, left_distinct, right_count, right_distinct) of the valid terms."""
+        read = self._read()
 
-        def work(d: Document) -> tuple:
-            found = d.terms.values()
-            return list(d.terms), [t.left_count for t in found], [len(t.left) for t in found], [t.right_count for t in found], [len(t.right) for t in found]
+        def work(*columns: pa.Array) -> tuple:
+            piece = read(*columns)
+            return piece.terms.of, piece.terms.names(), *piece.contexts()
 
-        return self._each(work, {"term": "string"} | dict.fromkeys(("left_count", "left_distinct", "right_count", "right_distinct"), "int"))
+        return within_rows(self.texts, work, {"term": "string"} | dict.fromkeys(("left_count", "left_distinct", "right_count", "right_distinct"), "int"))
 
     def term_weights(self) -> DataFrame:
         """(doc_id, term, tf, weight): a low weight marks a telling term."""
+        read = self._read()
 
-        def work(d: Document) -> tuple:
-            return list(d.terms), [t.tf for t in d.terms.values()], list(d.weights().values())
+        def work(*columns: pa.Array) -> tuple:
+            piece = read(*columns)
+            return piece.terms.of, piece.terms.names(), piece.tf, piece.weights()
 
-        return self._each(work, {"term": "string", "tf": "long", "weight": "double"})
+        return within_rows(self.texts, work, {"term": "string", "tf": "long", "weight": "double"})
 
-    def _terms(self, n: int | None = None, nested: bool = False) -> DataFrame:
-        def work(d: Document) -> tuple:
-            terms, scores = d.term_scores()
-            return (terms, scores.tolist()) if n is None else S.best(terms, scores, n)
+    def _terms(self, n: int | None = None, **form) -> DataFrame:
+        read = self._read()
+        return scored(self.texts, lambda *columns: read(*columns).term_scores(), "term", n, **form)
 
-        return self._each(work, {"term": "string", "score": "double"} if n is None else {"term": "string", **_RANKED}, nested)
-
-    def _keywords(self, nested: bool = False) -> DataFrame:
-        def work(d: Document) -> tuple:
-            keywords, scores = d.keyword_scores()
-            return keywords, scores.tolist()
-
-        return self._each(work, {"keyword": "string", "score": "double"}, nested)
+    def _keywords(self, **form) -> DataFrame:
+        read = self._read()
+        return scored(self.texts, lambda *columns: read(*columns).keywords(), "keyword", **form)
 
     def term_scores(self) -> DataFrame:
         """(doc_id, term, score)."""
@@ -200,25 +241,34 @@ class Yake:
 
         Keywords are looked at in order until n are kept.
         """
-        threshold = self.params.threshold
+        read, threshold = self._read(), self.params.threshold
         if n < 0:
             raise ValueError("n must be 0 or more")
 
-        def work(d: Document) -> tuple:
-            keywords, scores = d.keyword_scores()
-            values = S.rounded(scores)
-            kept: list[int] = []
-            parts: list = []
-            for k in S.in_order(keywords, values):
-                if len(kept) >= n:
-                    break
-                own = S.graphemes(keywords[k])
-                if not any(S.alike(own, other, threshold) for other in parts):
-                    kept.append(k)
-                    parts.append(own)
-            return [keywords[k] for k in kept], values[kept].tolist(), range(1, len(kept) + 1)
-
-        return self._each(work, {"keyword": "string", **_RANKED})
+        def work(*columns: pa.Array) -> tuple:
+            found = read(*columns).keywords()
+            values = S.rounded(found.scores)
+            order = np.lexsort((found.ranks(), -values, found.rows))
+            begin = starts_of(found.rows[order])
+            chosen, ranks = [], []
+            for first, end in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist()):
+                kept: list[int] = []
+                parts: list = []
+                for at in range(first, end, _LOOK):
+                    if len(kept) >= n:
+                        break
+                    some = order[at : min(at + _LOOK, end)]
+                    for k, keyword in zip(some.tolist(), found.names(some).to_pylist()):
+                        own = S.graphemes(keyword)
+                        if len(kept) < n and not any(S.alike(own, other, threshold) for other in parts):
+                            kept.append(k)
+                            parts.append(own)
+                chosen += kept
+                ranks += range(1, len(kept) + 1)
+            at = np.array(chosen, np.int64)
+            return found.columns(at, values[at], np.array(ranks, np.int32))
+
+        return within_rows(self.texts, work, {"keyword": "string", "score": "double", "rank": "int"})
 
     def ranked_terms(self, n: int) -> DataFrame:
         """(doc_id, term, score, rank): the n best terms, by score to six places, then by the term."""
@@ -226,13 +276,20 @@ class Yake:
 
     def keyword_score(self, wanted: DataFrame) -> DataFrame:
         """The score of each (doc_id, keyword) wanted, 0 where there is none."""
-        return looked_up(self.keyword_scores(), wanted, ["doc_id", "keyword"])
+        return looked_up(lambda keys: self._keywords(keys=keys), wanted, ["doc_id", "keyword"])
 
     def term_score(self, wanted: DataFrame) -> DataFrame:
-        return looked_up(self.term_scores(), wanted, ["doc_id", "term"])
+        return looked_up(lambda keys: self._terms(keys=keys), wanted, ["doc_id", "term"])
 
     def keyword_scores_map(self) -> DataFrame:
         return as_map(self._keywords(nested=True), "keyword")
 
     def term_scores_map(self) -> DataFrame:
         return as_map(self._terms(nested=True), "term")
+
+    def keyword_scores_text(self, digits: int = 6) -> DataFrame:
+        """(doc_id, scores): the keywords of each document in byte order, each with its score, as one text."""
+        return self._keywords(digits=digits)
+
+    def term_scores_text(self, digits: int = 6) -> DataFrame:
+        return self._terms(digits=digits)
