@@ -108,10 +108,6 @@ def split_blank(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def graphemes(text: Column) -> Column:
     """How many characters a reader sees."""
     return F.size(F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0)))
@@ -159,8 +155,10 @@ def is_capitalised(word: Column) -> Column:
 
 
 def without_controls(text: Column) -> Column:
-    """The trimmed text with a space for each line feed, tab and carriage return."""
-    return F.regexp_replace(trim(text), r"[\n\t\r]", " ")
+    """The text with a space for each line feed, tab and carriage return. Blanks around it stay: they make no sentence and no token."""
+    for c in "\n\t\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:

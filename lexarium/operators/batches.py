@@ -147,7 +147,9 @@ class Found:
 
     def text(self, n_rows: int, digits: int) -> tuple:
         """One text for each document, key=score;key=score, by key in byte order; half up by the score times a power of ten."""
-        order = np.lexsort((self.ranks(), self.rows))
+        ranks = self.ranks()
+        most = int(ranks.max(initial=0)) + 1
+        order = np.argsort(self.rows * most + ranks) if n_rows * most < 2**62 else np.lexsort((ranks, self.rows))
         scores, scale = self.scores[order], 10**digits
         if np.isfinite(scores).all() and (scores >= 0).all() and (scores < 2**53 / scale).all():
             moved = scores * scale

@@ -15,7 +15,7 @@ from lexarium.params import TextRankParams
 
 
 def _edges(terms: Terms, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directed edges of the terms of each document, and their weights."""
+    """Directed edges of the terms of each document, and their weights, in order of both ends."""
     ids, doc, n = terms.term, terms.doc, max(1, terms.n)
     pairs = [(a[same], b[same]) for k in range(1, window + 1) if k < len(ids) for a, b, same in ((ids[:-k], ids[k:], (doc[:-k] == doc[k:]) & (ids[:-k] != ids[k:])),)]
     if not pairs:
@@ -25,7 +25,9 @@ def _edges(terms: Terms, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     number, keys = numbered(np.minimum(a, b) * n + np.maximum(a, b))
     low, high = np.divmod(keys, n)
     weight = np.bincount(number, minlength=len(keys))
-    return np.concatenate((low, high)), np.concatenate((high, low)), np.concatenate((weight, weight))
+    keys = np.concatenate((keys, high * n + low))
+    order = np.argsort(keys)
+    return *np.divmod(keys[order], n), np.concatenate((weight, weight))[order]
 
 
 def walk(terms: Terms, n_docs: int, p: TextRankParams, fixed: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
